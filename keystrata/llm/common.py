@@ -80,6 +80,9 @@ def text_bytes(scan_bytes: int, per_task: int, least: int) -> int:
     return max(least, -(-scan_bytes // per_task))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate of what is scanned; grows with the input, needs no pass over it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """The optimiser's size estimate of what is scanned, which needs no pass over it; where it knows none, the text's size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 59:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
