@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import decontaminate, licenses, spm, token_hist
+from keystrata.llm import decontaminate, langid, licenses, neardup, quality_crf, spm, suffix_dedup, token_hist
+from keystrata.llm.common import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -35,6 +45,19 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 3) == 1
+    model = langid.learn(docs.filter(F.coalesce(~held, F.lit(True))))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +65,19 @@ def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.suffix_sums(token_hist.length_histogram(counts))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_sentencepiece, op6_licenses, op9_token_histogram)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_crf,
+        op2_suffix_dedup,
+        op3_decontaminate,
+        op5_sentencepiece,
+        op6_licenses,
+        op7_language_mixture,
+        op8_near_duplicates,
+        op9_token_histogram,
+    )
+}
 
 ORACLE_SQL = {
     "op3_decontaminate": r"""
@@ -58,5 +93,21 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l
 SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items.l, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op8_near_duplicates": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS k FROM s GROUP BY g),
+r AS (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.k, s.g) AS p FROM s JOIN n USING (doc_id) JOIN f USING (g)),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+      WHERE a.p <= a.n - (85 * a.n + 99) // 100 + 1 AND b.p <= b.n - (85 * b.n + 99) // 100 + 1),
+i AS (SELECT a, b, count(*) AS i FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g GROUP BY a, b),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.node),
+m AS (SELECT node, min(root) AS root FROM t GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id, coalesce(m.root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = w.doc_id
 """,
 }
