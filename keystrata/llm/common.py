@@ -59,16 +59,22 @@ def crc_mod(column: Column | str, n: int) -> Column:
 NO_ID = (1 << 63) - 1
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns rid, rk and text, where (rid, rk) tells every row from every other.
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with two more columns, rid and rk, that together tell every row from every other.
 
     rid is the id (NO_ID where it is null). rk is 0 where ids are unique; else rows that share an id
     are numbered in the order of their text. Only the id column is read to find out."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid"), F.col(text_col).alias("text"))
-    repeated = rows.groupBy("rid").count().filter("count > 1").limit(1).count()
+    rows = docs.withColumn("rid", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    repeated = rows.select("rid").groupBy("rid").count().filter("count > 1").limit(1).count()
     if not repeated:
         return rows.withColumn("rk", F.lit(0))
-    return rows.withColumn("rk", F.row_number().over(Window.partitionBy("rid").orderBy("text")) - 1)
+    return rows.withColumn("rk", F.row_number().over(Window.partitionBy("rid").orderBy(F.col(text_col))) - 1)
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns rid, rk and text of `numbered`."""
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
+    return numbered(rows, "i", "text").select("rid", "rk", "text")
 
 
 def original_id(column: str = "rid") -> Column:

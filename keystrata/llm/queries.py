@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import decontaminate, langid, licenses, neardup, quality_crf, spm, suffix_dedup, token_hist
+from keystrata.llm import decontaminate, html_text, langid, lbl_lm, licenses, neardup, quality_crf, spm, suffix_dedup, token_hist
 from keystrata.llm.common import crc_mod
 
 
@@ -34,6 +34,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,21 +69,43 @@ def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.suffix_sums(token_hist.length_histogram(counts))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    found = lbl_lm.score(docs.withColumn("held_out", held), docs.filter(~held), keep=("held_out",))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_crf,
         op2_suffix_dedup,
         op3_decontaminate,
+        op4_main_text,
         op5_sentencepiece,
         op6_licenses,
         op7_language_mixture,
         op8_near_duplicates,
         op9_token_histogram,
+        op10_language_model,
     )
 }
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM b WHERE n >= 100)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w),
+p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM r WHERE k > 1),
+s AS (SELECT doc_id, i, sum(CASE WHEN q IS NULL OR i > q + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+d AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS e FROM s GROUP BY doc_id, run),
+c AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS x, a AS y FROM d UNION ALL SELECT doc_id, max(e), NULL FROM d GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, n) - x)), '' ORDER BY x) AS kept FROM c JOIN b USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(e - a) AS removed, count(*) AS spans FROM d GROUP BY doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
     "op3_decontaminate": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
