@@ -16,7 +16,7 @@ LAST = "\U0010ffff"
 
 def fmt_int(c: Column) -> Column:
     """Nineteen digits; a negative number is a minus and its distance from the least one, so that text sorts as numbers do."""
-    shifted = (c.cast("decimal(20,0)") + F.lit(9223372036854775808).cast("decimal(20,0)")).cast("string")
+    shifted = (c.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string")
     return F.when(c >= 0, F.lpad(c.cast("string"), 19, "0")).otherwise(F.concat(F.lit("-"), F.lpad(shifted, 19, "0")))
 
 
