@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-NOW = 1_704_500_000
+NOW = 1_706_000_000
 KEY = "'C#' || printf('%019d', {0})"
 TIME = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') || '000Z'"
 ORDER_SK = f"'ORDER#' || {TIME.format('o_orderdate')} || '#' || printf('%019d', o_orderkey)"
