@@ -19,9 +19,7 @@ STEP = 24
 #: A pair is dropped when its similarity reaches the threshold with less than this posterior probability.
 MISS = 1e-6
 #: Members of a bucket that meet in one task.
-BLOCK = 512
-#: Partners tried for each stray before all others are.
-FIRST_TRIES = 3
+BLOCK = 1024
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -90,12 +88,14 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def least_matches(threshold: float = THRESHOLD / 100, miss: float = MISS) -> list[tuple[int, int]]:
-    """(compared values n, least matches): with fewer, P(similarity >= threshold | matches, n) < miss, from a uniform prior."""
+    """(compared values n, least matches): with fewer, P(similarity >= threshold | matches, n) < miss, from a uniform prior.
+    Values are compared by their last byte, which is equal by chance once in 256."""
     s = (np.arange(20_000) + 0.5) / 20_000
+    p = s + (1 - s) / 256
     out = []
     for n in range(STEP, ROWS * BANDS + 1, STEP):
         for m in range(n + 1):
-            log = m * np.log(s) + (n - m) * np.log1p(-s)
+            log = m * np.log(p) + (n - m) * np.log1p(-p)
             weight = np.exp(log - log.max())
             if weight[s >= threshold].sum() / weight.sum() >= miss:
                 break
@@ -103,14 +103,14 @@ def least_matches(threshold: float = THRESHOLD / 100, miss: float = MISS) -> lis
     return out
 
 
-def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (i, j) that no look prunes, and their matches. Values are compared in steps; pruned pairs go no further."""
+def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that no look prunes. Values are compared in steps; pruned pairs go no further."""
     matches, done = np.zeros(len(i), dtype=np.int32), 0
     for n, least in bounds:
         matches = matches + (left[i, done:n] == right[j, done:n]).sum(axis=1, dtype=np.int32)
         ok = matches >= least
         i, j, matches, done = i[ok], j[ok], matches[ok], n
-    return i, j, matches
+    return i, j
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,37 +162,60 @@ def _members(batches):
     for b in batches:
         sets = shingle_sets(b.column("text").to_pylist())
         sig = signatures(sets)
-        yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array([r.tobytes() for r in sig], pa.binary()), _list_of(sets)], names=["nid", "sig", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array([r.tobytes() for r in (sig & 0xFF).astype(np.uint8)], pa.binary()), _list_of(sets)], names=["nid", "sig", "shingles"])
 
 
 def _prune(batches):
     bounds = least_matches()
     for b in batches:
-        left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint32).reshape(b.num_rows, ROWS * BANDS) for c in ("sig_u", "sig_v"))
+        left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, ROWS * BANDS) for c in ("sig_u", "sig_v"))
         every = np.arange(b.num_rows)
-        i, _, _ = surviving(left, right, every, every, bounds)
+        i, _ = surviving(left, right, every, every, bounds)
         yield pa.RecordBatch.from_arrays([b.column("u").take(pa.array(i)), b.column("v").take(pa.array(i))], names=["u", "v"])
 
 
-def _strays(first: int | None):
-    """Surviving pairs of strays and block members with other labels; for each stray the `first` closest, or all."""
+def _strays(threshold: int):
+    """Links of strays to block members with other labels: one for every two labels that they join.
+
+    Pairs that survive pruning are compared on their full sets here, and labels that a link joins count as one from
+    then on, so that what leaves the task is no more than the labels that came in."""
     bounds = least_matches()
 
-    def work(key, strays: pa.Table, members: pa.Table) -> pa.Table:
-        us, vs = [], []
+    def side(table: pa.Table, mark: str) -> tuple[np.ndarray, ...]:
+        sig = np.frombuffer(b"".join(table.column("sig" + mark).to_pylist()), dtype=np.uint8).reshape(table.num_rows, ROWS * BANDS)
+        lists = table.column("shingles" + mark).combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy().view(np.uint64)
+        return sig, table.column("nid" + mark).to_numpy(), table.column("label" + mark).to_numpy(), offsets, values
+
+    def work(strays: pa.Table, members: pa.Table) -> pa.Table:
+        links = []
         if strays.num_rows and members.num_rows:
-            sides = ((strays, ""), (members, "_"))
-            sig = [np.frombuffer(b"".join(t.column("sig" + x).to_pylist()), dtype=np.uint32).reshape(t.num_rows, ROWS * BANDS) for t, x in sides]
-            nid, label = ([t.column(c + x).to_numpy() for t, x in sides] for c in ("nid", "label"))
-            for r in range(strays.num_rows):
-                j = np.flatnonzero(label[1] != label[0][r])
-                i, j, m = surviving(sig[0], sig[1], np.full(len(j), r), j, bounds)
-                if first is not None:
-                    j = j[np.argsort(-m, kind="stable")[:first]]
-                us.append(np.minimum(nid[0][r], nid[1][j]))
-                vs.append(np.maximum(nid[0][r], nid[1][j]))
-        u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (us, vs))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            # Sets are in the order of unsigned numbers; seen as such, searchsorted holds.
+            s_sig, s_nid, s_label, s_off, s_val = side(strays, "")
+            m_sig, m_nid, m_label, m_off, m_val = side(members, "_")
+            _, root = np.unique(np.concatenate((s_label, m_label)), return_inverse=True)
+            own, other = root[: len(s_nid)], root[len(s_nid) :]
+            size = np.diff(m_off)
+            for r in range(len(s_nid)):
+                far = np.flatnonzero(other != own[r])
+                _, j = surviving(s_sig, m_sig, np.full(len(far), r), far, bounds)
+                mine = s_val[s_off[r] : s_off[r + 1]]
+                n = len(mine)
+                j = j[(100 * np.minimum(size[j], n) >= threshold * np.maximum(size[j], n))]
+                if not len(j):
+                    continue
+                flat = np.concatenate([m_val[m_off[x] : m_off[x + 1]] for x in j])
+                at = np.minimum(np.searchsorted(mine, flat), n - 1)
+                starts = np.cumsum(size[j]) - size[j]
+                inter = np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
+                for x in j[100 * inter >= threshold * (n + size[j] - inter)]:
+                    if other[x] != own[r]:
+                        links.append((min(s_nid[r], m_nid[x]), max(s_nid[r], m_nid[x])))
+                        was, now = other[x], own[r]
+                        own[own == was] = now
+                        other[other == was] = now
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return work
 
@@ -216,10 +239,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart by rk, in the order of their text; the first is kept. A null id comes after all others; its component_id is
     null unless a document with an id is reachable. An empty table gives no rows.
 
-    Candidates share a band of their signatures. First every document meets the least one of its buckets. Then, in
-    buckets whose members aren't yet in one component, those outside the bucket's largest component (strays) meet all
-    others, in blocks: at first their closest partners only, then every partner that pruning leaves. A pair is left out
-    only if both are in one component already. Links hold on full sets."""
+    Candidates share a band of their signatures. First every document meets the least and the greatest one of its buckets.
+    Then, in buckets whose members aren't yet in one component, those outside the bucket's largest component (strays) meet
+    all others, block by block. A pair is left out only if both are in one component already. Links hold on full sets."""
     rows = keyed(docs, id_col, text_col)
     rows = rows.withColumn("nid", F.when(F.col("rk") == 0, F.col("rid")).otherwise(F.xxhash64("rid", "rk")))
     base = cut(map_arrow(rows.select("rid", "rk", "nid", "text"), _describe, "rid long, rk int, nid long, n long, f1 long, f2 long, bands array<long>"))
@@ -227,29 +249,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("f1", "f2", "n").agg(F.min("nid").alias("rep"))
     reps = some.join(classes.select(F.col("rep").alias("nid")), "nid", "left_semi")
     bands = cut(reps.select("nid", F.explode("bands").alias("band")))
-    shared = bands.groupBy("band").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = bands.groupBy("band").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = cut(bands.join(shared, "band"))
     ids = buckets.select("nid").distinct()
     members = cut(map_arrow(rows.select("nid", "text").join(ids, "nid", "left_semi"), _members, "nid long, sig binary, shingles array<long>"))
 
-    stars = buckets.groupBy("nid").agg(F.min("hub").alias("hub")).filter("nid <> hub").select(F.col("hub").alias("u"), F.col("nid").alias("v"))
+    ends = buckets.groupBy("nid").agg(F.min("hub").alias("hub"), F.max("last").alias("last"))
+    stars = ends.select("nid", F.explode(F.array("hub", "last")).alias("end")).filter("nid <> end").select(F.least("nid", "end").alias("u"), F.greatest("nid", "end").alias("v")).distinct()
     sig = members.select("nid", "sig")
     pairs = stars.join(sig.select(F.col("nid").alias("v"), F.col("sig").alias("sig_v")), "v").join(sig.select(F.col("nid").alias("u"), F.col("sig").alias("sig_u")), "u")
     links = cut(_verified(map_arrow(pairs.select("u", "v", "sig_u", "sig_v"), _prune, "u long, v long"), members, threshold))
     labels = components(links)
-    for first in (FIRST_TRIES, None):
-        named = buckets.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-        sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-        open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).filter("labels > 1")
-        met = named.join(open_, "band").select("band", "nid", "label", "main", F.pmod(F.xxhash64("nid"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block"))
-        met = cut(met)
-        stray = met.filter("label <> main")
-        tasks = stray.select("band", F.col("block").alias("i")).distinct().join(met.select("band", F.col("block").alias("j")).distinct(), "band")
-        left = stray.withColumnRenamed("block", "i").join(tasks, ["band", "i"]).join(sig, "nid").select("band", "i", "j", "nid", "label", "sig")
-        right = met.withColumnRenamed("block", "j").join(tasks, ["band", "j"]).join(sig, "nid").toDF(*(f"{c}_" for c in ("nid", "band", "j", "label", "main", "i", "sig")))
-        pairs = left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_")).applyInArrow(_strays(first), "u long, v long").distinct()
-        links = cut(links.unionByName(_verified(pairs, members, threshold)).distinct())
-        labels = components(links)
+
+    named = buckets.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).filter("labels > 1")
+    met = cut(named.join(open_, "band").select("band", "nid", "label", "main", F.pmod(F.xxhash64("nid"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")))
+    stray = met.filter("label <> main")
+    tasks = stray.select("band", F.col("block").alias("i")).distinct().join(met.select("band", F.col("block").alias("j")).distinct(), "band")
+    left = stray.withColumnRenamed("block", "i").join(tasks, ["band", "i"]).join(members, "nid").select("band", "i", "j", "nid", "label", "sig", "shingles")
+    right = met.withColumnRenamed("block", "j").join(tasks, ["band", "j"]).join(members, "nid").select("band", "i", "j", "nid", "label", "sig", "shingles")
+    right = right.toDF(*(f"{c}_" for c in right.columns))
+    more = left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_")).applyInArrow(_strays(threshold), "a long, b long")
+    labels = components(links.unionByName(more))
 
     named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("label"))
     out = base.join(named, ["f1", "f2", "n"], "left").withColumn("label", F.coalesce("label", "nid"))
