@@ -1,0 +1,367 @@
+"""The text operators on frames: odd rows, and the registered queries against SQL or brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import public_tokenizers
+import pytest
+import sentencepiece
+import tiktoken
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from keystrata.llm import decontaminate, html_text, langid, lbl_lm, licenses, neardup, quality_crf, queries, spm, suffix_dedup, token_hist
+
+SF = "/root/testdata/sf0.001"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LONG = "lorem ipsum dolor " * 20_000
+#: Null ids and texts, empty and very long texts, equal rows, equal ids, and columns whose names operators use themselves.
+ODD = [
+    (1, "alpha beta gamma " * 30, "x"),
+    (1, "alpha beta gamma " * 30, "x"),
+    (1, "another text under the same id", None),
+    (2, None, "x"),
+    (3, "", None),
+    (4, " \n\t ", "y"),
+    (5, LONG, "y"),
+    (None, "no id here", "z"),
+    (None, None, None),
+    (6, "alpha beta gamma " * 30, "x"),
+    (7, "é日本 😀", "x"),
+]
+CLASHING = "rid", "rk", "nid", "_text", "n", "label", "kept", "score", "ids", "spans", "gone"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string").repartition(3)
+    return df.withColumns({c: F.lit(f"{c}!") for c in CLASHING})
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+
+
+def words(text, lower=True):
+    data = (text or "").encode()
+    return (data.translate(LOWER) if lower else data).split()
+
+
+def removed(rows, length=100):
+    """Per key the bytes left, the number gone and of runs; rows: (key in order, text)."""
+    seen, out = set(), []
+    for key, text in rows:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - length + 1):
+            g = data[p : p + length]
+            if g in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(g)
+        left = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        out.append((key, len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()))
+    return out
+
+
+def classes(rows):
+    """Component of every document by comparing all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = words(text)
+        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(sets)
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            inter = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * inter >= 85 * (len(sets[a]) + len(sets[b]) - inter):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_quality_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (6, None)], "doc_id long, quality int")
+    rows = quality_crf.quality(odd, labels).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        if r.doc_id in (2, 3, 4):
+            assert (r.n_words, r.base_failed, r.kept, r.n_lines) == (0, True, False, 0)
+    assert quality_crf.quality(odd.limit(0), labels).count() == 0
+    assert quality_crf.quality(odd, labels.limit(0)).count() == len(ODD)
+
+
+def test_quality_query(spark, docs):
+    texts = {i: t for i, t, _ in docs}
+    for r in queries.op1_quality_crf(spark, SF).collect():
+        t = texts[r.doc_id]
+        w = words(t, lower=False)
+        tri = Counter(zip(w, w[1:], w[2:], strict=False))
+        repeat = {j for k in range(len(w) - 2) if tri[w[k], w[k + 1], w[k + 2]] > 1 for j in (k, k + 1, k + 2)}
+        assert (r.n_words, r.n_repeat_words) == (len(w), len(repeat))
+        assert r.base_failed == (len(w) < 50 or 100 * len(repeat) > 50 * len(w))
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = quality_crf.quality(d, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not base_failed").select("kept", "quality").collect()
+    assert sum(r.kept == (r.quality > 0) for r in known) > 0.95 * len(known)
+
+
+def test_removal_of_odd_rows(spark, odd):
+    rows = suffix_dedup.remove_repeats(odd.drop("rk", "rid")).collect()
+    assert len(rows) == len(ODD)
+    by = {(r.doc_id, r.rk): r for r in rows}
+    assert by[1, 0].n_removed < 700
+    assert by[6, 0].n_removed == by[6, 0].n_bytes == 510
+    assert by[1, 1].n_removed == 510
+    assert by[2, 0].kept is None
+    assert suffix_dedup.remove_repeats(odd.limit(0).drop("rk", "rid")).count() == 0
+
+
+@pytest.mark.parametrize("block", [48 << 20, 3000])
+def test_removal_by_brute_force(spark, block):
+    rng = random.Random(block)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    rows = []
+    for i in range(80):
+        k = rng.randint(0, 250)
+        pick = rng.choice([base[k : k + rng.randint(80, 250)], "ab" * 90, "x" * 130, "é" * 70, ""])
+        rows.append((i, f"{i} " * rng.randint(0, 9) + pick + rng.choice(["", f" {i}", pick])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, block_bytes=block).collect())
+    assert got == removed(rows)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd):
+    rows = neardup.near_duplicates(odd.drop("rk", "rid")).collect()
+    assert len(rows) == len(ODD)
+    kept = [r for r in rows if r.component_id == 1]
+    assert sorted((r.doc_id, r.kept) for r in kept) == [(1, False), (1, False), (1, True), (6, False)] or sorted((r.doc_id, r.kept) for r in kept) == [(1, False), (1, True), (1, True), (6, False)]
+    assert {r.doc_id for r in rows if r.n_shingles == 0} == {2, 3, 4, None}
+    assert neardup.near_duplicates(odd.limit(0).drop("rk", "rid")).count() == 0
+
+
+def test_near_duplicates_in_a_hot_group(spark):
+    """Copies of one text with a few words changed, of which most pairs are not similar enough, and exact copies."""
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"n{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, rows[i % 7][1]) for i in range(150, 250)] + [(i, f"only {i}") for i in range(250, 260)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)
+
+
+def test_decontamination_of_odd_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "beta gamma alpha"), (2, None), (None, "no id"), (3, ""), (1, "beta gamma alpha"), (4, "日本")], "item_id long, text string")
+    rows = decontaminate.find_contamination(odd, bench).collect()
+    assert len(rows) == len(ODD)
+    hit = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in rows if r.n_hit}
+    assert hit[6] == (90, 87, ["1"])
+    assert 7 not in hit
+    assert hit[None] == (3, 2, [])
+    small = decontaminate.find_contamination(odd, bench, automaton_bytes=1).collect()
+    assert sorted(map(repr, small)) == sorted(map(repr, rows))
+    assert decontaminate.find_contamination(odd, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontaminate.find_contamination(odd.limit(0), bench).count() == 0
+
+
+def test_pages_of_odd_rows(spark):
+    body = "<article><p>{0}</p></article><div class=x><p>Footer of every page</p></div>"
+    bare = "<body><p>{0}</p><div><p>Same on all pages</p></div></body>"
+    rows = [(i, "http://a.b/x", body.format(i)) for i in range(12)] + [(i, "http://c.d/x", bare.format(i)) for i in range(20, 32)]
+    rows += [(50, None, None), (51, "", ""), (None, "http://c.d/y", "<p>alone"), (20, "http://c.d/x", bare.format(20)), (60, "http://e.f/", bare.format("x"))]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    assert by[3].text == "3"
+    assert (by[25].text, by[25].n_deleted) == ("25", 1)
+    assert by[60].text == "x\nSame on all pages"
+    assert (by[50].text, by[51].text, by[None].text) == ("", "", "alone")
+    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = "<body><p>What it says</p><p>And more of it</p></body>"
+    rows = [(i, "http://a.b/x", page) for i in range(30)]
+    assert html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("text").distinct().collect()[0].text == "What it says\nAnd more of it"
+
+
+def test_sentencepiece_of_odd_rows(spark, odd):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = spm.encode_decode(odd.select("doc_id", "text", F.col("text").alias("own")), MODEL, keep=("own",)).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        ids = sp.encode(r.own or "")
+        assert (r.n_tokens, r.ids, r.decoded) == (len(ids), ",".join(map(str, ids)), sp.decode(ids))
+    assert spm.encode_decode(odd.limit(0), MODEL).count() == 0
+
+
+def test_sentencepiece_query(spark, docs):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op5_sentencepiece(spark, SF).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {i: (len(ids := sp.encode(t or "")), sha(",".join(map(str, ids))), sha(sp.decode(ids))) for i, t, _ in docs}
+    assert got == want
+
+
+def test_licenses_of_odd_rows(odd):
+    rows = licenses.scan_licenses(odd).collect()
+    assert len(rows) == len(ODD)
+    assert all(r.n_base == 0 for r in rows)
+    assert licenses.scan_licenses(odd.limit(0)).count() == 0
+
+
+def test_license_query(spark, docs):
+    phrases = [[b"cc", b"by"], [b"general", b"public", b"license"], [b"all", b"rights", b"reserved"]]
+    names = ["cc-by", "gpl", "reserved"]
+    texts = {i: t for i, t, _ in docs}
+    for r in queries.op6_licenses(spark, SF).collect():
+        w = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (texts[r.doc_id] or "").encode().translate(LOWER))
+        at = [(k, n) for p, n in zip(phrases, names, strict=True) for k in range(len(w)) if w[k : k + len(p)] == p]
+        assert (r.n_words, r.n_base) == (len(w), len(at))
+        assert (r.first_word, r.last_word) == (min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
+        assert r.base_labels == ",".join(sorted({n for _, n in at}))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1
+
+
+def test_languages_of_odd_rows(spark, odd):
+    model = langid.learn(odd)
+    rows = langid.identify(odd, model).collect()
+    assert len(rows) == len(ODD)
+    assert {r.lang_pred for r in rows if r.doc_id in (2, 3, 4)} == {"und"}
+    nothing = langid.learn(odd.limit(0))
+    assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
+    assert langid.identify(odd.limit(0), model).count() == 0
+
+
+def test_language_query_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in queries.op7_language_mixture(spark, sf).collect() if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in held)
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) > 0.98 * len(held)
+
+
+def test_histogram(spark, odd, docs):
+    h = spark.createDataFrame([(0, 2), (3, 1), (10, 4), (5000, 1)], "n_tokens long, n_docs long")
+    sums = token_hist.suffix_sums(h, block=4)
+    lengths = [0, 0, 3, 10, 10, 10, 10, 5000]
+    for r in sums.collect():
+        assert r.docs_over == sum(x > r.n_tokens for x in lengths)
+        assert r.tokens_within == sum(x for x in lengths if x <= r.n_tokens)
+        assert r.truncated_total == sum(min(x, r.n_tokens) for x in lengths)
+        assert r.quantile == sum(x <= r.n_tokens for x in lengths) / 8
+    for r in token_hist.answer_limits(sums, [0, 2, 5, 10_000]).collect():
+        assert r.truncated_total == sum(min(x, r.context_limit) for x in lengths)
+    assert {r.share: r.n_tokens for r in token_hist.quantile_lengths(sums, [0.25, 0.5, 1.0]).collect()} == {0.25: 0, 0.5: 10, 1.0: 5000}
+    assert token_hist.suffix_sums(h.limit(0)).count() == 0
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counts = token_hist.token_counts(odd, path, public_tokenizers.PATTERN)
+    assert counts.count() == len(ODD)
+    enc = token_hist.encoding(path, open(path, "rb").read(), public_tokenizers.PATTERN)  # noqa: SIM115
+    assert isinstance(enc, tiktoken.Encoding)
+    want = Counter(len(enc.encode_ordinary(t or "")) for _, t, _ in docs)
+    assert {r.n_tokens: r.n_docs for r in queries.op9_token_histogram(spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("frequent", [150_000, 3])
+def test_scores_by_brute_force(spark, docs, frequent):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    got = {r.doc_id: r for r in lbl_lm.score(df, df.filter(~held), vocabulary=64, frequent=frequent).collect()}
+    tokens = {i: [*words(t), b"\n"] for i, t, _ in docs}
+    c = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in tokens.items():
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert abs(got[i].base_score - base) < 1e-6 * abs(base)
+        assert math.isfinite(got[i].score)
+        assert got[i].score < 0
+
+
+def test_scores_of_odd_rows(odd):
+    rows = lbl_lm.score(odd.select("doc_id", "text"), odd.select("text")).collect()
+    assert len(rows) == len(ODD)
+    assert all(r.n_tokens == 1 for r in rows if r.doc_id in (2, 3, 4))
+    nothing = lbl_lm.score(odd.select("doc_id", "text"), odd.select("text").limit(0)).collect()
+    assert all(r.train_tokens == 0 and r.score == r.base_score for r in nothing)
+    assert lbl_lm.score(odd.select("doc_id", "text").limit(0), odd.select("text")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.ORACLE_SQL[name])
+    at = [want.columns.index(c) for c in df.columns]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_pipeline_by_brute_force(spark, docs):
+    kept = {r.doc_id for r in queries.op1_quality_crf(spark, SF).filter("kept").collect()}
+    rows = [(i, t) for i, t, _ in docs if i in kept]
+    comp = classes(rows)
+    rows = [(i, t) for i, t in rows if comp[i][1] == i]
+    seen, left = set(), []
+    for i, t in sorted(rows):
+        data = t.encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(data[p : p + 100])
+        left.append((i, bytes(b for b, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore")))
+    bench = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    norm = lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.encode().translate(LOWER))
+    windows = {tuple(w[k : k + min(13, len(w))]) for _, t in bench if (w := norm(t)) for k in range(max(1, len(w) - 12))}
+    sizes = {len(w) for w in windows}
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = {}
+    for i, t in left:
+        w = norm(t)
+        hit = {j for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for j in range(k, k + n)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            want[i] = hashlib.sha256(",".join(map(str, sp.encode(t))).encode()).hexdigest()
+    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_stages_handle_odd_rows(spark, odd, tmp_path):
+    d = odd.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for rows in (d, d.limit(0)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, rows, SF)
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert i == 0 or out.count() <= rows.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() == rows.count()
+
+
+def test_all_queries_are_registered():
+    names = list(entry.queries())
+    assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == []
+    assert "pipeline" in names

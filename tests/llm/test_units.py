@@ -1,0 +1,314 @@
+"""The text operators' parts without Spark, against brute force."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from keystrata.llm import decontaminate, html_text, langid, lbl_lm, licenses, neardup, quality_crf, spm, suffix_dedup
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def merges():
+    return spm.Merges(MODEL)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(alphabet=" \n\t▁aeinrstABé中😀\x00.,'-1230​", max_size=60))
+def test_sentencepiece_equals_the_library(merges, library, text):
+    ids = library.encode(text)
+    assert merges.encode(text) == ids
+    assert [i for w in spm.parts(text) for i in merges.encode_word(w)] == ids
+    assert merges.decode(ids) == library.decode(ids)
+
+
+def test_sentencepiece_long_word(merges, library):
+    text = "".join(random.Random(1).choice("aeinrst") for _ in range(3000))
+    assert merges.encode(text) == library.encode(text)
+
+
+def test_agenda_is_score_ordered(merges):
+    assert merges.encode_word("") == []
+    assert merges.encode_words(["", " a", " the"]) == [[], merges.encode_word(" a"), merges.encode_word(" the")]
+
+
+def brute_removal(rows, length):
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        data = text.encode()
+        gone = [False] * len(data)
+        for p in range(len(data) - length + 1):
+            g = data[p : p + length]
+            if g in seen:
+                gone[p : p + length] = [True] * length
+            seen.add(g)
+        out[i] = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+    return out
+
+
+def test_windows_of_equal_text_have_equal_triggers():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(97, 123, 500, dtype=np.uint8).tobytes()
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() + shared + rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (3, 70)]
+    which, start, count, trig, _ = suffix_dedup.parse(texts)
+    found = {}
+    for w, s, c, t in zip(which, start, count, trig, strict=True):
+        for k in range(c):
+            found.setdefault(texts[w][s + k : s + k + 100], set()).add(int(t))
+    assert all(len(x) == 1 for x in found.values())
+    assert sum(count) == sum(len(t) - 99 for t in texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=300), st.integers(1, 40))
+def test_suffix_ranks(data, depth):
+    ranks = suffix_dedup.suffix_ranks(np.frombuffer(data, dtype=np.uint8), depth)
+    keys = [data[i : i + depth] for i in range(len(data))]
+    order = {k: i for i, k in enumerate(sorted(set(keys)))}
+    assert [order[k] for k in keys] == (ranks - ranks.min()).tolist() or [sorted(set(ranks)).index(r) for r in ranks] == [order[k] for k in keys]
+
+
+def test_corpus_order_is_sorted():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(10, 40))).encode() for _ in range(30)]
+    texts += texts[:5]
+    text, inner, new = suffix_dedup.corpus_order(texts, 10)
+    windows = [texts[t][i : i + 10] for t, i in zip(text, inner, strict=True)]
+    assert windows == sorted(windows)
+    assert [bool(x) for x in new] == [i == 0 or windows[i] != windows[i - 1] for i in range(len(windows))]
+    assert len(windows) == sum(len(t) - 9 for t in texts)
+
+
+def test_cut_out():
+    assert suffix_dedup.cut_out(b"abcdefghij", [(1, 2), (3, 4)], 3) == (b"aghij", [(1, 6)])
+    assert suffix_dedup.cut_out(b"abc", [], 3) == (b"abc", [])
+
+
+def test_shingles():
+    sets = neardup.shingle_sets([None, "", " \n", "A b", "a B", "a b c d", "a b c d a b c", "x"])
+    assert [len(s) for s in sets] == [0, 0, 0, 1, 1, 2, 4, 1]
+    assert sets[3].tolist() == sets[4].tolist() != sets[7].tolist()
+    assert set(sets[5].tolist()) <= set(sets[6].tolist())
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
+    b = np.concatenate((a[:800], np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))))
+    s = neardup.signatures([a, np.sort(b)])
+    assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.15
+
+
+def test_pruning_keeps_what_is_similar():
+    bounds = neardup.least_matches()
+    rng = np.random.default_rng(2)
+    n = 20_000
+    same = rng.random((n, neardup.ROWS * neardup.BANDS)) < 0.85
+    left = np.zeros((n, same.shape[1]), dtype=np.uint8)
+    kept, _ = neardup.surviving(left, (~same).astype(np.uint8), np.arange(n), np.arange(n), bounds)
+    assert len(kept) > 0.999 * n
+    kept, _ = neardup.surviving(left, (rng.random(same.shape) > 0.4).astype(np.uint8), np.arange(n), np.arange(n), bounds)
+    assert len(kept) < 0.01 * n
+
+
+def test_windows_of_items():
+    w = decontaminate.windows([("1", "a b"), ("2", None), ("3", "A, b!"), (None, "c"), ("4", " ".join(map(str, range(14))))])
+    assert w[" a b "] == (2, ["1", "3"])
+    assert w[" c "] == (1, [])
+    assert sum(1 for k in w if k.count(" ") == 14) == 2
+
+
+def test_hits_and_original_offsets():
+    a = decontaminate.automaton(decontaminate.windows([("1", "Dé f"), ("2", "f x")]))
+    text = "a, DÉ! dé F-X."
+    n, ranges, items = decontaminate.scan(text, a)
+    assert (n, items) == (5, {"1", "2"})
+    spans = decontaminate.original_spans(text, decontaminate.merged(ranges))
+    assert [text[s["start"] : s["end"]] for s in spans] == ["dé F-X"]
+    assert decontaminate.scan(None, a) == (0, [], set())
+    assert decontaminate.scan("a", None) == (1, [], set())
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body>
+<header>Site</header><nav><ul><li>Home<li>About</ul></nav><div class="ad">buy</div><!-- gone -->
+<article><h1>Head &amp; tail</h1><p>One  two
+three<p>Four <b>fi</b>ve<br>six &#233;<aside>side</aside><div class="comments"><p>hi</p></div><form>f</form></article>
+<div id="sidebar">s</div><footer>&copy;</footer></body></html>"""
+
+
+def test_page():
+    blocks, marks = html_text.examine(PAGE, "h")
+    assert [t for t, _ in blocks] == ["Head & tail", "One two three", "Four five six é"]
+    assert marks
+    assert all(not m for _, m in blocks)
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "</p></p>", "a<b", "<p " + "x" * 5000, "<div>" * 3000 + "x"])
+def test_broken_pages(page):
+    blocks, _ = html_text.examine(page, "h")
+    assert all(t.strip() for t, _ in blocks)
+
+
+def test_page_without_article():
+    blocks, _ = html_text.examine("<body><div class='menu'>m</div><p>a&nbsp;b</p>text<p>c", "h")
+    assert [t for t, _ in blocks] == ["a b", "text", "c"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("MIT", ({"mit"}, True)),
+        ("MIT OR GPL-2.0", ({"mit", "gpl-2.0"}, True)),
+        ("MIT AND GPL-2.0", ({"mit", "gpl-2.0"}, False)),
+        ("GPL-2.0 WITH Classpath-exception-2.0 OR (MIT AND Apache-2.0)", ({"gpl-2.0", "mit", "apache-2.0"}, True)),
+        ("(GPL-2.0 OR MIT) AND GPL-3.0", ({"gpl-2.0", "mit", "gpl-3.0"}, False)),
+        ("MIT This file is", ({"mit"}, True)),
+    ],
+)
+def test_license_expressions(text, want):
+    assert licenses.evaluate(licenses.postfix(text)) == want
+
+
+def test_bad_expressions():
+    for text in ("", "AND MIT", "( MIT"):
+        assert licenses.postfix(text) is None
+    assert licenses.postfix("MIT OR") == ["mit"]
+
+
+def test_license_scan():
+    n, n_base, first, last, base, labels, expressions, permissive, score = licenses.examine("x CC-BY and cc by nc.\nSPDX-License-Identifier: Apache-2.0 OR MIT\nall RIGHTS reserved")
+    assert (n, n_base, first, last, base) == (18, 3, 1, 15, "cc-by,reserved")
+    assert labels == "apache-2.0,cc-by,cc-by-nc,mit,reserved"
+    assert (expressions, permissive) == (["apache-2.0 mit or"], True)
+    assert 0.9 < score < 1
+    assert licenses.examine(None) == (0, 0, None, None, "", "", [], None, 0.0)
+    assert licenses.examine("plain prose")[-1] == 0
+
+
+def brute_base(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    repeat = {j for i in range(len(words) - 2) if windows[words[i], words[i + 1], words[i + 2]] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeat)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab é　\xa0\x0b\n\t#|", max_size=80))
+def test_base_measures(text):
+    assert quality_crf.base_measures(text) == brute_base(text)
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    f = quality_crf.Field(move=rng.normal(size=(2, 2)), first=rng.normal(size=2))
+    for n in range(1, 8):
+        emit = rng.normal(size=(n, 2)).tolist()
+
+        def value(y, emit=emit):
+            return f.first[y[0]] + sum(emit[i][k] for i, k in enumerate(y)) + sum(f.move[a, b] for a, b in itertools.pairwise(y))
+
+        best = max(itertools.product((0, 1), repeat=n), key=value)
+        assert tuple(f.viterbi(emit)) == best
+    assert f.viterbi([]) == []
+
+
+def test_field_gradient():
+    rng = np.random.default_rng(5)
+    n = quality_crf.N_FEATURES
+    x, y, mask = rng.normal(size=(2, 4, n)), rng.integers(0, 2, (2, 4)), np.array([[True] * 4, [True, True, False, False]])
+    f = quality_crf.Field(rng.normal(size=(n, 2)) * 0.1, rng.normal(size=(2, 2)), rng.normal(size=2))
+    value, g_w, g_m, g_f = f.gradient(x, y, mask)
+    assert value < 0
+    for array, grad, at in ((f.weights, g_w, (3, 1)), (f.move, g_m, (0, 1)), (f.first, g_f, (1,))):
+        array[at] += 1e-5
+        up = f.gradient(x, y, mask)[0]
+        array[at] -= 2e-5
+        down = f.gradient(x, y, mask)[0]
+        array[at] += 1e-5
+        assert abs((up - down) / 2e-5 - grad[at]) < 1e-4
+
+
+def test_field_tells_boilerplate():
+    good = "The quick brown fox jumps over the lazy dog, and then it rests.\nIt was a fine day for everyone there."
+    bad = "Home | About | Contact | Terms\n*** $$$ ### $$$ ***\nClick || here ||"
+    field = quality_crf.fit_lines([(good, 1), (bad, 0)] * 20)
+    for text, want in ((good, 1), (bad, 0)):
+        _, rows = quality_crf.lines_of(text)
+        assert set(field.viterbi((quality_crf.features(rows) @ field.weights).tolist())) == {want}
+    assert not quality_crf.fit_lines([(good, 1)]).weights.any()
+
+
+def test_mixture_proportions():
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    x, y = (lambda n: " ".join(word("abcde") for _ in range(n))), (lambda n: " ".join(word("vwxyz") for _ in range(n)))
+    rows = []
+    for lang, make in (("xx", x), ("yy", y)):
+        bucket, _, _ = langid.grams([make(2000)])
+        counts = np.bincount(bucket, minlength=langid.BUCKETS)
+        rows += [(lang, int(i), int(counts[i])) for i in np.flatnonzero(counts)]
+    m = langid.LanguageModel.of_counts(rows)
+    a, b, c, d, e = m.mixtures([x(50), x(60) + " " + y(20), None, "123 !", y(1)])
+    assert list(a) == ["xx"]
+    assert abs(b["xx"] - 0.75) < 0.03
+    assert abs(b["yy"] - 0.25) < 0.03
+    assert c is None
+    assert d is None
+    assert list(e) == ["yy"]
+    assert langid.LanguageModel.of_counts([]).mixtures(["abc"]) == [None]
+
+
+def test_model_is_normalised():
+    rng = np.random.default_rng(8)
+    m = lbl_lm.Model(*(rng.normal(size=(40, 5)).astype(np.float32) for _ in range(3)), rng.normal(size=40).astype(np.float32))
+    first, second, log_z = m.tables()
+    p = np.exp(first[:, None, :] + second[None, :, :] - log_z[:, :, None])
+    assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
+
+
+def test_contexts():
+    v, u = lbl_lm.contexts(np.array([5, 6, 1, 1, 7, 1]), np.array([0, 3, 4]))
+    assert v.tolist() == [1, 5, 6, 1, 1, 7]
+    assert u.tolist() == [1, 1, 5, 1, 1, 1]
+
+
+def test_noise_contrast_learns():
+    rng = np.random.default_rng(9)
+    n = 60_000
+    ids = rng.integers(2, 12, n)
+    ids[1::2] = ids[0::2] % 10 + 2  # every second word follows from the one before
+    unigram = (np.bincount(ids, minlength=12) + 1) / (n + 12)
+    t = lbl_lm.Trainer(lbl_lm.Model.start(unigram), unigram, 1)
+    v, u = lbl_lm.contexts(ids, np.array([0]))
+    for i in range(0, n, 500):
+        t.step(ids[i : i + 500], v[i : i + 500], u[i : i + 500])
+    first, second, z = t.m.tables()
+    fitted = (first[v, ids] + second[u, ids] - z[v, u])[-5000:].mean()
+    assert fitted > np.log(unigram[ids])[-5000:].mean() + 0.2
+
+
+def test_tokens():
+    assert lbl_lm.tokens_of(None) == [lbl_lm.END]
+    assert lbl_lm.tokens_of("A b\x0bÉ") == [b"a", b"b", "É".encode(), lbl_lm.END]
+    assert zlib.crc32(b"5") % 7 in range(7)
+    assert math.isfinite(lbl_lm.RATE)
+
+
