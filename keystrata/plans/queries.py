@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from keystrata.functions import keys as K
 from keystrata.functions.preds import holds, live
-from keystrata.model import Pred, Require, Write, parse_template
+from keystrata.model import Field, Pred, Require, Write, parse_template
 from keystrata.operators import analysis, cost, derive, evolve, reads, writes
+from keystrata.plans import document, planner
 from keystrata.sources.catalog import design, entity, rows, table
+from keystrata.sources.store import physical
 from keystrata.streaming import maintain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -933,3 +935,163 @@ def st4_catch_up(spark, d):
     return maintain.run_to_end(_stream(spark, d).select("event_id", "user_id"), scratch(spark, "st4"), "append").select("event_id", "user_id")
 
 
+
+
+# --- what the driver knows of a design, as frames ---------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('Customer', 'Close', 'delete_read'), ('Customer', 'Open', 'put'), ('Customer', 'Rename', 'read_first'), ('Event', 'Record', 'put'), ('Order', 'Cancel', 'delete_read'), ('Order', 'Close', 'read_first'), ('Order', 'Note', 'single'), ('Order', 'Place', 'put'), ('Order', 'Reprice', 'read_first'), ('Part', 'Add', 'put')) t(entity, write, shape)")
+def w4_w5_write_shapes(spark, d):
+    return spark.createDataFrame([(e.name, w.name, planner.write_shape(e, w)) for e in design().entities for w in e.writes], "entity string, write string, shape string")
+
+
+@query("SELECT * FROM (VALUES ('Cancel', NULL, false), ('Close', true, false), ('Note', NULL, NULL), ('Place', false, true), ('Reprice', NULL, NULL)) t(write, before, after)")
+def p7_index_membership(spark, d):
+    e = entity("Order")
+    return spark.createDataFrame([(w.name, *planner.members(e, e.index("Open"), w)) for w in e.writes], "write string, before boolean, after boolean")
+
+
+@query("SELECT * FROM (VALUES ('F', 'F'), ('not F', 'O,P,'), ('F or O', 'F,O')) t(pred, allowed)")
+def p5_allowed_values(spark, d):
+    f = entity("Order").field("o_orderstatus")
+    preds = {"F": Pred("o_orderstatus", ("F",)), "not F": Pred("o_orderstatus", ("F",), True), "F or O": Pred("o_orderstatus", ("F", "O"))}
+    return spark.createDataFrame([(n, planner.allowed_values(f, p)) for n, p in preds.items()], "pred string, allowed string")
+
+
+@query("SELECT * FROM (VALUES ('Order', 'Customer', 'c_custkey', 'o_custkey'), ('Line', 'Part', 'p_partkey', 'l_partkey'), ('Line', 'Supplier', 's_suppkey', 'l_suppkey')) t(entity, target, theirs, ours)")
+def j7_key_mapping(spark, d):
+    out = [(e.name, t.name, a, b) for e in design().entities for t in design().entities if e is not t for a, b in planner.key_mapping(design(), e, t).items()]
+    return spark.createDataFrame(out, "entity string, target string, theirs string, ours string")
+
+
+@query("SELECT * FROM (VALUES ('Line', 'Order', 'volume'), ('Line', 'Part', 'ref'), ('Line', 'Supplier', 'ref'), ('Order', 'Customer', 'ref'), ('Order', 'Customer', 'requires'), ('Order', 'Customer', 'volume')) t(entity, target, kind)")
+def z16_relations(spark, d):
+    return spark.createDataFrame(planner.relations(design()), "entity string, target string, kind string")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS overlapping FROM range(0, 21)")
+def k4_k5_overlaps(spark, d):
+    pairs = spark.createDataFrame(planner.overlaps(design()), "a string, b string, equal boolean, prefix boolean")
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("equal").alias("overlapping"))
+
+
+@query("SELECT * FROM (VALUES ('Customer', 'bounded'), ('Order', 'bounded'), ('Part', 'grows'), ('Supplier', 'fixed'), ('Line', 'fixed'), ('Event', 'bounded'), ('Turn', 'fixed')) t(entity, growth)")
+def z21_growth(spark, d):
+    return spark.createDataFrame([(e.name, analysis.growth(e)) for e in design().entities], "entity string, growth string")
+
+
+@query("SELECT * FROM (VALUES ('Customer: c_name is unique'), ('Customer: c_name is never empty'), ('Order.Place needs a Customer'), ('Part: p_name is unique')) t(guarantee)")
+def z28_guarantees(spark, d):
+    return spark.createDataFrame([(g,) for e in design().entities for g in analysis.guarantees(e)], "guarantee string")
+
+
+@query("SELECT 200.0::DOUBLE AS typical, 1000.0::DOUBLE AS most")
+def z18_chained_skew(spark, d):
+    return spark.createDataFrame([planner.chained_skew([(10.0, 50.0), (20.0, 60.0)])], "typical double, most double")
+
+
+@query("SELECT o_custkey, least(5.0, greatest(1, ceil(count(*) * 571 / 4096.0)) * 0.5)::DOUBLE AS rru FROM orders GROUP BY 1")
+def z25_read_capping(spark, d):
+    per = analysis.items_per_key(table(spark, d, "orders"), ["o_custkey"])
+    return per.select("o_custkey", F.least(F.lit(5.0), cost.observed_read_units(F.col("n") * 571)).cast("double").alias("rru"))
+
+
+@query("SELECT doc_id, greatest(1, ceil(strlen(text) / 20.0))::BIGINT AS declared, len(list_distinct(string_split(text, ' ')))::BIGINT AS held FROM documents")
+def z11_set_elements(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / float(cost.ELEMENT))).cast("bigint").alias("declared"), F.size(F.array_distinct(F.split("text", " "))).cast("bigint").alias("held"))
+
+
+@query("SELECT * FROM (VALUES (1, 100), (2, 50), (8, 12), (150, 1)) t(per_write, size)")
+def w26_batch_size(spark, d):
+    return spark.createDataFrame([(n, writes.batch_size(n)) for n in (1, 2, 8, 150)], "per_write int, size int")
+
+
+@query("SELECT i::INT AS attempt, least(0.005 * 2 ** i, 0.25)::DOUBLE AS seconds FROM range(0, 7) t(i)")
+def w24_retry(spark, d):
+    return spark.createDataFrame(list(enumerate(writes.waits([1.0] * 8))), "attempt int, seconds double")
+
+
+@query("SELECT * FROM (VALUES ('64KB', 65536), ('1MB', 1048576), ('10', 10), ('1.5GB', 1610612736)) t(text, bytes)")
+def z33_sizes(spark, d):
+    return spark.createDataFrame([(t, analysis.parse_size(t)) for t in ("64KB", "1MB", "10", "1.5GB")], "text string, bytes long")
+
+
+@query("SELECT conv_id, turn, 'CONV#' || printf('%019d', conv_id) AS PK FROM conversations WHERE turn < 2 ORDER BY conv_id, turn")
+def r2_get_many(spark, d):
+    """Existing items of a frame of keys, as a semi-join."""
+    e = entity("Turn")
+    wanted = table(spark, d, "conversations").select("conv_id", "turn").filter("turn < 2").unionByName(spark.createDataFrame([(-1, 0)], "conv_id long, turn long"))
+    return rows(spark, d, "Turn").join(wanted, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", K.render(e.pk, e).alias("PK"))
+
+
+@query("SELECT user_id, min(ts) AS _created, max(ts) AS _updated FROM events GROUP BY 1")
+def r26_timestamps(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("_created"), F.max("ts").alias("_updated"))
+
+
+@query("SELECT DISTINCT o_custkey, o_orderdate FROM orders")
+def d8_distinct_keys(spark, d):
+    """Keys once each; in key order where they are read."""
+    return table(spark, d, "orders").select("o_custkey", "o_orderdate").dropDuplicates().sortWithinPartitions("o_custkey", "o_orderdate")
+
+
+@query("SELECT a.c_custkey, (a.c_name, a.c_nationkey) IS NOT DISTINCT FROM (b.c_name, b.c_nationkey) AS same FROM customer a JOIN (SELECT * REPLACE (CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey) FROM customer) b USING (c_custkey)")
+def d7_item_equality(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.struct("c_name", "c_nationkey").alias("a"))
+    b = table(spark, d, "customer").select("c_custkey", F.struct("c_name", F.expr("case when c_custkey % 3 = 0 then c_nationkey + 1 else c_nationkey end").alias("c_nationkey")).alias("b"))
+    return c.join(b, "c_custkey").select("c_custkey", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 <> 0 AS has_copy FROM orders")
+def j8_source_of_copies(spark, d):
+    source, copied = _copied(spark, d)
+    there = copied.select("src_pk", "src_sk", F.lit(True).alias("x"))
+    return source.join(there, ["src_pk", "src_sk"], "left").select("o_orderkey", F.col("x").isNotNull().alias("has_copy"))
+
+
+@query("SELECT window_start, event_type, count(*) AS events FROM (SELECT date_trunc('day', ts) AS window_start, event_type FROM events) GROUP BY ALL")
+def st2_materialised_view(spark, d):
+    """An index that lags: daily counts as the last committed micro-batch has them."""
+    counted = maintain.counter_stream(_stream(spark, d).withColumn("window_start", F.date_trunc("day", "ts").cast("timestamp_ntz")), ["window_start", "event_type"])
+    from keystrata.sources.store import scratch
+
+    return maintain.run_to_end(counted, scratch(spark, "st2"))
+
+
+@query("SELECT * FROM (VALUES ('changed'), ('new')) t(state)")
+def g5_apply_versions(spark, d):
+    from dataclasses import replace
+
+    e = entity("Supplier")
+    changed = replace(e, version=2, fields=(*e.fields, Field("s_note")))
+    out = ["changed" if evolve.next_version(evolve.shape(e), changed)[0] == "new_version" else "?", "new" if evolve.next_version(None, e)[0] == "new_version" else "?"]
+    return spark.createDataFrame([(x,) for x in out], "state string")
+
+
+@query("SELECT * FROM (VALUES ('s_code'), ('s_nationkey')) t(field)")
+def g6_conversion_gaps(spark, d):
+    from dataclasses import replace
+
+    e = entity("Supplier")
+    fields = tuple(replace(f, type="string") if f.name == "s_nationkey" else f for f in e.fields)
+    new = replace(e, fields=(*fields, Field("s_code", required=True), Field("s_note")))
+    return spark.createDataFrame([(x,) for x in evolve.conversion_gaps(e, new)], "field string")
+
+
+@query()
+def s10_physical_spec(spark, d):
+    return spark.createDataFrame([(n, g["pk"], g["sk"], g["all"], ",".join(g["fields"])) for n, g in physical(design())["gsis"].items()], "gsi string, pk string, sk string, everything boolean, fields string")
+
+
+@query()
+def s11_s12_documents(spark, d):
+    import json
+
+    made = [("markdown", document.markdown(design())), ("snapshot", json.dumps(document.snapshot(design()))), ("terraform", document.terraform(design())), ("request", document.create_request(design()))]
+    return spark.createDataFrame(made, "kind string, text string")
+
+
+@query()
+def g1_shapes(spark, d):
+    return spark.createDataFrame([(e.name, *r) for e in design().entities for r in evolve.shape_rows(evolve.shape(e))], "entity string, part string, name string, definition string")
