@@ -21,7 +21,7 @@ def human(n: float) -> str:
 
 
 def plural(n: int, word: str) -> str:
-    return f"{n:,} {word}" + ("" if n == 1 else "es" if word.endswith(("s", "x", "ch")) else word[:0] + "s")
+    return f"{n:,} {word}" + ("" if n == 1 else "es" if word.endswith(("s", "x", "ch")) else "s")
 
 
 def snapshot(design: Design) -> dict[str, Any]:
