@@ -45,14 +45,16 @@ def duplicates(commands: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def create(commands: DataFrame, snapshot: DataFrame, e: Entity, w: Write, now: int | None = None, order: str = "seq") -> DataFrame:
     """The commands with their outcome. Constants of the write replace what the caller gives. An expired row is no obstacle;
-    of commands for one key the first wins."""
+    of commands for one key the first wins. A command whose _rev the stored row already has was applied before: it is ok."""
     for name, v in w.set:
         commands = commands.withColumn(name, literal(v, e.field(name)))
     there = snapshot.filter(live(e.ttl, F.lit(now))) if now is not None else snapshot
-    there = there.select(*e.key_fields).distinct().withColumn("_there", F.lit(True))
+    again = "_rev" in commands.columns and "_rev" in there.columns
+    there = there.groupBy(*e.key_fields).agg((F.max("_rev") if again else F.lit(0)).alias("_stored"))
     tried = duplicates(commands, e.key_fields, order).join(there, e.key_fields, "left")
     bad = missing_required(e) | ~separators_ok(e)
-    return tried.withColumn("outcome", _first((bad, INVALID), (F.col("_there").isNotNull(), EXISTS), (~F.col("first"), EXISTS))).drop("_there", "first")
+    taken = F.col("_stored").isNotNull() & (~F.col("_stored").eqNullSafe(F.col("_rev")) if again else F.lit(True))
+    return tried.withColumn("outcome", _first((bad, INVALID), (taken, EXISTS), (~F.col("first"), EXISTS))).drop("_stored", "first")
 
 
 def guarded(commands: DataFrame, snapshot: DataFrame, e: Entity, w: Write, now: int | None = None) -> DataFrame:
@@ -236,6 +238,13 @@ def outcome_of_all(checks: list[tuple[str, str]]) -> Column:
     return _first(*((~F.col(c), name) for c, name in checks))
 
 
+def require_limit(name: str, limit: int | None) -> int:
+    """A write that may raise a value bounded by its caller must be given the bound."""
+    if limit is None:
+        raise ValueError(f"{name} needs a limit")
+    return limit
+
+
 def transaction_size_ok(n: Column) -> Column:
     return n <= MAX_OPERATIONS
 

@@ -103,6 +103,16 @@ def test_refused_write_leaves_the_table(spark):
     assert writes.apply_update(o, done, e, e.write("Close")).exceptAll(o).count() == 0
 
 
+def test_a_create_survives_its_own_retry(spark):
+    e = Entity("X", (Field("k", "int"),), parse_template("X#{k}"), parse_template("X"))
+    stored = spark.createDataFrame([(1, 77), (2, 5)], "k long, _rev long")
+    tried = spark.createDataFrame([(1, 77, 0), (2, 6, 1), (3, 9, 2), (3, 8, 3)], "k long, _rev long, seq long")
+    got = writes.create(tried, stored, e, Write("Add", "create")).orderBy("seq").collect()
+    assert [r.outcome for r in got] == ["ok", "exists", "ok", "exists"]
+    with pytest.raises(ValueError, match="needs a limit"):
+        writes.require_limit("Loans", None)
+
+
 def test_set_elements(spark):
     e = Entity("D", (Field("k", "int"), Field("t", "string_set")), parse_template("D#{k}"), parse_template("D"))
     snap = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "k long, t array<string>")
