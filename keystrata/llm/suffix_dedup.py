@@ -36,7 +36,7 @@ STRIDE = 1 << 20
 #: Text of a block: what is combined before it leaves a task.
 BLOCK_BYTES = 48 << 20
 #: Input for which one bucket is provided.
-BUCKET_INPUT = 16 << 20
+BUCKET_INPUT = 8 << 20
 
 _AT = np.uint64((1 << 24) - 1)
 
@@ -116,7 +116,7 @@ def suffix_ranks(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     while k < depth:
         step = min(k, depth - k)
         key = rank * (n + 257)
-        key[: n - step] += rank[step:]
+        key[: max(0, n - step)] += rank[step:]
         order = np.argsort(key, kind="stable")
         s = key[order]
         new = np.zeros(n, dtype=np.int64)
@@ -198,7 +198,7 @@ class Places:
         if not len(self.rid):
             return []
         if bucket is None:
-            bucket = np.full(len(self.rid), int(self.rid[0]) % 4093, dtype=np.int64)
+            bucket = np.full(len(self.rid), (int(self.rid[0]) * 40503 + len(self.rid)) % 1_000_003, dtype=np.int64)
         order = np.lexsort((self.start, self.rk, self.rid, bucket))
         cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
         out = []
@@ -358,9 +358,8 @@ def _second_step(buckets: int, length: int, block_bytes: int):
                 at = (np.cumsum(sizes) - sizes)[text[new]] + inner[new]
                 first = every.take(new)
                 first.text = range_hashes(sums, at, at + length)
-                other = range_hashes(sums, at + 1, at + length - 1)
-                first.key = (other & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rows += first.rows(0, ((other >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+                spread = range_hashes(sums, at + 1, at + length - 1) >> np.uint64(32)
+                rows += first.rows(0, (spread % np.uint64(buckets)).astype(np.int64))
             yield _batch(rows)
 
     return work
@@ -407,8 +406,8 @@ def remove_repeats(
     a smaller id, or in the same one. Strings are compared in the input; they don't cross documents. kept_sha256 is the
     digest of the bytes that are left; kept is them as text, without characters of which a part is gone. A null text has
     no bytes and stays null; shorter texts stay whole. Rows that share an id are told apart by rk, in the order of
-    their text; a null id comes after all others. An empty table gives no rows. Strings of equal digests (96 bits, with
-    their bucket) count as equal."""
+    their text; a null id comes after all others. An empty table gives no rows. Strings of one bucket with equal digests of 64
+    bits count as equal; buckets are told apart by other bits, and there are more of them the larger the input is."""
     rows = keyed(docs, id_col, text_col).select("rid", "rk", "text")
     buckets = text_bytes(input_bytes(docs, text_col), bucket_input, 12)
 
