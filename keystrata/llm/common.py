@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see that earlier frames are gone, so that their shuffle files don't pile up with the next ones.
+    The driver's JVM hears of frames that Python has dropped a moment later."""
+    for _ in range(3):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(column: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n

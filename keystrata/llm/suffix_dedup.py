@@ -13,7 +13,7 @@ prefix-free parsing needs at this depth. So:
    first of those are repeats; the first goes to a bucket by digest, where it meets the other blocks' first ones.
 3. Documents drop the bytes that repeats cover.
 
-Text crosses the network once. A string that stands in a third of all documents is sent once by a block, not once by
+Text crosses the network twice, compressed, and what was shuffled before the spans are written is given back then. A string that stands in a third of all documents is sent once by a block, not once by
 a document."""
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import input_bytes, keyed, map_arrow, original_id, text_bytes
+from keystrata.llm.common import cut, free_shuffles, input_bytes, keyed, map_arrow, original_id, text_bytes
 from keystrata.llm.rolling import prefix_sums, range_hashes, window_hashes
 
 LENGTH = 100
@@ -233,10 +234,10 @@ def _runs(new: np.ndarray) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], spans: bool, block_bytes: int) -> Iterator[tuple[Block, list]]:
     block, listed = Block(), []
     for b in batches:
-        columns = [b.column(c).to_pylist() for c in ("rid", "rk", "text")]
+        texts = _unpack(b.column("packed").to_pylist()) if spans else [t.encode("utf-8", "replace") if t else b"" for t in b.column("text").to_pylist()]
         found = b.column("spans").to_pylist() if spans else [None] * b.num_rows
-        for rid, rk, text, s in zip(*columns, found, strict=True):
-            block.add(rid, rk, text.encode("utf-8", "replace") if text else b"")
+        for rid, rk, text, s in zip(b.column("rid").to_pylist(), b.column("rk").to_pylist(), texts, found, strict=True):
+            block.add(rid, rk, text or b"")
             listed.append(s or [])
             if block.bytes >= block_bytes:
                 yield block, listed
@@ -245,6 +246,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], spans: bool, block_bytes: int) ->
         yield block, listed
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the way to where their spans are; half the size of what a shuffle makes of them."""
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        packed = [None if t is None else press.compress(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("rk"), pa.array(packed, pa.binary())], names=["rid", "rk", "packed"])
+
+
+def _unpack(packed: list[bytes | None]) -> list[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return [None if p is None else press.decompress(p) for p in packed]
+
+
 def _first_step(buckets: int, length: int, block_bytes: int):
     """Parses. Of a block's equal phrases one stays. A trigger with several phrases in a block is open, and its bucket
     is told so by one mark, whatever their number."""
@@ -387,8 +401,8 @@ def _third_step(length: int, with_text: bool):
         kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
         for b in batches:
             rows = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                data = text.encode("utf-8", "replace") if text else b""
+            for text, spans in zip(_unpack(b.column("packed").to_pylist()), b.column("spans").to_pylist(), strict=True):
+                data = text or b""
                 kept, runs = cut_out(data, [(s["start"], s["stop"]) for s in spans or []], length)
                 rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text and text is not None else None))
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())]
@@ -411,12 +425,18 @@ def remove_repeats(
     rows = keyed(docs, id_col, text_col).select("rid", "rk", "text")
     buckets = text_bytes(input_bytes(docs, text_col), bucket_input, 12)
 
+    packed = map_arrow(rows, _pack, "rid long, rk int, packed binary")
+
     def by_document(spans: DataFrame) -> DataFrame:
         listed = spans.groupBy("rid", "rk").agg(F.collect_list(F.struct("start", "stop", "open")).alias("spans"))
-        return rows.join(listed, ["rid", "rk"], "left")
+        return packed.join(listed, ["rid", "rk"], "left")
+
+    def repeats() -> DataFrame:
+        found = map_arrow(rows, _first_step(buckets, length, block_bytes), PLACES).groupBy("bucket").applyInArrow(_meet(True), SPANS)
+        met = map_arrow(by_document(found).filter("spans is not null").sortWithinPartitions("rid", "rk"), _second_step(buckets, length, block_bytes), PLACES)
+        return cut(met.groupBy("bucket").applyInArrow(_meet(False), SPANS))
 
-    found = map_arrow(rows, _first_step(buckets, length, block_bytes), PLACES).groupBy("bucket").applyInArrow(_meet(True), SPANS)
-    met = map_arrow(by_document(found).filter("spans is not null").sortWithinPartitions("rid", "rk"), _second_step(buckets, length, block_bytes), PLACES)
-    done = by_document(met.groupBy("bucket").applyInArrow(_meet(False), SPANS))
-    out = map_arrow(done, _third_step(length, with_text), "rid long, rk int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    spans = repeats()
+    free_shuffles(docs.sparkSession)
+    out = map_arrow(by_document(spans), _third_step(length, with_text), "rid long, rk int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out.select(original_id().alias(id_col), "rk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
