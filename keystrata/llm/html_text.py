@@ -14,6 +14,8 @@ from keystrata.llm.common import map_arrow
 
 #: A subtree goes if it stands on this many pages of its host whose main texts differ.
 MANY_PAGES = 10
+#: Inside an article or main element, pages differ if the longest blocks beside the subtree, at most this many, differ.
+BESIDE = 2
 
 # Names of HTML elements, and words in class, id and role that tell what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +36,8 @@ ASIDE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header topbar banner masthead".split())
 MAIN_WORDS = frozenset("main".split())
+# Parts of a list, table or section, that say nothing alone: in an article they go with the whole or stay.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th thead tbody tfoot caption figcaption summary legend option optgroup".split())
 # End of fixed values.
 
 TOKEN = re.compile(
@@ -155,10 +159,11 @@ def digest(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def examine(page: str | None, host: str) -> tuple[list[tuple[str, list[int]]], set[int]]:
-    """Blocks of the main text, each with the digests of the subtrees that it goes with; and the digests of all subtrees.
+def examine(page: str | None, host: str, inside: bool = False) -> tuple[list[tuple[str, list[int]]], set[int]]:
+    """Blocks of the main text, each with the digests of the subtrees that it goes with; and the digests of all subtrees
+    outside article and main elements.
 
-    Subtrees inside an article or main element have no digest: what recurs there is what the page is about."""
+    With `inside`, blocks have digests of the subtrees inside an article or main element too, PARTS aside."""
     if not page:
         return [], set()
     root = tree(page)
@@ -208,14 +213,18 @@ def examine(page: str | None, host: str) -> tuple[list[tuple[str, list[int]]], s
             flush()
         if wanted and unwanted(n, in_main):
             wanted = False
+        within = in_main
         if not in_main and is_main(n) and wanted:
             in_main = True
         mark = 0
-        if n.tag in BLOCKS and not in_main and not n.holds_main and n.tag not in ("html", "body") and n.children:
+        counted = inside and wanted and n.tag not in PARTS if within else not in_main
+        if n.tag in BLOCKS and counted and not n.holds_main and n.tag not in ("html", "body") and n.children:
             text = full_text(n)
             if not re.sub(r"<[^>]*>", "", text).isspace() and re.sub(r"<[^>]*>", "", text):
-                mark = digest(host, text)
-                every.add(mark)
+                # What recurs outside tells nothing of the same text inside.
+                mark = digest(host, text, "main") if within else digest(host, text)
+                if not within:
+                    every.add(mark)
                 if wanted:
                     chain.append(mark)
         todo.append((None, n, mark and wanted))
@@ -225,6 +234,27 @@ def examine(page: str | None, host: str) -> tuple[list[tuple[str, list[int]]], s
     return blocks, every
 
 
+def contents(blocks: list[tuple[str, list[int]]], every: set[int]) -> list[tuple[int, int]]:
+    """Every mark of a page with a digest of what else the page says, so that copies count once.
+
+    Outside article and main that is all blocks. Inside it is the longest blocks that don't go with the mark, so that
+    copies of an article that differ in a line (a date, a count) are copies still; a subtree beside which nothing stands
+    has none."""
+    whole = digest(*(t for t, _ in blocks))
+    out = [(mark, whole) for mark in every]
+    longest = [(t, set(marks)) for t, marks in sorted(blocks, key=lambda b: (-len(b[0]), b[0]))]
+    for mark in {m for _, marks in blocks for m in marks} - every:
+        beside: list[str] = []
+        for text, marks in longest:
+            if mark not in marks:
+                beside.append(text)
+                if len(beside) == BESIDE:
+                    break
+        if beside:
+            out.append((mark, digest(*beside)))
+    return out
+
+
 def host_of(url: str | None) -> str:
     m = HOST.match(url or "")
     return m[1].lower() if m else ""
@@ -236,25 +266,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     The text is that of the article or main element, else of the body, without menus, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles and reader comments, told by their element or by words in class, id and role. Character
     references are decoded; white space inside a block is one space; blocks follow each other in page order, one a line.
-    Then element subtrees outside article and main that stand on at least `many_pages` pages of their host with
-    different main texts are deleted (copies of a page count once). A null or empty page has the empty text; a null url
-    is a host of its own name. Repeated rows stay repeated.
+    Then element subtrees that stand on at least `many_pages` pages of their host with different main texts are deleted
+    (copies of a page count once). Inside article and main, headings, list items and table cells go only with what holds
+    them, and pages differ by their longest blocks beside the subtree. A null or empty page has the empty text; a null
+    url is a host of its own name. Repeated rows stay repeated.
 
     Pages are parsed twice, once for digests of subtrees only, so that neither markup nor text is kept in between."""
 
     def count(batches):
         for b in batches:
-            marks, contents = [], []
+            found: list[tuple[int, int]] = []
             for url, page in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True):
-                blocks, every = examine(page, host_of(url))
-                content = digest(*(t for t, _ in blocks))
-                marks += every
-                contents += [content] * len(every)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(contents, pa.int64())], names=["mark", "content"])
+                found += contents(*examine(page, host_of(url), inside=True))
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["mark", "content"])
 
     def extract(batches):
         for b in batches:
-            rows = [examine(page, host_of(url))[0] for url, page in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True)]
+            rows = [examine(page, host_of(url), inside=True)[0] for url, page in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True)]
             kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))
             blocks = pa.array([[{"text": t, "marks": m} for t, m in r] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), blocks], names=[*b.schema.names[2:], "blocks"])

@@ -208,6 +208,18 @@ def test_copies_of_a_page_count_once(spark):
     assert html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("text").distinct().collect()[0].text == "What it says\nAnd more of it"
 
 
+def test_templates_inside_articles(spark):
+    """A neutrally named box that recurs inside articles goes; recurring headings, cells and near-copied articles stay."""
+    page = "<main><div class=x><article><h2>Sources</h2><p>Text of its own {0}</p><table><tr><td>yes</td><td>{0}</td></tr></table><div class=q><p>Write to us <b>now</b></p><ul><li>Send</li></ul></div></article></div><div><p>Seen elsewhere</p></div></main>"
+    copy = "<article><p>The first long paragraph of it</p><p>The second long paragraph</p><p>The third one is long</p><p>Seen {0}</p></article>"
+    rows = [(i, "http://a.b/x", page.format(i)) for i in range(12)] + [(i, "http://c.d/x", copy.format(i)) for i in range(20, 40)]
+    rows += [(60, "http://e.f/x", page.format(60))]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[3].text, got[3].n_deleted) == ("Sources\nText of its own 3\nyes\n3", 3)
+    assert got[25].text == "The first long paragraph of it\nThe second long paragraph\nThe third one is long\nSeen 25"
+    assert got[60].text.endswith("Write to us now\nSend\nSeen elsewhere")
+
+
 def test_sentencepiece_of_odd_rows(spark, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = spm.encode_decode(odd.select("doc_id", "text", F.col("text").alias("own")), MODEL, keep=("own",)).collect()
