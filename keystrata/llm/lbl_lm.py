@@ -2,12 +2,14 @@
 
 The model predicts a word from the two before it: score(w | u, v) = (A1[v] + A2[u]) . R[w] + b[w]. Because the two contexts
 add up, the normaliser of all pairs of contexts is one matrix product, Z = exp(A1 R' + b) exp(A2 R')', so that every token
-gets a normalised probability from table look-ups. Words outside the model's vocabulary share its unknown word's
-probability in the ratio of their training counts plus one; those counts are exact, over all training documents."""
+gets a normalised probability. The most frequent words are symbols of their own; every other word, seen or not, belongs to
+one of the classes told by a word's last bytes, whose number grows with the distinct training words. Words of a class share
+its probability in the ratio of their training counts plus one; those counts are exact, over all training documents."""
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +20,13 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.common import LOWER_BYTES, cut, map_arrow
 
-#: Words with a row in the model, with the unknown word and the end; and numbers in a row.
+#: Words with a row of their own, with the end and the first class; and numbers in a row.
 VOCABULARY, WIDTH = 2048, 24
+#: Classes of all other words: this many times the cube root of the distinct training words. The normalisers, a number for
+#: every two symbols, then grow by less than the words do.
+CLASSES = 4
+#: Bytes at a word's end that tell its class.
+ENDING = 3
 #: Noise words that every position of a step is told from, and positions of a step.
 NOISE, STEP = 32, 4096
 RATE = 0.08
@@ -29,7 +36,10 @@ FREQUENT = 150_000
 HELD = 400_000
 #: Models that one task averages.
 FAN_IN = 64
-UNKNOWN, END_ID = 0, 1
+#: The first class and the end. Further classes come after the words.
+CLASS_ID, END_ID = 0, 1
+#: Tokens scored, and rows of normalisers made, at once.
+PIECE, ROWS = 1 << 16, 256
 #: The end of a text as a token: no word, since words have no white space.
 END = b"\n"
 
@@ -38,6 +48,49 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*text.encode("utf-8", "replace").translate(LOWER_BYTES).split(), END] if text else [END]
 
 
+def class_count(n_types: int) -> int:
+    return max(1, round(CLASSES * n_types ** (1 / 3)))
+
+
+class Symbols(dict):
+    """The symbol of every word: its own, or that of its class, which isn't kept."""
+
+    def __init__(self, words: list[bytes], classes: int):
+        super().__init__((w, i) for i, w in enumerate(words) if i != CLASS_ID)
+        self.named, self.classes = len(words), classes
+
+    def __reduce__(self):
+        words = [b"", *sorted(self, key=self.get)]
+        return Symbols, (words, self.classes)
+
+    def __missing__(self, word: bytes) -> int:
+        k = zlib.crc32(word[-ENDING:]) % self.classes
+        return self.named + k - 1 if k else CLASS_ID
+
+    def __len__(self) -> int:
+        return self.named + self.classes - 1
+
+    def is_class(self) -> np.ndarray:
+        out = np.arange(len(self)) >= self.named
+        out[CLASS_ID] = True
+        return out
+
+
+def class_totals(counts: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and distinct words of every symbol but the end. The driver gets a row a symbol."""
+    n, v = np.zeros(len(symbols)), np.zeros(len(symbols))
+
+    def work(batches):
+        for b in batches:
+            ids = [symbols[w] for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("c")], names=["symbol", "c"])
+
+    rest = counts.select("word", "c").filter(F.col("word") != F.lit(END))
+    for r in map_arrow(rest, work, "symbol long, c long").groupBy("symbol").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        n[r["symbol"]], v[r["symbol"]] = r["n"], r["v"]
+    return n, v
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """word, c over all rows of `text`. Tasks add up before they shuffle."""
 
@@ -102,6 +155,26 @@ class Model:
         z = np.exp(first - m1[:, None]) @ np.exp(second - m2[:, None]).T
         return first, second, np.log(z) + m1[:, None] + m2[None, :]
 
+    def log_z(self) -> np.ndarray:
+        """The normalisers of `tables`, log Z[v, u], with one more table than the result in memory."""
+        second = self.a2 @ self.r.T
+        m2 = second.max(axis=1)
+        np.exp(np.subtract(second, m2[:, None], out=second), out=second)
+        out = np.empty((len(self.b), len(self.b)), dtype=np.float32)
+        for i in range(0, len(self.b), ROWS):
+            first = self.a1[i : i + ROWS] @ self.r.T + self.b
+            m1 = first.max(axis=1)
+            out[i : i + ROWS] = np.log(np.exp(first - m1[:, None]) @ second.T) + m1[:, None] + m2[None, :]
+        return out
+
+    def scores(self, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Not normalised; of words after pairs of contexts."""
+        out = np.empty(len(w), dtype=np.float32)
+        for i in range(0, len(w), PIECE):
+            at = slice(i, i + PIECE)
+            out[at] = np.einsum("ij,ij->i", self.a1[v[at]] + self.a2[u[at]], self.r[w[at]]) + self.b[w[at]]
+        return out
+
 
 class Trainer:
     """Steps of noise-contrastive estimation with Adagrad. Every position of a step is told from the same noise words."""
@@ -150,13 +223,12 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return v, u
 
 
-def train(training: DataFrame, words: list[bytes], unigram: np.ndarray) -> Model:
+def train(training: DataFrame, symbols: Symbols, unigram: np.ndarray) -> Model:
     """One pass over all rows of `text`. Every task trains from the same start on what it reads; the models are averaged
     with their numbers of tokens as weights, FAN_IN at a time, so that no task or driver holds many of them."""
     start = Model.start(unigram)
-    place = {w: i for i, w in enumerate(words)}
     sc = training.sparkSession.sparkContext
-    cast = sc.broadcast((start.arrays(), place, unigram))
+    cast = sc.broadcast((start.arrays(), symbols, unigram))
     blocks = 16
 
     def work(batches):
@@ -177,7 +249,7 @@ def train(training: DataFrame, words: list[bytes], unigram: np.ndarray) -> Model
             lists = [tokens_of(x) for x in b.column("text").to_pylist()]
             sizes = np.array([len(x) for x in lists], dtype=np.int64)
             if len(sizes):
-                ids = np.fromiter((ids_of.get(w, UNKNOWN) for x in lists for w in x), dtype=np.int64, count=int(sizes.sum()))
+                ids = np.fromiter((ids_of[w] for x in lists for w in x), dtype=np.int64, count=int(sizes.sum()))
                 feed(ids, *contexts(ids, np.cumsum(sizes) - sizes), False)
         feed(*[np.zeros(0, dtype=np.int64)] * 3, True)
         if t.seen:
@@ -232,36 +304,35 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     named = [w for w, _ in head if w != END][: vocabulary - 2]
     words = [b"", END, *named]
     have = dict(head)
-    model_counts = np.array([0, have.get(END, 0), *(have[w] for w in named)], dtype=np.float64)
-    unk_tokens, unk_types = n - model_counts.sum(), v - (model_counts > 0).sum()
-    model_counts[UNKNOWN] = unk_tokens
-    unigram = (model_counts + 1) / (model_counts + 1).sum()
-    model = train(training.select(F.col(text_col).alias("text")), words, unigram) if n else Model.start(unigram)
-    place = {w: i for i, w in enumerate(words) if i}
-    order = [(w, c, place.get(w, UNKNOWN)) for w, c in head]
-    log_base, log_unk = float(np.log10(n + v + 1)), float(np.log10(unk_tokens + unk_types + 1))
-    log_z = model.tables()[2].astype(np.float32)
-    cast = docs.sparkSession.sparkContext.broadcast((model.arrays(), log_z, order))
+    symbols = Symbols(words, class_count(v))
+    tokens, types = class_totals(counts, symbols)
+    # Of a class, all that its words share: their tokens and one for each, and one for what was never seen.
+    log_shared = np.where(symbols.is_class(), np.log10(tokens + types + 1), 0.0)
+    tokens[END_ID] = have.get(END, 0)
+    unigram = (tokens + 1) / (tokens + 1).sum()
+    model = train(training.select(F.col(text_col).alias("text")), symbols, unigram) if n else Model.start(unigram)
+    order = [(w, c, symbols[w]) for w, c in head]
+    log_base = float(np.log10(n + v + 1))
+    cast = docs.sparkSession.sparkContext.broadcast((model.arrays(), model.log_z(), order, symbols, log_shared))
 
     given = docs.select(F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"), F.col(id_col), *keep)
     fields = given.schema.fields[2:]
 
     def load():
         if run not in _tables:
-            arrays, z, rows = cast.value
-            m = Model(*arrays)
-            first, second = m.a1 @ m.r.T + m.b, m.a2 @ m.r.T
+            arrays, z, rows, symbols, log_shared = cast.value
             _tables.clear()
             known = {w: i for i, (w, _, _) in enumerate(rows)}
             log_c = np.log10(np.array([c + 1 for _, c, _ in rows] + [1.0]))
-            _tables[run] = known, log_c, np.array([i for _, _, i in rows] + [UNKNOWN], dtype=np.int64), first, second, z
+            _tables[run] = known, log_c, np.array([i for _, _, i in rows] + [CLASS_ID], dtype=np.int64), Model(*arrays), z, symbols, log_shared
         return _tables[run]
 
     run = uuid.uuid4().hex
     nothing = np.zeros(0, dtype=np.int64)
 
     def work(batches):
-        known, log_c, model_id, first, second, z = load()
+        known, log_c, model_id, model, z, symbols, log_shared = load()
+        is_class = symbols.is_class()
         get, none = known.get, len(known)
         end_known = END in known
         for b in batches:
@@ -272,14 +343,15 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
             flat = [w for x in lists for w in x]
             at = np.fromiter((get(w, none) for w in flat), dtype=np.int64, count=len(flat)) if flat else nothing
             ids = model_id[at]
+            is_known = at < none
+            rare = np.flatnonzero(~is_known)
+            ids[rare] = np.fromiter((symbols[flat[i]] for i in rare.tolist()), dtype=np.int64, count=len(rare))
             if not end_known:
                 ids[starts + sizes - 1] = END_ID
             last, before = contexts(ids, starts)
-            logs = (first[last, ids] + second[before, ids] - z[last, before]) / np.log(10)
-            is_known = at < none
-            unknown = ids == UNKNOWN
+            logs = (model.scores(ids, last, before) - z[last, before]) / np.log(10) - log_shared[ids]
+            shared = is_class[ids] & is_known
             add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
-            rare = np.flatnonzero(~is_known)
             doc_of = np.searchsorted(starts, rare, side="right") - 1
             tallies: dict[tuple[int, bytes], int] = {}
             for d, i in zip(doc_of.tolist(), rare.tolist(), strict=True):
@@ -300,26 +372,24 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                     pa.array(end_rare),
                     pa.array(np.concatenate((sizes, np.zeros(m, dtype=np.int64)))),
                     pa.array(np.concatenate((add(is_known.astype(np.int64)), np.zeros(m, dtype=np.int64)))),
-                    pa.array(np.concatenate((add(unknown.astype(np.int64)), np.zeros(m, dtype=np.int64)))),
                     pa.array(np.concatenate((add(log_c[at]), np.zeros(m)))),
-                    pa.array(np.concatenate((add(logs + np.where(unknown & is_known, log_c[at], 0.0)), np.zeros(m)))),
+                    pa.array(np.concatenate((add(logs + np.where(shared, log_c[at], 0.0)), np.zeros(m)))),
                     *own,
                 ],
-                names=["_row", "_word", "_tf", "_end", "_n", "_known", "_unk", "_log_c", "_model", *(f.name for f in fields)],
+                names=["_row", "_word", "_tf", "_end", "_n", "_known", "_log_c", "_model", *(f.name for f in fields)],
             )
 
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
-    parts = map_arrow(given, work, f"_row long, _word binary, _tf long, _end boolean, _n long, _known long, _unk long, _log_c double, _model double{kept}")
+    parts = map_arrow(given, work, f"_row long, _word binary, _tf long, _end boolean, _n long, _known long, _log_c double, _model double{kept}")
     joined = parts.join(counts.select(F.col("word").alias("_word"), "c"), "_word", "left")
     log_tf = F.col("_tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)
     sums = joined.groupBy("_row").agg(
         F.sum("_n").alias("n_tokens"),
         F.sum(F.col("_known") + F.when(F.col("c") > 0, F.col("_tf")).otherwise(0)).alias("n_known"),
-        F.sum("_unk").alias("_unk"),
         F.sum(F.col("_log_c") + log_tf).alias("_log_c"),
         F.sum(F.col("_model") + F.when(F.col("_end"), 0.0).otherwise(log_tf)).alias("_model"),
         *(F.max_by(F.col(f.name), F.col("_n")).alias(f.name) for f in fields),
     )
     base = F.col("_log_c") - F.col("n_tokens") * log_base
-    model_score = F.col("_model") - F.col("_unk") * log_unk if n else base
+    model_score = F.col("_model") if n else base
     return sums.select(*(f.name for f in fields), "n_tokens", "n_known", F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), model_score.alias("score"))

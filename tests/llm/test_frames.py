@@ -315,6 +315,17 @@ def test_scores_by_brute_force(spark, docs, frequent):
         assert got[i].score < 0
 
 
+def test_scores_tell_rare_words_apart(spark):
+    """Words outside the model's own, of equal count: the one whose ending follows in training is likelier."""
+    i = F.col("id").cast("string")
+    training = spark.range(0, 60_000, 1, 1).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("x k"), i, F.lit("aaa"))).otherwise(F.concat(F.lit("y k"), i, F.lit("bbb"))).alias("text"))
+    asked = spark.createDataFrame([(1, "x naaa"), (2, "x nbbb"), (3, "y nbbb"), (4, "y naaa")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lbl_lm.score(asked, training, vocabulary=4).collect()}
+    assert len({round(r.base_score, 6) for r in got.values()}) == 1
+    assert got[1].score > got[2].score + 0.1
+    assert got[3].score > got[4].score + 0.1
+
+
 def test_scores_of_odd_rows(odd):
     rows = lbl_lm.score(odd.select("doc_id", "text"), odd.select("text")).collect()
     assert len(rows) == len(ODD)

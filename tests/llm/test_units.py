@@ -1,6 +1,7 @@
 """The text operators' parts without Spark, against brute force."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -282,6 +283,18 @@ def test_model_is_normalised():
     first, second, log_z = m.tables()
     p = np.exp(first[:, None, :] + second[None, :, :] - log_z[:, :, None])
     assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
+    assert np.allclose(m.log_z(), log_z, atol=1e-4)
+    w, v, u = (rng.integers(0, 40, 99) for _ in range(3))
+    assert np.allclose(m.scores(w, v, u), first[v, w] + second[u, w], atol=1e-4)
+
+
+def test_symbols_grow_with_the_words():
+    sizes = [lbl_lm.class_count(n) for n in (0, 10**3, 10**6, 10**9)]
+    assert sizes == [1, 40, 400, 4000]
+    s = pickle.loads(pickle.dumps(lbl_lm.Symbols([b"", lbl_lm.END, b"a"], 5)))
+    assert (s[lbl_lm.END], s[b"a"], len(s), s.is_class().tolist()) == (1, 2, 7, [True, False, False, True, True, True, True])
+    assert {s[b"%d" % i] for i in range(500)} == {0, 3, 4, 5, 6}
+    assert s[b"xxabc"] == s["yabc".encode()]
 
 
 def test_contexts():
