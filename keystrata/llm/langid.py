@@ -17,7 +17,6 @@ BUCKETS = 1 << 16
 SMOOTHING = 0.5
 #: Steps with all languages, and with each smaller set of them.
 FULL_STEPS, SET_STEPS = 8, 4
-MAX_SET = 3
 #: Log-likelihood that a further language must add, times log(words).
 PENALTY = 3.0
 #: Numbers in a matrix of words by languages.
@@ -99,22 +98,31 @@ class LanguageModel:
                 joint = p * share[doc]
                 joint /= joint.sum(axis=1, keepdims=True) + 1e-300
                 share = np.add.reduceat(joint, starts, axis=0) / sizes[:, None]
-            return share, np.add.reduceat(np.log((p * share[doc]).sum(axis=1) + 1e-300), starts) + base
+            return share, np.add.reduceat(np.log((p * share[doc]).sum(axis=1) + 1e-300), starts) + base[left]
 
+        left = np.arange(n_docs)
         alone = np.add.reduceat(like, starts, axis=0)
         best_share = np.eye(n_lang)[alone.argmax(axis=1)]
         best = alone.max(axis=1)
         if n_lang > 1:
             full, _ = em(np.full((n_docs, n_lang), 1 / n_lang), FULL_STEPS)
             order = np.argsort(-full, axis=1, kind="stable")
-            for k in range(2, min(MAX_SET, n_lang) + 1):
-                chosen = np.zeros_like(full)
-                np.put_along_axis(chosen, order[:, :k], np.take_along_axis(full, order[:, :k], axis=1) + 1e-6, axis=1)
+            every_size = sizes
+            for k in range(2, n_lang + 1):
+                # No set's likelihood exceeds that of each word's best language; the penalty only grows.
+                may = (base - PENALTY * (k - 1) * np.log(every_size + 1) > best)[left]
+                if not may.all():
+                    p, left, sizes = p[may[doc]], left[may], sizes[may]
+                    doc, starts = np.repeat(np.arange(len(left)), sizes), np.cumsum(sizes) - sizes
+                if not len(left):
+                    break
+                chosen, first = np.zeros((len(left), n_lang)), order[left, :k]
+                np.put_along_axis(chosen, first, np.take_along_axis(full[left], first, axis=1) + 1e-6, axis=1)
                 share, value = em(chosen / chosen.sum(axis=1, keepdims=True), SET_STEPS)
                 value = value - PENALTY * (k - 1) * np.log(sizes + 1)
-                better = value > best
-                best = np.where(better, value, best)
-                best_share = np.where(better[:, None], share, best_share)
+                better = value > best[left]
+                best[left[better]] = value[better]
+                best_share[left[better]] = share[better]
         out = []
         for row in best_share:
             o = np.argsort(-row, kind="stable")
@@ -149,7 +157,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, `keep` columns, lang_pred, score, mixture (language -> share of the words).
 
-    Shares are fitted by expectation-maximisation with all languages; then with its one to three strongest, and the
+    Shares are fitted by expectation-maximisation with all languages; then with its one, two, ... strongest, and the
     set with the best likelihood less a penalty for each further language is taken. lang_pred has the largest share, score
     is that share. A text that is null, empty or without letters is `und` with score 0 and an empty mixture, and so is
     every text if nothing was learned. Ties go to the language that sorts first. Rows are judged alone where they are read."""

@@ -277,6 +277,24 @@ def test_mixture_proportions():
     assert langid.LanguageModel.of_counts([]).mixtures(["abc"]) == [None]
 
 
+def test_mixture_of_more_than_three_languages():
+    rng = random.Random(8)
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst"]
+    make = lambda x, n: " ".join("".join(rng.choice(x) for _ in range(6)) for _ in range(n))
+    rows = []
+    for x in letters:
+        counts = np.bincount(langid.grams([make(x, 2000)])[0], minlength=langid.BUCKETS)
+        rows += [(x, int(i), int(counts[i])) for i in np.flatnonzero(counts)]
+    m = langid.LanguageModel.of_counts(rows)
+    all_five = " ".join(make(x, n) for x, n in zip(letters, (50, 40, 40, 40, 30), strict=True))
+    four = " ".join(make(x, 25) for x in letters[:4])
+    a, b, c, d = m.mixtures([make("abcd", 30), all_five, four, make("ijkl", 9)])
+    assert (list(a), list(d)) == (["abcd"], ["ijkl"])
+    assert (set(b), set(c)) == (set(letters), set(letters[:4]))
+    assert abs(b["abcd"] - 0.25) < 0.02
+    assert all(abs(x - 0.25) < 0.02 for x in c.values())
+
+
 def test_model_is_normalised():
     rng = np.random.default_rng(8)
     m = lbl_lm.Model(*(rng.normal(size=(40, 5)).astype(np.float32) for _ in range(3)), rng.normal(size=40).astype(np.float32))
