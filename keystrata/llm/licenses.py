@@ -47,7 +47,7 @@ PERMISSIVE = {"0bsd", "apache", "apache-2.0", "artistic", "bsd", "bsd-2-clause",
 TAG = "spdx license identifier"
 # End of fixed values.
 
-TAG_VALUE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([A-Za-z0-9.+\-() \t]{1,400})", re.IGNORECASE)
+TAG_VALUE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([A-Za-z0-9.+\-() \t]+)", re.IGNORECASE)
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
 PRIORITY = {"or": 1, "and": 2, "with": 3}
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, permissive boolean, score double"
@@ -59,12 +59,14 @@ def postfix(expression: str) -> list[str] | None:
     A tag's line may go on with prose: the head ends where an operand follows an operand."""
     out: list[str] = []
     ops: list[str] = []
-    want_operand, best = True, None
-    for token in TOKEN.findall(expression):
-        low = token.lower()
+    # best: how much of out the head has, and the operators that are still to come.
+    want_operand, best, n_open = True, None, 0
+    for m in TOKEN.finditer(expression):
+        low = m[0].lower()
         if want_operand:
             if low == "(":
                 ops.append(low)
+                n_open += 1
             elif low in PRIORITY or low == ")":
                 break
             else:
@@ -76,15 +78,16 @@ def postfix(expression: str) -> list[str] | None:
             ops.append(low)
             want_operand = True
             continue
-        elif low == ")" and "(" in ops:
+        elif low == ")" and n_open:
             while ops[-1] != "(":
                 out.append(ops.pop())
             ops.pop()
+            n_open -= 1
         else:
             break
-        if not want_operand and "(" not in ops:
-            best = out + ops[::-1]
-    return best
+        if not want_operand and not n_open:
+            best = len(out), ops[::-1]
+    return out[: best[0]] + best[1] if best else None
 
 
 def evaluate(post: list[str]) -> tuple[set[str], bool]:
@@ -94,7 +97,10 @@ def evaluate(post: list[str]) -> tuple[set[str], bool]:
     for token in post:
         if token in PRIORITY:
             (b, b_ok), (a, a_ok) = stack.pop(), stack.pop()
-            stack.append((a, a_ok) if token == "with" else (a | b, a_ok or b_ok if token == "or" else a_ok and b_ok))
+            if token != "with":
+                a |= b
+                a_ok = a_ok or b_ok if token == "or" else a_ok and b_ok
+            stack.append((a, a_ok))
         else:
             stack.append(({token}, token.rstrip("+") in PERMISSIVE))
     return stack[0]

@@ -201,6 +201,15 @@ def test_license_scan():
     assert licenses.examine("plain prose")[-1] == 0
 
 
+def test_long_license_expressions():
+    names = [f"lic-{i:03}" for i in range(200)]
+    _, _, _, _, _, labels, expressions, permissive, _ = licenses.examine("SPDX-License-Identifier: MIT AND " + " AND ".join(names) + "\nProse MIT")
+    assert labels == ",".join([*names, "mit"])
+    assert (expressions[0].count("and"), permissive) == (200, False)
+    *_, expressions, permissive, _ = licenses.examine("SPDX-License-Identifier: MIT AND (" + " OR ".join(names) + " OR MIT)")
+    assert (len(expressions[0].split()), permissive) == (403, True)
+
+
 def brute_base(text):
     words = re.findall("[^\x20\x09-\x0d]+", text)
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
