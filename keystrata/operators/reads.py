@@ -159,12 +159,15 @@ def decode_cursor(text: str, scope_: str, keys: tuple[bytes, ...] = ()) -> dict[
     """The place to go on from. With keys, one of them must have signed the cursor; older keys may stay in the list."""
     try:
         raw = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
-        if keys:
-            sign, raw = raw[:32], raw[32:]
-            if not any(hmac.compare_digest(hmac.new(k, raw, hashlib.sha256).digest(), sign) for k in keys):
-                raise CursorError("the cursor isn't signed by a known key")
+    except ValueError as err:
+        raise CursorError("the cursor can't be read") from err
+    if keys:
+        sign, raw = raw[:32], raw[32:]
+        if not any(hmac.compare_digest(hmac.new(k, raw, hashlib.sha256).digest(), sign) for k in keys):
+            raise CursorError("the cursor isn't signed by a known key")
+    try:
         body = json.loads(raw)
-    except (ValueError, UnicodeDecodeError) as err:
+    except ValueError as err:
         raise CursorError("the cursor can't be read") from err
     if body.get("s") != scope_:
         raise CursorError("the cursor belongs to another read")
