@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by parsing into phrases and sorting the suffixes of their dictionary.
+"""Exact removal of repeated byte strings by prefix-free parsing.
 
 A rolling hash picks triggers: in every window of LENGTH bytes the first of the TRIGGER-byte strings with the least
 hash. (Triggers by a fixed modulus would leave windows without one.) A phrase is a stretch of window starts that
@@ -8,13 +8,16 @@ prefix-free parsing needs at this depth. So:
 
 1. Parse. Phrases go to buckets by trigger as digests. Of equal phrases all but the first are repeats as a whole.
    Phrases whose trigger stands in other phrases too are open; most phrases of plain text are neither.
-2. The texts of a block's open phrases are its dictionary. Its suffix array, to a depth of LENGTH, with the first
-   place of every phrase in the parse, gives the block's windows in corpus order, equal ones side by side. All but the
-   first of those are repeats; the first goes to a bucket by digest, where it meets the other blocks' first ones.
+2. Open phrases go to buckets by trigger as text. Cut at its trigger, a phrase is two words of the bucket's dictionary: a
+   left word, which ends with the trigger, and a right word, which begins with it. A window is a suffix of the one,
+   longer than the trigger, and what follows in the parse: the other to the depth of LENGTH. The suffixes of the
+   dictionary are sorted with their common lengths; both orders together put the windows of the bucket in corpus order,
+   equal ones side by side, which bytes decide. All but the first of those are repeats.
 3. Documents drop the bytes that repeats cover.
 
-Text crosses the network twice, compressed, and what was shuffled before the spans are written is given back then. A string that stands in a third of all documents is sent once by a block, not once by
-a document."""
+Triggers with very many phrases are hot: their phrases are cut into intervals of window starts, and each interval goes to
+the bucket of the bytes that all its windows share, after windows that repeat inside a task are gone. Text crosses the
+network twice, compressed."""
 
 from __future__ import annotations
 
@@ -27,8 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import cut, free_shuffles, input_bytes, keyed, map_arrow, original_id, text_bytes
-from keystrata.llm.rolling import prefix_sums, range_hashes, window_hashes
+from keystrata.llm.common import cut, input_bytes, keyed, map_arrow, original_id, text_bytes
+from keystrata.llm.rolling import BASE, BYTE_VALUES, mix, prefix_sums, range_hashes, window_hashes
 
 LENGTH = 100
 TRIGGER = 32
@@ -37,7 +40,9 @@ STRIDE = 1 << 20
 #: Text of a block: what is combined before it leaves a task.
 BLOCK_BYTES = 48 << 20
 #: Input for which one bucket is provided.
-BUCKET_INPUT = 8 << 20
+BUCKET_INPUT = 4 << 20
+#: Phrases with which a trigger is hot, at least; for much input more, so that hot triggers are at most a few millions.
+HOT, HOT_SHARE = 4096, 1 << 26
 
 _AT = np.uint64((1 << 24) - 1)
 
@@ -54,10 +59,11 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(buffer: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np.ndarray, ...]:
-    """Of texts buffer[first[i]:last[i]] that follow on each other: start, count of windows, trigger hash, phrase hash."""
+    """Of texts buffer[first[i]:last[i]] that follow on each other: start, count of windows, place of the trigger after the
+    start, trigger hash, phrase hash."""
     none = np.zeros(0, dtype=np.int64)
     if len(buffer) < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = prefix_sums(buffer)
     hashes = window_hashes(sums, trigger)
     least = sliding_least((hashes & ~_AT) | np.arange(len(hashes), dtype=np.uint64), length - trigger + 1)
@@ -71,11 +77,12 @@ def phrases(buffer: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
     stop = np.ones(len(least), dtype=bool)
     stop[:-1] = (least[1:] != least[:-1]) | ~inside[1:]
     end = np.flatnonzero(stop & inside) + 1
-    return start, end - start, hashes[(least[start] & _AT).astype(np.int64)], range_hashes(sums, start, end - 1 + length)
+    at = (least[start] & _AT).astype(np.int64)
+    return start, end - start, at - start, hashes[at], range_hashes(sums, start, end - 1 + length)
 
 
 def parse(texts: list[bytes], length: int = LENGTH, stride: int = STRIDE) -> tuple[np.ndarray, ...]:
-    """text number, start in it, count, trigger, phrase. A longer text is parsed in parts that overlap by length - 1:
+    """text number, start in it, count, place of the trigger, trigger, phrase. A longer text is parsed in parts that overlap by length - 1:
     a phrase that a border cuts is two phrases with one trigger."""
     out: list[tuple[np.ndarray, ...]] = []
     batch: list[tuple[int, int, bytes]] = []
@@ -86,9 +93,9 @@ def parse(texts: list[bytes], length: int = LENGTH, stride: int = STRIDE) -> tup
         if batch:
             sizes = np.array([len(b) for _, _, b in batch])
             first = np.cumsum(sizes) - sizes
-            start, count, trig, phrase = phrases(np.frombuffer(b"".join([b for _, _, b in batch]), dtype=np.uint8), first, first + sizes, length)
+            start, *rest = phrases(np.frombuffer(b"".join([b for _, _, b in batch]), dtype=np.uint8), first, first + sizes, length)
             which = np.searchsorted(first, start, side="right") - 1
-            out.append((np.array([i for i, _, _ in batch])[which], start - first[which] + np.array([o for _, o, _ in batch])[which], count, trig, phrase))
+            out.append((np.array([i for i, _, _ in batch])[which], start - first[which] + np.array([o for _, o, _ in batch])[which], *rest))
         batch.clear()
         room = stride
 
@@ -104,26 +111,70 @@ def parse(texts: list[bytes], length: int = LENGTH, stride: int = STRIDE) -> tup
     flush()
     if not out:
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def suffix_ranks(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """The rank of every suffix of a text in the order of its first `depth` bytes, equal for equal ones.
+def sorted_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of a byte matrix, and how many first bytes each has in common with the one before in it."""
+    n, width = words.shape
+    order = np.argsort(np.ascontiguousarray(words).view(f"S{width}").ravel(), kind="stable")
+    s = words[order]
+    common = np.zeros(n, dtype=np.int64)
+    differ = s[1:] != s[:-1]
+    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, common
+
+
+def _cells(buffer: np.ndarray, at: np.ndarray, step: np.ndarray, begin: np.ndarray, end: np.ndarray, rows: int = 1 << 14) -> np.ndarray:
+    """buffer[at[i] + step[j]], 0 outside of begin[i] and end[i]; a part of the rows at a time."""
+    out = np.zeros((len(at), len(step)), dtype=np.uint8)
+    for i in range(0, len(at), rows):
+        part = slice(i, i + rows)
+        places = at[part, None] + step
+        inside = (places >= begin[part, None]) & (places < end[part, None])
+        out[part][inside] = buffer[places[inside]]
+    return out
+
+
+class Dictionary:
+    """The words of phrases that are cut at their triggers. Left words are read backwards from the trigger, so that an order of
+    them is one of all their suffixes at once; right words go to the depth of a window. Words are filled up with zeros:
+    where two agree to a depth that both have, so does all that stands between them."""
+
+    def __init__(self, buffer: np.ndarray, begin: np.ndarray, count: np.ndarray, lead: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER):
+        self.n, self.length, self.reach = len(begin), length, length - trigger
+        self.count, self.lead = count, lead
+        end = begin + count - 1 + length
+        self.right = sorted_words(_cells(buffer, begin + lead, np.arange(length), begin, end))
+        self.left = sorted_words(_cells(buffer, begin + lead - 1, -np.arange(max(1, self.reach)), begin, end))
+
+    def ranks(self, side: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+        """The rank of every phrase's word among the first `depth` bytes of all; equal for equal ones."""
+        order, common = side
+        out = np.empty(self.n, dtype=np.int64)
+        out[order] = np.cumsum(common < depth)
+        return out
+
+    def windows(self):
+        """For every place of a trigger in a window: the phrases that have such a window, the start in each, and ranks that
+        are equal for equal windows."""
+        for d in range(self.reach + 1):
+            some = np.flatnonzero((self.lead >= d) & (self.lead - d < self.count))
+            if len(some):
+                yield some, self.lead[some] - d, (self.ranks(self.left, d) * (self.n + 1) + self.ranks(self.right, self.length - d))[some]
+
 
-    Ranks of strings of 2k bytes follow from ranks of k bytes; the last step joins two that overlap."""
-    n = len(text)
-    rank, k = text.astype(np.int64) + 1, 1
-    while k < depth:
-        step = min(k, depth - k)
-        key = rank * (n + 257)
-        key[: max(0, n - step)] += rank[step:]
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.zeros(n, dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate(([1], (s[1:] != s[:-1]).astype(np.int64))))
-        rank, k = new, k + step
-    return rank
+def repeated(d: Dictionary) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase, and start in it, of every window that equals one of an earlier phrase."""
+    phrase, inner = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for some, start, rank in d.windows():
+        order = np.argsort(rank, kind="stable")
+        s = rank[order]
+        again = order[1:][s[1:] == s[:-1]]
+        phrase.append(some[again])
+        inner.append(start[again])
+    return np.concatenate(phrase), np.concatenate(inner)
 
 
 def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,25 +209,29 @@ class Block:
         return rid, rk, rank
 
 
-#: Rows between the steps: arrays of places. Kind 0 goes to the bucket of its key; 1 repeats; 2 is open.
-PLACES = "kind int, bucket int, key binary, text binary, rid binary, rk binary, start binary, count binary"
-SPANS = "rid long, rk int, start int, stop int, open boolean"
-_FIELDS = (("key", np.uint32), ("text", np.uint64), ("rid", np.int64), ("rk", np.int32), ("start", np.int32), ("count", np.int32))
-#: A trigger that is open, whatever its phrase.
+#: Rows between the steps: arrays of places. Kind MEETS goes to the bucket of its key; GONE repeats; OPEN is open.
+PLACES = "kind int, bucket int, key binary, text binary, rid binary, rk binary, start binary, count binary, lead binary"
+#: Rows for documents. Those of kind HOT tell of a trigger: its bucket is rk, its key rid.
+SPANS = "rid long, rk int, start int, count int, lead int, kind int"
+GONE, OPEN, MEETS, HOT_KEY = 0, 1, 2, 3
+_FIELDS = (("key", np.uint32), ("text", np.uint64), ("rid", np.int64), ("rk", np.int32), ("start", np.int32), ("count", np.int32), ("lead", np.uint8))
+#: A trigger that is open, whatever its phrase; its count is that of its phrases.
 _MARK = np.uint64(0)
 
 
 class Places:
-    """Stretches of window starts in documents: count starts from start on; with the key and digest of their text."""
+    """Stretches of window starts in documents: count starts from start on; with the key and digest of their text, and the
+    place of their trigger after the start."""
 
-    def __init__(self, rid, rk, start, count, key=None, text=None):
+    def __init__(self, rid, rk, start, count, lead=None, key=None, text=None):
         n = len(rid)
         self.rid, self.rk, self.start, self.count = rid, rk, start, count
+        self.lead = np.zeros(n, dtype=np.int64) if lead is None else lead
         self.key = np.zeros(n, dtype=np.uint32) if key is None else key
         self.text = np.zeros(n, dtype=np.uint64) if text is None else text
 
     def take(self, which: np.ndarray) -> Places:
-        return Places(self.rid[which], self.rk[which], self.start[which], self.count[which], self.key[which], self.text[which])
+        return Places(self.rid[which], self.rk[which], self.start[which], self.count[which], self.lead[which], self.key[which], self.text[which])
 
     def joined(self) -> Places:
         """In document order, with stretches that touch or overlap as one."""
@@ -194,13 +249,11 @@ class Places:
         end = reach[np.append(at[1:], len(new)) - 1] - base[at]
         return Places(p.rid[at], p.rk[at], p.start[at], end - p.start[at])
 
-    def rows(self, kind: int, bucket: np.ndarray | None = None) -> list[tuple]:
+    def rows(self, kind: int, bucket: np.ndarray) -> list[tuple]:
         """A row for every bucket; documents in order and as differences inside it, so that it compresses well."""
-        if not len(self.rid):
-            return []
-        if bucket is None:
-            bucket = np.full(len(self.rid), (int(self.rid[0]) * 40503 + len(self.rid)) % 1_000_003, dtype=np.int64)
         order = np.lexsort((self.start, self.rk, self.rid, bucket))
+        if not len(order):
+            return []
         cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
         out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -221,7 +274,7 @@ class Places:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * len(_FIELDS))
     names = ["kind", "bucket", *(f for f, _ in _FIELDS)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
@@ -231,24 +284,14 @@ def _runs(new: np.ndarray) -> np.ndarray:
     return np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], spans: bool, block_bytes: int) -> Iterator[tuple[Block, list]]:
-    block, listed = Block(), []
-    for b in batches:
-        texts = _unpack(b.column("packed").to_pylist()) if spans else [t.encode("utf-8", "replace") if t else b"" for t in b.column("text").to_pylist()]
-        found = b.column("spans").to_pylist() if spans else [None] * b.num_rows
-        for rid, rk, text, s in zip(b.column("rid").to_pylist(), b.column("rk").to_pylist(), texts, found, strict=True):
-            block.add(rid, rk, text or b"")
-            listed.append(s or [])
-            if block.bytes >= block_bytes:
-                yield block, listed
-                block, listed = Block(), []
-    if block.texts:
-        yield block, listed
+def _spread(p: Places, buckets: int) -> np.ndarray:
+    """Buckets for what meets nothing, so that all get some."""
+    return (p.rid * 40503 + p.start) % buckets
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for the way to where their spans are; half the size of what a shuffle makes of them."""
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=1)
     for b in batches:
         packed = [None if t is None else press.compress(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("rk"), pa.array(packed, pa.binary())], names=["rid", "rk", "packed"])
@@ -259,128 +302,213 @@ def _unpack(packed: list[bytes | None]) -> list[bytes | None]:
     return [None if p is None else press.decompress(p) for p in packed]
 
 
+def _texts(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
+    block = Block()
+    for b in batches:
+        for rid, rk, text in zip(b.column("rid").to_pylist(), b.column("rk").to_pylist(), b.column("text").to_pylist(), strict=True):
+            block.add(rid, rk, text.encode("utf-8", "replace") if text else b"")
+            if block.bytes >= block_bytes:
+                yield block
+                block = Block()
+    if block.texts:
+        yield block
+
+
 def _first_step(buckets: int, length: int, block_bytes: int):
     """Parses. Of a block's equal phrases one stays. A trigger with several phrases in a block is open, and its bucket
     is told so by one mark, whatever their number."""
 
     def work(batches):
-        for block, _ in _blocks(batches, False, block_bytes):
+        for block in _texts(batches, block_bytes):
             rid, rk, rank = block.keys()
-            which, start, count, trig, phrase = parse(block.texts, length)
+            which, start, count, lead, trig, phrase = parse(block.texts, length)
             phrase |= np.uint64(1)
             order, new = groups_of(trig, phrase)
             order = order[np.lexsort((start[order], rank[which[order]], np.cumsum(new)))]
-            every = Places(rid[which], rk[which], start, count, (trig & np.uint64(0xFFFFFFFF)).astype(np.uint32), phrase)
+            every = Places(rid[which], rk[which], start, count, lead, (trig & np.uint64(0xFFFFFFFF)).astype(np.uint32), phrase)
             firsts = order[new]
             t = trig[firsts]
             head = np.ones(len(t), dtype=bool)
             head[1:] = t[1:] != t[:-1]
-            several = _runs(head) > 1
-            rows = every.take(order[~new]).joined().rows(1) + every.take(firsts[several]).rows(2)
-            alone, marks = firsts[~several], firsts[several & head]
+            size = _runs(head) if len(head) else np.zeros(0, dtype=np.int64)
+            gone, opened = every.take(order[~new]).joined(), every.take(firsts[size > 1])
+            rows = gone.rows(GONE, _spread(gone, buckets)) + opened.rows(OPEN, _spread(opened, buckets))
+            alone, marks = firsts[size == 1], firsts[(size > 1) & head]
             every.text[marks] = _MARK
+            every.count[marks] = size[(size > 1) & head]
             sent = np.concatenate((alone, marks))
-            yield _batch(rows + every.take(sent).rows(0, ((trig[sent] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)))
+            yield _batch(rows + every.take(sent).rows(MEETS, _bucket(trig[sent], buckets)))
 
     return work
 
 
-def _meet(open_too: bool):
-    """A bucket. All but the first of the places with one key and text repeat. In the first step the first ones are open
-    if their key has other texts or a mark."""
+def _digests(buffer: np.ndarray, at: np.ndarray, width: int, rows: int = 1 << 13) -> np.ndarray:
+    """As `window_hashes`, at some places only; a part of them at a time."""
+    up = BASE ** np.arange(width, dtype=np.uint64)
+    out = np.empty(len(at), dtype=np.uint64)
+    for i in range(0, len(at), rows):
+        out[i : i + rows] = (BYTE_VALUES[buffer[at[i : i + rows, None] + np.arange(width)]] * up).sum(axis=1, dtype=np.uint64)
+    return mix(out)
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _spans(parts: list[tuple[int, Places]]) -> pa.Table:
+    at = {f: np.concatenate([getattr(p, f) for _, p in parts]) for f in ("rid", "rk", "start", "count", "lead")}
+    kind = np.concatenate([np.full(len(p.rid), k) for k, p in parts])
+    types = {"rid": pa.int64(), "rk": pa.int32(), "start": pa.int32(), "count": pa.int32(), "lead": pa.int32()}
+    return pa.table({**{f: pa.array(at[f].astype(np.int64), pa.int64()).cast(t) for f, t in types.items()}, "kind": pa.array(kind, pa.int32())})
+
+
+def _meet(hot: int):
+    """A bucket of phrases. All but the first of the places with one key and text repeat. The first ones are open if their key
+    has other texts or a mark. A key with `hot` phrases or more, each block's counted for itself, is told of."""
 
     def work(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        parts = {k: Places.read(table.filter(pa.array(kind == k))) for k in (0, 1, 2)}
-        p = parts[0]
-        order = np.lexsort((p.start, p.rk, p.rid, p.text, p.key))
-        k, t = p.key[order], p.text[order]
-        key, new = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
-        key[1:] = k[1:] != k[:-1]
-        new[1:] = key[1:] | (t[1:] != t[:-1])
-        mark = (t == _MARK) & open_too
-        again = p.take(order[~new & ~mark])
-        opened = [parts[2]]
-        if open_too and len(order):
-            texts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(key))[np.cumsum(key) - 1]
-            opened.append(p.take(order[new & ~mark & (texts > 1)]))
-        gone = Places(*(np.concatenate([getattr(x, f) for x in (parts[1], again)]) for f in ("rid", "rk", "start", "count"))).joined()
-        out = [gone, *opened]
-        n = [len(x.rid) for x in out]
-        rid, rk, start, count = (np.concatenate([getattr(x, f) for x in out]) for f in ("rid", "rk", "start", "count"))
-        return pa.table(
-            {
-                "rid": pa.array(rid, pa.int64()),
-                "rk": pa.array(rk.astype(np.int32)),
-                "start": pa.array(start.astype(np.int32)),
-                "stop": pa.array((start + count).astype(np.int32)),
-                "open": pa.array(np.arange(sum(n)) >= n[0]),
-            }
-        )
+        p, gone, opened = (Places.read(table.filter(pa.array(kind == k))) for k in (MEETS, GONE, OPEN))
+        out = [(GONE, gone), (OPEN, opened)]
+        if len(p.rid):
+            order = np.lexsort((p.start, p.rk, p.rid, p.text, p.key))
+            k, t = p.key[order], p.text[order]
+            key, new = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
+            key[1:] = k[1:] != k[:-1]
+            new[1:] = key[1:] | (t[1:] != t[:-1])
+            mark = t == _MARK
+            at, group = np.flatnonzero(key), np.cumsum(key) - 1
+            alone = np.add.reduceat((new & ~mark).astype(np.int64), at)
+            marked = np.add.reduceat(np.where(mark, p.count[order], 0), at)
+            out.append((GONE, p.take(order[~new & ~mark]).joined()))
+            out.append((OPEN, p.take(order[new & ~mark & ((alone > 1) | (marked > 0))[group]])))
+            many = at[alone + marked >= hot]
+            zero = np.zeros(len(many), dtype=np.int64)
+            out.append((HOT_KEY, Places(k[many].astype(np.int64), np.full(len(many), table.column("bucket")[0].as_py()), zero, zero)))
+        return _spans(out)
 
     return work
 
 
-def corpus_order(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of the given phrase texts in the order of their bytes: text number, start in it, and whether it
-    differs from the one before. Equal windows stand in the order of the texts.
-
-    Suffixes are ranked over the dictionary of distinct texts; places in the parse (the given order) then put the
-    windows of equal ranks in sequence."""
-    places: dict[bytes, list[int]] = {}
-    for i, t in enumerate(texts):
-        places.setdefault(t, []).append(i)
-    dictionary = list(places)
-    sizes = np.array([len(t) for t in dictionary], dtype=np.int64)
-    begin = np.cumsum(sizes) - sizes
-    ranks = suffix_ranks(np.frombuffer(b"".join(dictionary), dtype=np.uint8), length)
-    entry = np.repeat(np.arange(len(dictionary)), [len(places[t]) for t in dictionary])
-    parse_at = np.array([i for t in dictionary for i in places[t]], dtype=np.int64)
-    count = sizes[entry] - length + 1
-    row = np.repeat(np.arange(len(entry)), count)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    r = ranks[begin[entry[row]] + inner]
-    order = np.lexsort((inner, parse_at[row], r))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = r[order][1:] != r[order][:-1]
-    return parse_at[row][order], inner[order], new
+def intervals(length: int, trigger: int) -> list[tuple[int, int]]:
+    """The places of a trigger in a window, 0 to length - trigger, in intervals that grow towards the middle."""
+    last = length - trigger
+    edges = sorted({0, last + 1, *(x for i in range(last.bit_length()) for x in (1 << i, last + 1 - (1 << i)) if (1 << i) <= last // 2 + 1)})
+    return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _second_step(buckets: int, length: int, block_bytes: int):
-    """A block's open phrases in corpus order. All but the first of equal windows repeat; the first goes to the bucket of
-    its digest. Spans already known to repeat go along."""
+#: Open phrases on their way to a bucket; of kind GONE without text.
+OPENED = "kind int, bucket int, rid binary, rk binary, start binary, count binary, lead binary, text binary"
+_OPENED = tuple(f for f in _FIELDS if f[0] not in ("key", "text"))
+
+
+def _second_step(buckets: int, length: int, block_bytes: int, hot_keys, trigger: int = TRIGGER):
+    """Sends a block's open phrases to the bucket of their trigger, with their text. Windows of hot triggers that repeat
+    inside the block are gone here; the others go to the bucket of what their interval's windows share."""
+
+    def batch(rows: list[tuple[int, Places, np.ndarray, np.ndarray, bytes]]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for kind, p, bucket, begin, data in rows:
+            order = np.lexsort((p.start, p.rk, p.rid, bucket))
+            if not len(order):
+                continue
+            cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                q, at = p.take(order[a:b]), begin[order[a:b]].tolist()
+                text = b"".join([data[x : x + c + length - 1] for x, c in zip(at, q.count.tolist(), strict=True)]) if kind == OPEN else None
+                out.append((kind, int(bucket[order[a]]), *(np.ascontiguousarray(getattr(q, f), dtype=t).tobytes() for f, t in _OPENED), text))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["kind", "bucket", *(f for f, _ in _OPENED), "text"])
 
     def work(batches):
-        for block, listed in _blocks(batches, True, block_bytes):
-            rid, rk, rank = block.keys()
-            found = [(w, s["start"], s["stop"]) for w, spans in enumerate(listed) for s in spans if s["open"]]
-            gone = [(w, s["start"], s["stop"]) for w, spans in enumerate(listed) for s in spans if not s["open"]]
-            w, a, e = np.array(gone, dtype=np.int64).reshape(-1, 3).T
-            rows = Places(rid[w], rk[w], a, e - a).joined().rows(1)
-            if found:
-                w, a, e = np.array(found, dtype=np.int64).T
-                o = np.lexsort((a, rank[w]))
-                w, a, e = w[o], a[o], e[o]
-                texts = [block.texts[x][y : z + length - 1] for x, y, z in zip(w.tolist(), a.tolist(), e.tolist(), strict=True)]
-                text, inner, new = corpus_order(texts, length)
-                start = a[text] + inner
-                one = np.ones(len(text), dtype=np.int64)
-                every = Places(rid[w[text]], rk[w[text]], start, one)
-                rows += every.take(~new).joined().rows(1)
-                sums = prefix_sums(np.frombuffer(b"".join(texts), dtype=np.uint8))
-                sizes = e - a + length - 1
-                at = (np.cumsum(sizes) - sizes)[text[new]] + inner[new]
-                first = every.take(new)
-                first.text = range_hashes(sums, at, at + length)
-                spread = range_hashes(sums, at + 1, at + length - 1) >> np.uint64(32)
-                rows += first.rows(0, (spread % np.uint64(buckets)).astype(np.int64))
-            yield _batch(rows)
+        hot = hot_keys.value
+        for p, begin, data in _opened(batches, block_bytes):
+            buffer = np.frombuffer(data, dtype=np.uint8)
+            at = begin + p.lead
+            trig = _digests(buffer, at, trigger)
+            bucket = _bucket(trig, buckets)
+            is_hot = np.isin((bucket.astype(np.uint64) << np.uint64(32)) | (trig & np.uint64(0xFFFFFFFF)), hot)
+            rows = [(OPEN, p.take(~is_hot), bucket[~is_hot], begin[~is_hot], data)]
+            if is_hot.any():
+                h, hb = p.take(is_hot), begin[is_hot]
+                order = np.lexsort((h.start, h.rk, h.rid))
+                h, hb = h.take(order), hb[order]
+                which, inner = repeated(Dictionary(buffer, hb, h.count, h.lead, length, trigger))
+                gone = Places(h.rid[which], h.rk[which], h.start[which] + inner, np.ones(len(which), dtype=np.int64)).joined()
+                rows.append((GONE, gone, _spread(gone, buckets), gone.start, data))
+                base = np.cumsum(h.count) - h.count
+                stays = np.ones(int(h.count.sum()), dtype=np.int64)
+                stays[base[which] + inner] = 0
+                left = np.concatenate(([0], np.cumsum(stays)))
+                for low, high in intervals(length, trigger):
+                    first, last = np.maximum(0, h.lead - high), np.minimum(h.count - 1, h.lead - low)
+                    some = np.flatnonzero(first <= last)
+                    some = some[left[(base + last)[some] + 1] > left[(base + first)[some]]]
+                    if not len(some):
+                        continue
+                    f, t = first[some], hb[some] + h.lead[some]
+                    q = Places(h.rid[some], h.rk[some], h.start[some] + f, last[some] - f + 1, h.lead[some] - f)
+                    rows.append((OPEN, q, _bucket(_digests(buffer, t - low, low - high + length) + np.uint64(low << 32), buckets), hb[some] + f, data))
+            yield batch(rows)
+
+    return work
+
+
+def _opened(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[Places, np.ndarray, bytes]]:
+    """The open phrases of documents, where they begin in the documents' bytes, and those bytes, block by block."""
+    parts: list[tuple] = []
+    texts: list[bytes] = []
+    size = 0
+
+    def block():
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return Places(*cols[:5]), cols[5], b"".join(texts)
+
+    for b in batches:
+        spans = b.column("spans")
+        at = spans.offsets.to_numpy().astype(np.int64)
+        start, count, lead = (spans.values.field(f).to_numpy().astype(np.int64)[at[0] : at[-1]] for f in ("start", "count", "lead"))
+        number = np.diff(at)
+        some = _unpack(b.column("packed").to_pylist())
+        sizes = np.array([len(t or b"") for t in some], dtype=np.int64)
+        offset = size + np.cumsum(sizes) - sizes
+        parts.append((*(np.repeat(b.column(c).to_numpy(), number) for c in ("rid", "rk")), start, count, lead, start + np.repeat(offset, number)))
+        texts += [t or b"" for t in some]
+        size += int(sizes.sum())
+        if size >= block_bytes:
+            yield block()
+            parts, texts, size = [], [], 0
+    if parts:
+        yield block()
+
+
+def _settle(length: int, trigger: int = TRIGGER):
+    """A bucket of open phrases in corpus order: all but the first of equal windows repeat."""
+
+    def read(table: pa.Table) -> Places:
+        got = [np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(f).to_pylist()] or [np.zeros(0, dtype=t)]).astype(np.int64) for f, t in _OPENED]
+        return Places(*got)
+
+    def work(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        gone, opened = (table.filter(pa.array(kind == k)) for k in (GONE, OPEN))
+        out = [(GONE, read(gone))]
+        p = read(opened)
+        if len(p.rid) > 1:
+            buffer = np.frombuffer(b"".join(opened.column("text").to_pylist()), dtype=np.uint8)
+            size = p.count + length - 1
+            begin = np.cumsum(size) - size
+            order = np.lexsort((p.start, p.rk, p.rid))
+            p = p.take(order)
+            which, inner = repeated(Dictionary(buffer, begin[order], p.count, p.lead, length, trigger))
+            out.append((GONE, Places(p.rid[which], p.rk[which], p.start[which] + inner, np.ones(len(which), dtype=np.int64)).joined()))
+        return _spans(out)
 
     return work
 
 
 def cut_out(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without the windows that start in the spans, and the maximal runs that are gone."""
+    """The text without the windows that start in the spans [start, stop), and the maximal runs that are gone."""
     runs: list[list[int]] = []
     for s, e in sorted(spans):
         e += length - 1
@@ -401,9 +529,15 @@ def _third_step(length: int, with_text: bool):
         kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
         for b in batches:
             rows = []
-            for text, spans in zip(_unpack(b.column("packed").to_pylist()), b.column("spans").to_pylist(), strict=True):
-                data = text or b""
-                kept, runs = cut_out(data, [(s["start"], s["stop"]) for s in spans or []], length)
+            spans = b.column("spans")
+            at = spans.offsets.to_pylist()
+            start = spans.values.field("start").to_numpy()
+            stop = start + spans.values.field("count").to_numpy()
+            for i, text in enumerate(_unpack(b.column("packed").to_pylist())):
+                data, runs = text or b"", []
+                kept = data
+                if at[i + 1] > at[i]:
+                    kept, runs = cut_out(data, list(zip(start[at[i] : at[i + 1]].tolist(), stop[at[i] : at[i + 1]].tolist(), strict=True)), length)
                 rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text and text is not None else None))
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())]
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("rk"), *made], names=["rid", "rk", *kinds])
@@ -412,7 +546,14 @@ def _third_step(length: int, with_text: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True, block_bytes: int = BLOCK_BYTES, bucket_input: int = BUCKET_INPUT
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    with_text: bool = True,
+    block_bytes: int = BLOCK_BYTES,
+    bucket_input: int = BUCKET_INPUT,
+    hot: int = HOT,
 ) -> DataFrame:
     """One row per document: id, rk, n_bytes, n_removed, n_spans, kept_sha256, kept (null unless with_text).
 
@@ -420,23 +561,28 @@ def remove_repeats(
     a smaller id, or in the same one. Strings are compared in the input; they don't cross documents. kept_sha256 is the
     digest of the bytes that are left; kept is them as text, without characters of which a part is gone. A null text has
     no bytes and stays null; shorter texts stay whole. Rows that share an id are told apart by rk, in the order of
-    their text; a null id comes after all others. An empty table gives no rows. Strings of one bucket with equal digests of 64
-    bits count as equal; buckets are told apart by other bits, and there are more of them the larger the input is."""
+    their text; a null id comes after all others. An empty table gives no rows. Other columns are not read. A text of any
+    length is parsed in parts of a megabyte.
+
+    Phrases count as equal if 64 bits of their trigger's digest and 64 bits of their own agree; windows of different phrases
+    are compared byte by byte. `hot` is the number of phrases from which on a trigger is dealt out by its surroundings;
+    the result is the same for all values of it, of block_bytes and of bucket_input."""
+    spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col).select("rid", "rk", "text")
-    buckets = text_bytes(input_bytes(docs, text_col), bucket_input, 12)
+    scanned = input_bytes(docs, text_col)
+    buckets = text_bytes(scanned, bucket_input, 48)
+    found = cut(map_arrow(rows, _first_step(buckets, length, block_bytes), PLACES).groupBy("bucket").applyInArrow(_meet(max(hot, scanned // HOT_SHARE)), SPANS))
+    keys = found.filter(F.col("kind") == HOT_KEY).select("rk", "rid").collect()
+    hot_keys = spark.sparkContext.broadcast(np.sort(np.array([(r["rk"] << 32) | r["rid"] for r in keys], dtype=np.uint64)))
 
     packed = map_arrow(rows, _pack, "rid long, rk int, packed binary")
 
-    def by_document(spans: DataFrame) -> DataFrame:
-        listed = spans.groupBy("rid", "rk").agg(F.collect_list(F.struct("start", "stop", "open")).alias("spans"))
-        return packed.join(listed, ["rid", "rk"], "left")
-
-    def repeats() -> DataFrame:
-        found = map_arrow(rows, _first_step(buckets, length, block_bytes), PLACES).groupBy("bucket").applyInArrow(_meet(True), SPANS)
-        met = map_arrow(by_document(found).filter("spans is not null").sortWithinPartitions("rid", "rk"), _second_step(buckets, length, block_bytes), PLACES)
-        return cut(met.groupBy("bucket").applyInArrow(_meet(False), SPANS))
+    def by_document(spans: DataFrame, how: str) -> DataFrame:
+        listed = spans.groupBy("rid", "rk").agg(F.collect_list(F.struct("start", "count", "lead")).alias("spans"))
+        return packed.join(listed, ["rid", "rk"], how)
 
-    spans = repeats()
-    free_shuffles(docs.sparkSession)
-    out = map_arrow(by_document(spans), _third_step(length, with_text), "rid long, rk int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    opened = map_arrow(by_document(found.filter(F.col("kind") == OPEN), "inner"), _second_step(buckets, length, max(1, block_bytes // 8), hot_keys), OPENED)
+    settled = cut(opened.groupBy("bucket").applyInArrow(_settle(length), SPANS))
+    spans = found.filter(F.col("kind") == GONE).unionByName(settled)
+    out = map_arrow(by_document(spans, "left"), _third_step(length, with_text), "rid long, rk int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out.select(original_id().alias(id_col), "rk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -135,8 +135,8 @@ def test_removal_of_odd_rows(spark, odd):
     assert suffix_dedup.remove_repeats(odd.limit(0).drop("rk", "rid")).count() == 0
 
 
-@pytest.mark.parametrize("block", [48 << 20, 3000])
-def test_removal_by_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "hot"), [(48 << 20, 4096), (3000, 4096), (48 << 20, 2), (3000, 2), (3000, 7)])
+def test_removal_by_brute_force(spark, block, hot):
     rng = random.Random(block)
     base = "".join(rng.choice("abcdefgh ") for _ in range(500))
     rows = []
@@ -145,7 +145,7 @@ def test_removal_by_brute_force(spark, block):
         pick = rng.choice([base[k : k + rng.randint(80, 250)], "ab" * 90, "x" * 130, "é" * 70, ""])
         rows.append((i, f"{i} " * rng.randint(0, 9) + pick + rng.choice(["", f" {i}", pick])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, block_bytes=block).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, block_bytes=block, hot=hot).collect())
     assert got == removed(rows)
 
 

@@ -66,33 +66,82 @@ def test_windows_of_equal_text_have_equal_triggers():
     rng = np.random.default_rng(3)
     shared = rng.integers(97, 123, 500, dtype=np.uint8).tobytes()
     texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() + shared + rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (3, 70)]
-    which, start, count, trig, _ = suffix_dedup.parse(texts)
+    which, start, count, lead, trig, _ = suffix_dedup.parse(texts)
     found = {}
     for w, s, c, t in zip(which, start, count, trig, strict=True):
         for k in range(c):
             found.setdefault(texts[w][s + k : s + k + 100], set()).add(int(t))
     assert all(len(x) == 1 for x in found.values())
+    assert (lead >= count - 1).all()
+    assert (lead <= 68).all()
     assert sum(count) == sum(len(t) - 99 for t in texts)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(min_size=1, max_size=300), st.integers(1, 40))
-def test_suffix_ranks(data, depth):
-    ranks = suffix_dedup.suffix_ranks(np.frombuffer(data, dtype=np.uint8), depth)
-    keys = [data[i : i + depth] for i in range(len(data))]
-    order = {k: i for i, k in enumerate(sorted(set(keys)))}
-    assert [order[k] for k in keys] == (ranks - ranks.min()).tolist() or [sorted(set(ranks)).index(r) for r in ranks] == [order[k] for k in keys]
-
-
-def test_corpus_order_is_sorted():
+@given(st.lists(st.binary(max_size=7), min_size=1, max_size=40))
+def test_sorted_words(words):
+    cells = np.zeros((len(words), 8), dtype=np.uint8)
+    for row, w in zip(cells, words, strict=True):
+        row[: len(w)] = list(w)
+    order, common = suffix_dedup.sorted_words(cells)
+    full = [bytes(cells[i]) for i in order]
+    assert full == sorted(full)
+    for a, b, n in zip(full, full[1:], common[1:], strict=False):
+        assert a[:n] == b[:n]
+        assert n == 8 or a[n] != b[n]
+
+
+def phrases_of(texts, length, trigger):
+    data = b"".join(texts)
+    size = np.array([len(t) for t in texts])
+    first = np.cumsum(size) - size
+    begin, count, lead, *_ = suffix_dedup.phrases(np.frombuffer(data, dtype=np.uint8), first, first + size, length, trigger)
+    return data, begin, count, lead
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "a\0", "abcdef"])
+def test_corpus_order_is_that_of_the_bytes(alphabet):
+    """Every window stands once; windows of one trigger place have ranks equal just where their bytes are, and those of
+    one left word are in the order of their bytes."""
     rng = random.Random(5)
-    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(10, 40))).encode() for _ in range(30)]
-    texts += texts[:5]
-    text, inner, new = suffix_dedup.corpus_order(texts, 10)
-    windows = [texts[t][i : i + 10] for t, i in zip(text, inner, strict=True)]
-    assert windows == sorted(windows)
-    assert [bool(x) for x in new] == [i == 0 or windows[i] != windows[i - 1] for i in range(len(windows))]
-    assert len(windows) == sum(len(t) - 9 for t in texts)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(10, 40))).encode() for _ in range(60)]
+    data, begin, count, lead = phrases_of(texts + texts[:9], 10, 4)
+    d = suffix_dedup.Dictionary(np.frombuffer(data, dtype=np.uint8), begin, count, lead, 10, 4)
+    seen, of_bytes = [], {}
+    for place, (some, inner, rank) in enumerate(d.windows()):
+        windows = [data[b : b + 10] for b in begin[some] + inner]
+        seen += zip(some.tolist(), inner.tolist(), strict=True)
+        assert len({*zip(windows, rank.tolist(), strict=True)}) == len(set(windows)) == len(set(rank.tolist()))
+        for w in windows:
+            assert of_bytes.setdefault(w, place) == place
+        by_left = {}
+        for w, r in zip(windows, rank.tolist(), strict=True):
+            by_left.setdefault(r // (d.n + 1), []).append((r, w))
+        assert all([w for _, w in sorted(x)] == sorted(w for _, w in x) for x in by_left.values())
+    assert sorted(seen) == [(i, k) for i, c in enumerate(count) for k in range(c)]
+
+
+def test_repeated_windows():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 60))).encode() for _ in range(80)]
+    data, begin, count, lead = phrases_of(texts + texts[:3], 12, 5)
+    which, inner = suffix_dedup.repeated(suffix_dedup.Dictionary(np.frombuffer(data, dtype=np.uint8), begin, count, lead, 12, 5))
+    seen, want = set(), set()
+    for i, (b, c) in enumerate(zip(begin.tolist(), count.tolist(), strict=True)):
+        for k in range(c):
+            w = data[b + k : b + k + 12]
+            if w in seen:
+                want.add((i, k))
+            seen.add(w)
+    assert {*zip(which.tolist(), inner.tolist(), strict=True)} == want
+    assert len(which) == len(want)
+
+
+def test_intervals_cover_all_places():
+    for length, trigger in ((100, 32), (10, 4), (5, 5), (6, 5)):
+        parts = suffix_dedup.intervals(length, trigger)
+        assert [d for a, b in parts for d in range(a, b + 1)] == list(range(length - trigger + 1))
+    assert len(suffix_dedup.intervals(100, 32)) == 13
 
 
 def test_cut_out():
