@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import gc
+import re
 import tempfile
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Lower-cases A-Z and keeps 0-9, a-z and every byte of a non-ASCII character; all else becomes a space.
 WORD_BYTES = bytes(
@@ -24,25 +24,69 @@ BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches sent to Python, so that long texts don't add up."""
+    """Bounds the Arrow batches sent to Python, so that long texts don't add up. A session that has lower bounds keeps them."""
     for key, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
     ):
         with contextlib.suppress(Exception):
-            spark.conf.set(key, value)
+            now = spark.conf.get(key, "")
+            if not (now.isdigit() and 0 < int(now) <= value):
+                spark.conf.set(key, str(value))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def named(column: str) -> Column:
+    """A top-level column of this very name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def names_beside(carried: list[str], own: list[str]) -> list[str]:
+    """Names for carried columns: their own, with _in appended as long as a result column or another has that name."""
+    out: list[str] = []
+    for c in carried:
+        while c in own or c in out:
+            c += "_in"
+        out.append(c)
+    return out
+
+
+def carry(docs: DataFrame, text_col: str, carried: list[str], *more: Column) -> tuple[DataFrame, list[StructField]]:
+    """The text as _text, then `more`, then the carried columns as _k0, _k1 and so on, with the fields of those."""
+    given = docs.select(named(text_col).alias("_text"), *more, *(named(c).alias(f"_k{i}") for i, c in enumerate(carried)))
+    return given, [StructField(f.name, f.dataType) for f in given.schema.fields[1 + len(more) :]]
+
+
+def per_text(docs: DataFrame, work: Callable[[list[str | None]], list[pa.Array]], schema: str, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The id and kept columns of every row, with what `work` makes of the texts of a batch: an array for each field of
+    the schema. A kept column that is named like a result column (or the id) gets _in appended to its name. Rows stay where
+    they are read."""
+    result = StructType.fromDDL(schema)
+    own = result.names
+    carried = [id_col, *(c for c in dict.fromkeys(keep) if c != id_col)]
+    given, fields = carry(docs, text_col, carried)
+
+    def batches_of(batches):
+        for b in batches:
+            made = work(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), *made], names=[*b.schema.names[1:], *own])
+
+    out = map_arrow(given, batches_of, StructType([*fields, *result.fields]))
+    return out.select(*(F.col(f.name).alias(n) for f, n in zip(fields, names_beside(carried, own), strict=True)), *own)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names. Where none is set, a temporary one, but only if all runs in one process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keystrata-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keystrata-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -52,13 +96,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner see that earlier frames are gone, so that their shuffle files don't pile up with the next ones.
-    The driver's JVM hears of frames that Python has dropped a moment later."""
-    for _ in range(3):
-        gc.collect()
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
+#: Keys that are broadcast for being hot, at most; and the rows of a hot key, at least.
+HOT_KEYS, HOT_ROWS = 100_000, 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], n_rows: int, count: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row for a key and in `count` how many of left's n_rows rows have it.
+
+    Keys with HOT_ROWS rows and no less than a HOT_KEYS-th of all are broadcast, of which there can't be more than HOT_KEYS, so that
+    their rows stay where they are; all others meet by a shuffle. Both sides are read more than once and should be written."""
+    hot = max(HOT_ROWS, -(-n_rows // HOT_KEYS))
+    big = right.filter(F.col(count) >= hot)
+    if not big.limit(1).count():
+        return left.join(right, on, how)
+    rest = left.join(F.broadcast(big.select(*on)), on, "left_anti").join(right.filter(F.col(count) < hot), on, how)
+    return left.join(F.broadcast(big), on).unionByName(rest)
 
 
 def crc_mod(column: Column | str, n: int) -> Column:
@@ -71,20 +123,37 @@ NO_ID = (1 << 63) - 1
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with two more columns, rid and rk, that together tell every row from every other.
+    """The rows with two more columns, rid and rk, that together tell every row from every other. The rows' own columns of
+    these names, if any, are dropped.
 
     rid is the id (NO_ID where it is null). rk is 0 where ids are unique; else rows that share an id
-    are numbered in the order of their text. Only the id column is read to find out."""
-    rows = docs.withColumn("rid", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    are numbered in the order of their text, nulls first. Only the id column is read to find out. Many rows of one id (null, say)
+    are ranked among those whose texts begin alike, after the counts of what sorts before, so that they don't meet in one task."""
+    rows = docs.drop(*(c for c in ("rid", "rk") if c not in (id_col, text_col)))
+    rows = rows.withColumn("rid", F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)))
     repeated = rows.select("rid").groupBy("rid").count().filter("count > 1").limit(1).count()
     if not repeated:
         return rows.withColumn("rk", F.lit(0))
-    return rows.withColumn("rk", F.row_number().over(Window.partitionBy("rid").orderBy(F.col(text_col))) - 1)
+    # Two levels of beginnings: none has more rows beside it than begin alike, and counts take their place from there.
+    text = F.coalesce(F.concat(F.lit("+"), named(text_col)), F.lit(""))
+    rows = rows.withColumns({"_a": F.substring(text, 1, 3), "_b": F.substring(text, 1, 24)})
+    fine = rows.groupBy("rid", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    coarse = fine.groupBy("rid", "_a").agg(F.sum("_n").alias("_n"))
+
+    def before(*within: str, order: str) -> Column:
+        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+    coarse = coarse.select("rid", "_a", before("rid", order="_a").alias("_x"))
+    fine = fine.withColumn("_y", before("rid", "_a", order="_b")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("rid", "_a", "_b").orderBy(named(text_col)))
+    ranked = rows.withColumn("_r", inside).join(fine, ["rid", "_a", "_b"]).join(coarse, ["rid", "_a"])
+    return ranked.withColumn("rk", (F.col("_r") - 1 + F.col("_x") + F.col("_y")).cast("int")).drop("_a", "_b", "_r", "_x", "_y")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns rid, rk and text of `numbered`."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("i"), named(text_col).alias("text"))
     return numbered(rows, "i", "text").select("rid", "rk", "text")
 
 
