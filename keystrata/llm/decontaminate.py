@@ -4,25 +4,27 @@ from __future__ import annotations
 
 import re
 import uuid
-from bisect import bisect_left
-from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from keystrata.llm.common import WORD_BYTES, map_arrow
+from keystrata.llm.common import WORD_BYTES, carry, map_arrow, named, names_beside
 
 WINDOW = 13
-#: Text of the items that go into one automaton. More items are scanned for in further passes of this size.
-AUTOMATON_BYTES = 16 << 20
+#: Text of the items that go into one automaton, which takes about 130 times that in a worker. More items are more automata,
+#: one after the other over the same texts.
+AUTOMATON_BYTES = 3 << 20
+#: Text that is scanned before the next automaton is made, where there are several.
+SCAN_BYTES = 64 << 20
 ORIGINAL_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
 
-#: Automata of a worker, the two last used.
-_automata: dict[tuple[str, int], ahocorasick.Automaton] = {}
+#: The automaton that a worker used last.
+_automata: dict[tuple[str, int], Scanner] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,26 +42,35 @@ def windows(items: list[tuple[str | None, str | None]], size: int = WINDOW) -> d
     return {p: (k, sorted(x for x in who if x is not None)) for p, (k, who) in found.items()}
 
 
-def automaton(patterns: dict[str, tuple[int, list[str]]]) -> ahocorasick.Automaton | None:
-    a = ahocorasick.Automaton()
-    for p, value in patterns.items():
-        a.add_word(p, value)
-    if not patterns:
-        return None
-    a.make_automaton()
-    return a
+class Scanner:
+    """An Aho-Corasick automaton whose letters are words: the numbers of those that windows have, 0 for all others."""
 
+    def __init__(self, patterns: dict[str, tuple[int, list[str]]]):
+        self.number: dict[bytes, int] = {}
+        self.found = list(patterns.values())
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, p in enumerate(patterns):
+            self.automaton.add_word(tuple([self.number.setdefault(w, len(self.number) + 1) for w in p.encode("latin-1").split()]), i)
+        self.automaton.make_automaton()
 
-def scan(text: str | None, a: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+    def hits(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Place of the last word, and number of the window, of every occurrence."""
+        get = self.number.get
+        return list(self.automaton.iter(tuple([get(w, 0) for w in words])))
+
+
+def automaton(patterns: dict[str, tuple[int, list[str]]]) -> Scanner | None:
+    return Scanner(patterns) if patterns else None
+
+
+def scan(text: str | None, a: Scanner | None) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, hit ranges of words, items."""
     w = words_of(text)
     if a is None or not w:
         return len(w), [], set()
-    line = (b" " + b" ".join(w) + b" ").decode("latin-1")
-    ranges, items, ends = [], set(), None
-    for at, (k, who) in a.iter(line):
-        ends = ends or list(accumulate(len(x) + 1 for x in w))
-        last = bisect_left(ends, at)
+    ranges, items = [], set()
+    for last, i in a.hits(w):
+        k, who = a.found[i]
         ranges.append((last - k + 1, last + 1))
         items.update(who)
     return len(w), ranges, items
@@ -97,63 +108,88 @@ def find_contamination(
     consecutive words of an item, or all words of a shorter one. items: ids of the items with a window in the
     document, as sorted strings. spans: maximal runs of hit words, as [start, end) code points of the original
     text. A null or empty text has no words and no hits. An item without words is never found; an item with a
-    null id marks words but isn't listed; repeated rows count once. An empty benchmark hits nothing.
+    null id marks words but isn't listed; repeated rows of items count once, those of documents stay repeated. An empty
+    benchmark hits nothing, an empty table of documents gives no rows. Of windows with equal words all items are listed. Other
+    columns aren't read; a kept one that is named like a result gets _in appended.
 
-    Documents are scanned where they are read: nothing is shuffled. The items go to the executors as automata
-    of at most `automaton_bytes` of text (one longer item is one automaton); more items mean more passes over the
-    words of the same batch, not a larger automaton."""
+    Documents are scanned where they are read, whole: nothing is shuffled. The items pass the driver one after the other and
+    go to the executors as lists of at most `automaton_bytes` of text (a longer item alone); a worker holds the automaton of one list. Where there are several, a worker
+    takes them in turn for SCAN_BYTES of text."""
     spark = docs.sparkSession
-    shards: list[list[tuple[str | None, str | None]]] = [[]]
+    casts: list = []
+    some: list[tuple[str | None, str | None]] = []
     room = automaton_bytes
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).distinct()
+    rows = benchmark.select(named(item_col).cast("string").alias("i"), named(item_text_col).alias("t")).distinct()
     for r in rows.sort("i", "t").toLocalIterator():
         size = len(r["t"] or "")
-        if shards[-1] and size > room:
-            shards.append([])
-            room = automaton_bytes
-        shards[-1].append((r["i"], r["t"]))
+        if some and size > room:
+            casts.append(spark.sparkContext.broadcast(some))
+            some, room = [], automaton_bytes
+        some.append((r["i"], r["t"]))
         room -= size
-    casts = [spark.sparkContext.broadcast(x) for x in shards]
+    casts.append(spark.sparkContext.broadcast(some))
     run = uuid.uuid4().hex
 
-    def load(k: int) -> ahocorasick.Automaton | None:
+    def load(k: int) -> Scanner | None:
         if (run, k) not in _automata:
-            while len(_automata) > 1:
-                _automata.pop(next(iter(_automata)))
+            _automata.clear()
             _automata[run, k] = automaton(windows(casts[k].value, window))
         return _automata[run, k]
 
+    def scanned(texts: list[str | None]) -> list[list]:
+        found: list[list] = [[0, [], set()] for _ in texts]
+        for k in range(len(casts)):
+            a = load(k)
+            for f, text in zip(found, texts, strict=True):
+                f[0], ranges, items = scan(text, a)
+                f[1] += ranges
+                f[2] |= items
+        return found
+
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def results(texts: list[str | None], found: list[list]) -> list[pa.Array]:
+        n_hit, spans = [], []
+        for f, text in zip(found, texts, strict=True):
+            ranges = merged(f[1])
+            n_hit.append(sum(e - s for s, e in ranges))
+            spans.append(original_spans(text, ranges) if ranges else [])
+        return [
+            pa.array(np.array([f[0] for f in found], dtype=np.int64)),
+            pa.array(np.array(n_hit, dtype=np.int64)),
+            pa.array([sorted(f[2]) for f in found], pa.list_(pa.string())),
+            pa.array(spans, span),
+        ]
+
+    result = StructType.fromDDL(SCHEMA)
+    carried = [id_col, *(c for c in dict.fromkeys(keep) if c != id_col)]
+    given, fields = carry(docs, text_col, carried)
+
     def work(batches):
+        """Several batches at a time, if there is more than one automaton to load."""
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done():
+            texts = [b.column(0).to_pylist() for b in held]
+            found = scanned([t for x in texts for t in x])
+            at = 0
+            for b, x in zip(held, texts, strict=True):
+                made = results(x, found[at : at + len(x)])
+                at += len(x)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), *made], names=[*b.schema.names[1:], *result.names])
+
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            found: list[list] = [[0, [], set()] for _ in texts]
-            for k in range(len(casts)):
-                a = load(k)
-                for f, text in zip(found, texts, strict=True):
-                    n, ranges, items = scan(text, a)
-                    f[0] = n
-                    f[1] += ranges
-                    f[2] |= items
-            n_hit, spans = [], []
-            for f, text in zip(found, texts, strict=True):
-                ranges = merged(f[1])
-                n_hit.append(sum(e - s for s, e in ranges))
-                spans.append(original_spans(text, ranges) if ranges else [])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(i) for i in range(1, b.num_columns)),
-                    pa.array(np.array([f[0] for f in found], dtype=np.int64)),
-                    pa.array(np.array(n_hit, dtype=np.int64)),
-                    pa.array([sorted(f[2]) for f in found], pa.list_(pa.string())),
-                    pa.array(spans, kind),
-                ],
-                names=[*b.schema.names[1:], "n_words", "n_hit", "items", "spans"],
-            )
-
-    given = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return map_arrow(given, work, f"{kept}, {SCHEMA}")
+            held.append(b)
+            size += b.nbytes
+            if len(casts) == 1 or size >= SCAN_BYTES:
+                yield from done()
+                held, size = [], 0
+        if held:
+            yield from done()
+
+    out = map_arrow(given, work, StructType([*fields, *result.fields]))
+    return out.select(*(F.col(f.name).alias(n) for f, n in zip(fields, names_beside(carried, result.names), strict=True)), *result.names)
 
 
 def contaminated():
