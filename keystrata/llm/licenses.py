@@ -9,9 +9,8 @@ from itertools import accumulate
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from keystrata.llm.common import WORD_BYTES, map_arrow
+from keystrata.llm.common import WORD_BYTES, per_text
 
 # Phrases of words, and the labels they stand for.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -47,8 +46,8 @@ PERMISSIVE = {"0bsd", "apache", "apache-2.0", "artistic", "bsd", "bsd-2-clause",
 TAG = "spdx license identifier"
 # End of fixed values.
 
-TAG_VALUE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([A-Za-z0-9.+\-() \t]+)", re.IGNORECASE)
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
+TAG_VALUE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([A-Za-z0-9.+\-:/() \t]+)", re.IGNORECASE)
+TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.\-:/]*[A-Za-z0-9])?\+?")
 PRIORITY = {"or": 1, "and": 2, "with": 3}
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, permissive boolean, score double"
 
@@ -168,19 +167,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words as in the scan for benchmark items. n_base counts the places of base phrases, first_word and last_word are
     their smallest and largest start (null without any). labels adds those of further phrases and of the expressions
-    after identifier tags. expressions are in postfix order. permissive: every tagged expression can be met with
+    after identifier tags, read to the end of the tag's line. expressions are in postfix order. permissive: every tagged expression can be met with
     permissive licences; without tags, all labels are permissive; null without labels. score: 1 less the product of
     the doubts that each kind of sign leaves; 0 without a sign. A null or empty text has no words and no labels, its
-    label columns are empty strings. Rows are judged alone where they are read; repeated rows stay repeated."""
+    label columns are empty strings. An empty table gives no rows. Labels that are found twice are listed once, in sorted order, so there
+    are no ties. Other columns aren't read; a kept one that is named like a result gets _in appended. Rows are judged alone
+    where they are read, in time in proportion to the text's length; repeated rows stay repeated."""
 
-    def work(batches):
+    def work(texts):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.float64())
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "permissive", "score"]
-        for b in batches:
-            rows = [examine(t) for t in b.column("_text").to_pylist()]
-            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), *made], names=[*b.schema.names[1:], *names])
-
-    given = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return map_arrow(given, work, f"{kept}, {SCHEMA}")
+        rows = [examine(t) for t in texts]
+        return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+
+    return per_text(docs, work, SCHEMA, id_col, text_col, keep)
