@@ -14,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from keystrata.llm.common import map_arrow
+from keystrata.llm.common import per_text
 
 SPACE = "▁"
 #: A run of spaces with what follows, or a newline. No piece reaches over such a border, so these parts merge alone.
@@ -25,6 +24,8 @@ PART = re.compile(r" *[^ \n]+| +|\n")
 LONG = 160
 #: A worker remembers up to twice as many parts; about 250 bytes each.
 REMEMBERED = 300_000
+#: Of the texts of a batch, the first and then each so many are compared as a whole with the library.
+WHOLE = 64
 SCHEMA = "n_tokens long, ids string, decoded string"
 
 _models: dict[str, Merges] = {}
@@ -226,35 +227,36 @@ def encode_decode(
     """One row per document: id, `keep` columns, n_tokens, ids (decimal, comma-joined), decoded.
 
     Ids are those of the sentencepiece library without begin and end ids and without sampling; decoded is its
-    decode(ids). A null or empty text has no ids. Repeated rows are coded again; nothing is shuffled. With `check`
-    the parts of the words that a worker meets for the first time are coded by the library as well, batch by
-    batch, and a difference is an error. With `digest` ids and decoded are their SHA-256 instead, so that long
-    results needn't leave the worker. A worker remembers at most twice REMEMBERED parts and those of a batch. The model file is read by the
-    driver and sent to the executors, half a megabyte."""
+    decode(ids). Of pairs with equal scores the leftmost merges first, as there. A null or empty text has no ids. An empty table gives
+    no rows. Repeated rows are coded again; nothing is shuffled. A text of any length is coded part by part. Other columns aren't read; a kept
+    one that is named like a result gets _in appended.
+
+    With `check` the parts of the words that a worker meets for the first time are coded by the library as well, and so
+    is, as a whole, every WHOLE-th text of a batch; a difference is an error. With `digest` ids and decoded are their
+    SHA-256 instead, so that long results needn't leave the worker. A worker remembers at most twice REMEMBERED parts and
+    those of a batch. The model file is read by the driver and sent to the executors, half a megabyte."""
     proto = open(model_path, "rb").read()  # noqa: SIM115
     cast = docs.sparkSession.sparkContext.broadcast(proto)
 
     def sha(x: str) -> str:
         return hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
 
-    def work(batches):
+    def work(texts):
         model = load(model_path, cast.value)
         known = _known.setdefault((model_path, check), Known(model, check))
-        for b in batches:
-            split = [parts(t) for t in b.column("_text").to_pylist()]
-            known.learn(set().union(*split))
-            get, odd, counts, coded, plain = known.ids.__getitem__, known.odd, [], [], []
-            for p in split:
-                ids = ",".join(map(get, p))
-                text = "".join([odd.get(x, x) for x in p] if odd else p)[1:]
-                counts.append(ids.count(",") + 1 if ids else 0)
-                coded.append(sha(ids) if digest else ids)
-                plain.append(sha(text) if digest else text)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(1, b.num_columns)), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())],
-                names=[*b.schema.names[1:], "n_tokens", "ids", "decoded"],
-            )
-
-    given = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return map_arrow(given, work, f"{kept}, {SCHEMA}")
+        split = [parts(t) for t in texts]
+        known.learn(set().union(*split))
+        get, odd, counts, coded, plain = known.ids.__getitem__, known.odd, [], [], []
+        for i, p in enumerate(split):
+            ids = ",".join(map(get, p))
+            text = "".join([odd.get(x, x) for x in p] if odd else p)[1:]
+            if check and i % WHOLE == 0 and p:
+                theirs = model.sp.encode(texts[i], num_threads=1)
+                if ids != ",".join(map(str, theirs)) or text != model.sp.decode(theirs):
+                    raise ValueError(f"{texts[i][:200]!r} is coded in another way by the library")
+            counts.append(ids.count(",") + 1 if ids else 0)
+            coded.append(sha(ids) if digest else ids)
+            plain.append(sha(text) if digest else text)
+        return [pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
+
+    return per_text(docs, work, SCHEMA, id_col, text_col, keep)
