@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import map_arrow
+from keystrata.llm.common import map_arrow, named, per_text
 from keystrata.llm.rolling import mix
 
 #: Buckets of hashed n-grams: the model is this many counts for each language, whatever the corpus.
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-#: Steps with all languages, and with each smaller set of them.
-FULL_STEPS, SET_STEPS = 8, 4
+#: Expectation-maximisation ends when no share moves by more, or after this many steps; texts that are done leave every few.
+MOVE, MOST_STEPS, LOOK = 1e-3, 200, 4
 #: Log-likelihood that a further language must add, times log(words).
 PENALTY = 3.0
 #: Numbers in a matrix of words by languages.
@@ -85,44 +85,52 @@ class LanguageModel:
         return out
 
     def infer(self, like: np.ndarray, starts: np.ndarray) -> list[dict[str, float]]:
-        """like: log-likelihood of words (rows) by languages; the words of document i begin at starts[i]."""
+        """like: log-likelihood of words (rows) by languages; the words of document i begin at starts[i].
+
+        The set begins with the best language alone. Each round adds the language that raises the penalised likelihood
+        most, or drops one if that raises it, until neither does. The likelihood of the shares of a set has one maximum,
+        so the start doesn't matter."""
         n_docs, n_lang = len(starts), like.shape[1]
         sizes = np.diff(np.append(starts, len(like)))
-        doc = np.repeat(np.arange(n_docs), sizes)
         top = like.max(axis=1)
         p = np.exp(like - top[:, None])
         base = np.add.reduceat(top, starts)
-
-        def em(share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(steps):
-                joint = p * share[doc]
-                joint /= joint.sum(axis=1, keepdims=True) + 1e-300
-                share = np.add.reduceat(joint, starts, axis=0) / sizes[:, None]
-            return share, np.add.reduceat(np.log((p * share[doc]).sum(axis=1) + 1e-300), starts) + base[left]
-
-        left = np.arange(n_docs)
+        fine = PENALTY * np.log(sizes + 1)
         alone = np.add.reduceat(like, starts, axis=0)
-        best_share = np.eye(n_lang)[alone.argmax(axis=1)]
-        best = alone.max(axis=1)
-        if n_lang > 1:
-            full, _ = em(np.full((n_docs, n_lang), 1 / n_lang), FULL_STEPS)
-            order = np.argsort(-full, axis=1, kind="stable")
-            every_size = sizes
-            for k in range(2, n_lang + 1):
-                # No set's likelihood exceeds that of each word's best language; the penalty only grows.
-                may = (base - PENALTY * (k - 1) * np.log(every_size + 1) > best)[left]
-                if not may.all():
-                    p, left, sizes = p[may[doc]], left[may], sizes[may]
-                    doc, starts = np.repeat(np.arange(len(left)), sizes), np.cumsum(sizes) - sizes
-                if not len(left):
-                    break
-                chosen, first = np.zeros((len(left), n_lang)), order[left, :k]
-                np.put_along_axis(chosen, first, np.take_along_axis(full[left], first, axis=1) + 1e-6, axis=1)
-                share, value = em(chosen / chosen.sum(axis=1, keepdims=True), SET_STEPS)
-                value = value - PENALTY * (k - 1) * np.log(sizes + 1)
-                better = value > best[left]
-                best[left[better]] = value[better]
-                best_share[left[better]] = share[better]
+        chosen = np.eye(n_lang, dtype=bool)[alone.argmax(axis=1)]
+        best_share, best = chosen.astype(np.float64), alone.max(axis=1)
+
+        def value_of(docs: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            share, likelihood = maximised(p, starts[docs], sizes[docs], sets)
+            return share, likelihood + base[docs] - fine[docs] * (sets.sum(axis=1) - 1)
+
+        def tried(docs: np.ndarray, add: bool) -> np.ndarray:
+            """The texts whose set gets better by one language more, or less, changed so."""
+            win, win_share, win_set = best[docs].copy(), best_share[docs].copy(), chosen[docs].copy()
+            for c in range(n_lang):
+                some = np.flatnonzero(chosen[docs, c] != add)
+                if not len(some):
+                    continue
+                sets = chosen[docs[some]].copy()
+                sets[:, c] = add
+                share, value = value_of(docs[some], sets)
+                better = value > win[some] + 1e-9
+                at = some[better]
+                win[at], win_share[at], win_set[at] = value[better], share[better], sets[better]
+            changed = win > best[docs]
+            at = docs[changed]
+            best[at], best_share[at], chosen[at] = win[changed], win_share[changed], win_set[changed]
+            return at
+
+        open_ = np.arange(n_docs) if n_lang > 1 else np.zeros(0, dtype=np.int64)
+        while len(open_):
+            # No set's likelihood exceeds that of each word's best language; the penalty only grows.
+            k = chosen[open_].sum(axis=1)
+            open_ = open_[(k < n_lang) & (base[open_] - fine[open_] * k > best[open_])]
+            open_ = tried(open_, True)
+            less = open_
+            while len(less):
+                less = tried(less[chosen[less].sum(axis=1) > 2], False)
         out = []
         for row in best_share:
             o = np.argsort(-row, kind="stable")
@@ -130,6 +138,36 @@ class LanguageModel:
         return out
 
 
+def maximised(p: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of each text's set of languages with the greatest likelihood, and its logarithm. Rows of p are words."""
+    out = sets / sets.sum(axis=1, keepdims=True)
+    value = np.zeros(len(starts))
+    at, left, n = starts, np.arange(len(starts)), sizes
+    share = out
+    begin = np.cumsum(n) - n
+    doc = np.repeat(np.arange(len(n)), n)
+    q = p[np.repeat(at - begin, n) + np.arange(int(n.sum()))] if len(n) else p[:0]
+    for step in range(MOST_STEPS):
+        if not len(left):
+            break
+        joint = q * share[doc]
+        total = joint.sum(axis=1) + 1e-300
+        now = np.add.reduceat(joint / total[:, None], begin, axis=0) / n[:, None]
+        done = np.abs(now - share).max(axis=1) <= MOVE
+        if step == MOST_STEPS - 1:
+            done[:] = True
+        share = now
+        if done.any() and (step % LOOK == LOOK - 1 or done.all() or step == MOST_STEPS - 1):
+            words = done[doc]
+            ends = np.cumsum(n[done]) - n[done]
+            value[left[done]] = np.add.reduceat(np.log((q[words] * share[doc[words]]).sum(axis=1) + 1e-300), ends)
+            out[left[done]] = share[done]
+            q, left, n, share = q[~words], left[~done], n[~done], share[~done]
+            begin = np.cumsum(n) - n
+            doc = np.repeat(np.arange(len(n)), n)
+    return out, value
+
+
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """lang, bucket, n over all rows of lang and text; every task adds up its own first."""
 
@@ -150,30 +188,25 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """From all rows whose text and language are known. The driver gets at most BUCKETS counts for each language."""
-    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    known = docs.select(named(lang_col).alias("lang"), named(text_col).alias("text")).filter("lang is not null and text is not null")
     return LanguageModel.of_counts([tuple(r) for r in gram_counts(known).collect()])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, `keep` columns, lang_pred, score, mixture (language -> share of the words).
 
-    Shares are fitted by expectation-maximisation with all languages; then with its one, two, ... strongest, and the
-    set with the best likelihood less a penalty for each further language is taken. lang_pred has the largest share, score
+    Shares are fitted by expectation-maximisation, to convergence. The set of languages grows from the best one: the
+    language that raises the likelihood, less a penalty for each further language, most is added, and one whose loss raises
+    it is dropped, until nothing does. lang_pred has the largest share, score
     is that share. A text that is null, empty or without letters is `und` with score 0 and an empty mixture, and so is
-    every text if nothing was learned. Ties go to the language that sorts first. Rows are judged alone where they are read."""
+    every text if nothing was learned. Ties go to the language that sorts first. An empty table gives no rows. Rows are judged alone where they are read; repeated rows stay
+    repeated, and a text of any length counts whole. Other columns aren't read; a kept one that is named like a result gets _in appended."""
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches):
-        for b in batches:
-            found = cast.value.mixtures(b.column("_text").to_pylist())
-            pred = [next(iter(m)) if m else "und" for m in found]
-            score = [min(1.0, next(iter(m.values()))) if m else 0.0 for m in found]
-            mixture = pa.array([list((m or {}).items()) for m in found], pa.map_(pa.string(), pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(1, b.num_columns)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), mixture],
-                names=[*b.schema.names[1:], "lang_pred", "score", "mixture"],
-            )
-
-    given = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return map_arrow(given, work, f"{kept}, lang_pred string, score double, mixture map<string,double>")
+    def work(texts):
+        found = cast.value.mixtures(texts)
+        pred = [next(iter(m)) if m else "und" for m in found]
+        score = [min(1.0, next(iter(m.values()))) if m else 0.0 for m in found]
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array([list((m or {}).items()) for m in found], pa.map_(pa.string(), pa.float64()))]
+
+    return per_text(docs, work, "lang_pred string, score double, mixture map<string,double>", id_col, text_col, keep)
