@@ -7,13 +7,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import map_arrow
+from keystrata.llm.common import named, per_text
 
-#: Labelled documents that the field is fitted on, those of the least hashes; and the most lines of one of them.
-MAX_LABELLED, MAX_TRAIN_LINES = 1500, 200
+#: Labelled documents that the field is fitted on, those of the least hashes; and the bytes of their texts.
+MAX_LABELLED, MAX_LABELLED_BYTES = 1500, 64 << 20
+#: Lines of a chain in the fit; a longer document is several chains.
+CHAIN = 200
 #: A document is kept if at least this share of its words' characters stands in content lines.
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
@@ -108,7 +110,7 @@ class Field:
     def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Log-likelihood and its gradients over padded sequences, by the forward and backward recursions."""
         n, t, _ = x.shape
-        emit = x @ self.weights
+        emit = (x @ self.weights.astype(x.dtype)).astype(np.float64)
         a, b = np.zeros((n, t, 2)), np.zeros((n, t, 2))
         a[:, 0] = emit[:, 0] + self.first
         for i in range(1, t):
@@ -126,7 +128,7 @@ class Field:
         seen = true[:, :-1, :, None] * true[:, 1:, None, :] * pair_mask
         g_move = (seen - pair).sum(axis=(0, 1))
         value = (emit * true).sum() + (seen * self.move).sum() + (true[:, 0] * self.first).sum() - z.sum()
-        return value, np.einsum("ntf,nty->fy", x, diff, optimize=True), g_move, diff[:, 0].sum(axis=0)
+        return value, x.reshape(n * t, -1).T @ diff.reshape(n * t, 2).astype(x.dtype), g_move, diff[:, 0].sum(axis=0)
 
     def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 40, rate: float = 0.2, decay: float = 1e-3) -> Field:
         """Adam on the penalised log-likelihood; sequences of like length are padded together."""
@@ -180,7 +182,7 @@ def fit_lines(labelled: list[tuple[str, int]]) -> Field:
     """Lines have no labels, documents do. Every line starts with its document's; then lines of bad documents that the
     field itself calls content lose theirs, and it is fitted again. Without both kinds of documents all weights stay 0,
     and every line is content."""
-    data = [(features(rows), q) for text, q in labelled if (rows := lines_of(text)[1]) and len(rows) <= MAX_TRAIN_LINES]
+    data = [(features(rows[i : i + CHAIN]), q) for text, q in labelled if (rows := lines_of(text)[1]) for i in range(0, len(rows), CHAIN)]
     if len({q for _, q in data}) < 2:
         return Field()
     xs = [x for x, _ in data]
@@ -220,11 +222,16 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     return n, len(text) - spaces, symbols, dup, repeat
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list[tuple[str, int]]:
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("q")).filter("i is not null and q is not null").groupBy("i").agg(F.min("q").alias("q"))
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int = MAX_LABELLED_BYTES) -> list[tuple[str, int]]:
+    """Text and label of at most `most` labelled documents, those of the least hashes; whole documents as long as their
+    bytes add up to no more than `most_bytes`. Rows that repeat an id and text count once."""
+    known = labels.select(named(id_col).alias("i"), named(label_col).alias("q")).filter("i is not null and q is not null").groupBy("i").agg(F.min("q").alias("q"))
     ids = known.orderBy(F.xxhash64("i"), "i").limit(most)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").filter("t is not null")
-    return [(r["t"], int(r["q"])) for r in rows.orderBy("i", "t").limit(most).collect()]
+    rows = docs.select(named(id_col).alias("i"), named(text_col).alias("t")).filter("t is not null").join(F.broadcast(ids), "i")
+    rows = rows.dropDuplicates(["i", "t"]).orderBy(F.xxhash64("i"), "i", "t").limit(most)
+    size = F.sum(F.octet_length("t")).over(Window.orderBy(F.xxhash64("i"), "i", "t"))  # of at most `most` rows
+    some = rows.withColumn("_s", size).filter(F.col("_s") <= most_bytes)
+    return [(r["t"], int(r["q"])) for r in sorted(some.select("i", "t", "q").collect(), key=lambda r: (r["i"], r["t"]))]
 
 
 def quality(
@@ -236,39 +243,36 @@ def quality(
     keep: tuple[str, ...] = (),
     max_labelled: int = MAX_LABELLED,
     content_share: float = CONTENT_SHARE,
+    max_labelled_bytes: int = MAX_LABELLED_BYTES,
 ) -> DataFrame:
     """One row per document: id, `keep` columns, the base measures, base_failed, kept, content_share, n_lines,
     n_content_lines and content_lines (numbers of the lines marked as content, from 0).
 
     base_failed: fewer than 50 words, or more than half of them in three-word windows that occur twice. kept: not
     base_failed, and at least `content_share` of the words' characters stand in lines that Viterbi decoding marks as
-    content. Lines without a word aren't decoded. The field is fitted on at most `max_labelled` labelled documents of
-    the least hashed ids; labels or ids that are null don't count, of several labels the worst does. A null or empty text
-    has no words and fails. Documents are judged alone where they are read; repeated rows stay repeated."""
-    field = fit_lines(training_sample(docs, labels, id_col, text_col, label_col, max_labelled))
+    content; of two equally good labels of a line content is taken. Lines without a word aren't decoded. The field is fitted
+    on at most `max_labelled` labelled documents and `max_labelled_bytes` of text, those of the least hashed ids, with all
+    their lines; labels or ids that are null don't count, of several labels the worst does. A null or empty text
+    has no words and fails. An empty table gives no rows; without labels every line is content. A text of any length is decoded whole. Documents are judged alone where they are read;
+    repeated rows stay repeated. Other columns aren't read; a kept one that is named like a result gets _in appended."""
+    field = fit_lines(training_sample(docs, labels, id_col, text_col, label_col, max_labelled, max_labelled_bytes))
     packed = (field.weights, field.move, field.first)
 
-    def work(batches):
+    def work(texts):
         model = Field(*packed)
         kinds = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for b in batches:
-            texts = b.column("_text").to_pylist()
-            lines = [lines_of(t) for t in texts]
-            emit = (features([r for _, rows in lines for r in rows]) @ model.weights).tolist()
-            out, at = [], 0
-            for text, (places, rows) in zip(texts, lines, strict=True):
-                y = model.viterbi(emit[at : at + len(rows)])
-                at += len(rows)
-                size = [r[0] * r[6] for r in rows]
-                share = sum(s for s, k in zip(size, y, strict=True) if k) / sum(size) if rows else 0.0
-                base = base_measures(text)
-                failed = base[0] < MIN_WORDS or 100 * base[4] > 50 * base[0]
-                content = [p for p, k in zip(places, y, strict=True) if k]
-                out.append((*base, failed, not failed and share >= content_share, share, len(rows), len(content), content))
-            made = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), *made], names=[*b.schema.names[1:], *names])
+        lines = [lines_of(t) for t in texts]
+        emit = (features([r for _, rows in lines for r in rows]) @ model.weights).tolist()
+        out, at = [], 0
+        for text, (places, rows) in zip(texts, lines, strict=True):
+            y = model.viterbi(emit[at : at + len(rows)])
+            at += len(rows)
+            size = [r[0] * r[6] for r in rows]
+            share = sum(s for s, k in zip(size, y, strict=True) if k) / sum(size) if rows else 0.0
+            base = base_measures(text)
+            failed = base[0] < MIN_WORDS or 100 * base[4] > 50 * base[0]
+            content = [p for p, k in zip(places, y, strict=True) if k]
+            out.append((*base, failed, not failed and share >= content_share, share, len(rows), len(content), content))
+        return [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
 
-    given = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return map_arrow(given, work, f"{kept}, {SCHEMA}")
+    return per_text(docs, work, SCHEMA, id_col, text_col, keep)
