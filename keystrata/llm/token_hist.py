@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import map_arrow
+from keystrata.llm.common import cut, per_text
 
 #: Lengths that one task sums up.
 BLOCK = 4096
@@ -24,25 +24,25 @@ def encoding(path: str, ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return _encodings[path]
 
 
-def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and n_tokens of every row. A null or empty text has 0 tokens; strings of special tokens are plain text."""
+def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, `keep` columns and n_tokens of every row. A null or empty text has 0 tokens; strings of special tokens are plain
+    text. An empty table gives no rows; repeated rows stay repeated. Texts are encoded whole. Other columns aren't read; a
+    kept one that is named n_tokens gets _in appended."""
     ranks = open(ranks_path, "rb").read()  # noqa: SIM115
     cast = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def work(batches):
+    def work(texts):
         enc = encoding(ranks_path, cast.value, pattern)
-        for b in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64())], names=[b.schema.names[1], "n_tokens"])
+        return [pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in texts], pa.int64())]
 
-    given = docs.select(F.col(text_col).alias("_text"), F.col(id_col))
-    kind = given.schema.fields[1].dataType.simpleString()
-    return map_arrow(given, work, f"`{id_col}` {kind}, n_tokens long")
+    return per_text(docs, work, "n_tokens long", id_col, text_col, keep)
 
 
 def length_histogram(counts: DataFrame) -> DataFrame:
-    """n_tokens, n_docs: one row per length. Rows are added up before they are shuffled."""
-    return counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_tokens, n_docs: one row per length. Rows are added up before they are shuffled; repeated rows count each.
+
+    The rows are written to the checkpoint folder, so that whatever asks them doesn't encode the texts again."""
+    return cut(counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -50,7 +50,8 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     their tokens), docs_within, tokens_within, truncated_total (tokens if every document is cut at L), and quantile
     (the share of documents no longer than L).
 
-    Sums run inside blocks of lengths, in parallel, and over one row per block. An empty histogram gives no rows."""
+    Sums run inside blocks of lengths, in parallel, and over one row per block. An empty histogram gives no rows. Lengths
+    differ from each other, so there are no ties; other columns of the histogram aren't read."""
     h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("_t"), F.floor(F.col("n_tokens") / block).alias("_b"))
     blocks = h.groupBy("_b").agg(F.sum("n_docs").alias("_d"), F.sum("_t").alias("_bt"))
     above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
