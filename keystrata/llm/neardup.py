@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LOWER_BYTES, NO_ID, cut, keyed, map_arrow
+from keystrata.llm.common import LOWER_BYTES, NO_ID, cut, join_hot, keyed, map_arrow
 from keystrata.llm.rolling import mix, prefix_sums, range_hashes
 
 WORDS_PER_SHINGLE = 3
 THRESHOLD = 85
-#: A pair at the threshold shares no band with probability (1 - 0.85**6)**24, about 1 in 80,000.
-ROWS, BANDS = 6, 24
+#: Probability with which a pair at the threshold may share no band, and the signature values that may be spent on that.
+NO_BAND, MOST_VALUES = 1 / 80_000, 160
 #: Signature values compared before each look at the posterior.
 STEP = 24
 #: A pair is dropped when its similarity reaches the threshold with less than this posterior probability.
@@ -24,8 +26,35 @@ BLOCK = 1024
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(85)
-_ADD = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
-_MUL = (_rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
+_ADD = _rng.integers(0, 1 << 32, MOST_VALUES, dtype=np.uint64).astype(np.uint32)
+_MUL = (_rng.integers(0, 1 << 31, MOST_VALUES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Words of a shingle, percents of similarity, and rows and number of bands."""
+
+    width: int
+    threshold: int
+    rows: int
+    bands: int
+
+    @property
+    def values(self) -> int:
+        return self.rows * self.bands
+
+    @staticmethod
+    def of(width: int, threshold: int) -> Plan:
+        """The widest bands of which enough, for NO_BAND, are no more than MOST_VALUES: 24 of 6 for 85 percent, 29 of 5 for 80."""
+        for rows in range(MOST_VALUES, 0, -1):
+            bands = int(np.ceil(np.log(NO_BAND) / np.log1p(-min((threshold / 100) ** rows, 1 - 1e-12))))
+            if rows * bands <= MOST_VALUES:
+                return Plan(width, threshold, rows, bands)
+        raise ValueError(f"{MOST_VALUES} signature values are too few for {threshold} percent")
+
+
+CONTRACT = Plan.of(WORDS_PER_SHINGLE, THRESHOLD)
+ROWS, BANDS = CONTRACT.rows, CONTRACT.bands
 
 
 def shingle_sets(texts: list[str | None], width: int = WORDS_PER_SHINGLE) -> list[np.ndarray]:
@@ -59,16 +88,16 @@ def shingle_sets(texts: list[str | None], width: int = WORDS_PER_SHINGLE) -> lis
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], values: int = ROWS * BANDS) -> np.ndarray:
     """Row i: the least value of each hash function over set i; sets aren't empty."""
-    out = np.empty((len(sets), ROWS * BANDS), dtype=np.uint32)
+    out = np.empty((len(sets), values), dtype=np.uint32)
     if not sets:
         return out
     every = np.concatenate(sets)
     x = (every ^ (every >> np.uint64(32))).astype(np.uint32)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     h = np.empty_like(x)
-    for k in range(ROWS * BANDS):
+    for k in range(values):
         np.add(x, _ADD[k], out=h)
         h ^= h >> np.uint32(15)
         h *= _MUL[k]
@@ -77,23 +106,23 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    out = np.empty((len(sig), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
+def band_hashes(sig: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    out = np.empty((len(sig), bands), dtype=np.uint64)
+    for b in range(bands):
         h = np.full(len(sig), b + 1, dtype=np.uint64)
-        for k in range(b * ROWS, (b + 1) * ROWS):
+        for k in range(b * rows, (b + 1) * rows):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, k].astype(np.uint64))
         out[:, b] = h
     return out
 
 
-def least_matches(threshold: float = THRESHOLD / 100, miss: float = MISS) -> list[tuple[int, int]]:
+def least_matches(threshold: float = THRESHOLD / 100, miss: float = MISS, values: int = ROWS * BANDS) -> list[tuple[int, int]]:
     """(compared values n, least matches): with fewer, P(similarity >= threshold | matches, n) < miss, from a uniform prior.
     Values are compared by their last byte, which is equal by chance once in 256."""
     s = (np.arange(20_000) + 0.5) / 20_000
     p = s + (1 - s) / 256
     out = []
-    for n in range(STEP, ROWS * BANDS + 1, STEP):
+    for n in range(STEP, values + 1, STEP):
         for m in range(n + 1):
             log = m * np.log(p) + (n - m) * np.log1p(-p)
             weight = np.exp(log - log.max())
@@ -116,22 +145,22 @@ def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray,
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node that it is connected with), for the nodes of the edges a, b.
 
-    Large-star and small-star steps, each a minimum per node and a join, so that no node's neighbours meet in one
-    task. Every step is written to the checkpoint folder; the driver sees a count and a checksum."""
+    Large-star and small-star steps, each a minimum per node and a join; nodes with very many edges are joined where those are.
+    Every step is written to the checkpoint folder; the driver sees a count and a checksum."""
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    n, seen = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+        large = join_hot(both, least, ["a"], 2 * n, "_n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        seen = now
+        n, seen = now[0], now
 
 
 def _list_of(arrays: list[np.ndarray]) -> pa.Array:
@@ -140,49 +169,61 @@ def _list_of(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.uint64).view(np.int64)))
 
 
-def _describe(batches):
+def _describe(plan: Plan):
     """rid, rk, nid, n, two fingerprints of the set, its band hashes."""
-    for b in batches:
-        sets = shingle_sets(b.column("text").to_pylist())
-        n = np.array([len(s) for s in sets], dtype=np.int64)
-        some = [i for i, s in enumerate(sets) if len(s)]
-        bands = band_hashes(signatures([sets[i] for i in some]))
-        listed: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(sets)
-        for row, i in zip(bands, some, strict=True):
-            listed[i] = row
-        marks = [np.array([mix(s + np.uint64(k)).sum() for s in sets], dtype=np.uint64).view(np.int64) for k in (1, 2)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("rid"), b.column("rk"), b.column("nid"), pa.array(n), pa.array(marks[0]), pa.array(marks[1]), _list_of(listed)],
-            names=["rid", "rk", "nid", "n", "f1", "f2", "bands"],
-        )
-
-
-def _members(batches):
+
+    def work(batches):
+        for b in batches:
+            sets = shingle_sets(b.column("text").to_pylist(), plan.width)
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            bands = band_hashes(signatures([sets[i] for i in some], plan.values), plan.rows, plan.bands)
+            listed: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(sets)
+            for row, i in zip(bands, some, strict=True):
+                listed[i] = row
+            marks = [np.array([mix(s + np.uint64(k)).sum() for s in sets], dtype=np.uint64).view(np.int64) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rid"), b.column("rk"), b.column("nid"), pa.array(n), pa.array(marks[0]), pa.array(marks[1]), _list_of(listed)],
+                names=["rid", "rk", "nid", "n", "f1", "f2", "bands"],
+            )
+
+    return work
+
+
+def _members(plan: Plan):
     """nid, signature, shingles of the documents that share a band with another."""
-    for b in batches:
-        sets = shingle_sets(b.column("text").to_pylist())
-        sig = signatures(sets)
-        yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array([r.tobytes() for r in (sig & 0xFF).astype(np.uint8)], pa.binary()), _list_of(sets)], names=["nid", "sig", "shingles"])
 
+    def work(batches):
+        for b in batches:
+            sets = shingle_sets(b.column("text").to_pylist(), plan.width)
+            sig = signatures(sets, plan.values)
+            yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array([r.tobytes() for r in (sig & 0xFF).astype(np.uint8)], pa.binary()), _list_of(sets)], names=["nid", "sig", "shingles"])
+
+    return work
 
-def _prune(batches):
-    bounds = least_matches()
-    for b in batches:
-        left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, ROWS * BANDS) for c in ("sig_u", "sig_v"))
-        every = np.arange(b.num_rows)
-        i, _ = surviving(left, right, every, every, bounds)
-        yield pa.RecordBatch.from_arrays([b.column("u").take(pa.array(i)), b.column("v").take(pa.array(i))], names=["u", "v"])
+
+def _prune(plan: Plan):
+    bounds = least_matches(plan.threshold / 100, values=plan.values)
+
+    def work(batches):
+        for b in batches:
+            left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, plan.values) for c in ("sig_u", "sig_v"))
+            every = np.arange(b.num_rows)
+            i, _ = surviving(left, right, every, every, bounds)
+            yield pa.RecordBatch.from_arrays([b.column("u").take(pa.array(i)), b.column("v").take(pa.array(i))], names=["u", "v"])
+
+    return work
 
 
-def _strays(threshold: int):
+def _strays(plan: Plan):
     """Links of strays to block members with other labels: one for every two labels that they join.
 
     Pairs that survive pruning are compared on their full sets here, and labels that a link joins count as one from
     then on, so that what leaves the task is no more than the labels that came in."""
-    bounds = least_matches()
+    bounds, threshold = least_matches(plan.threshold / 100, values=plan.values), plan.threshold
 
     def side(table: pa.Table, mark: str) -> tuple[np.ndarray, ...]:
-        sig = np.frombuffer(b"".join(table.column("sig" + mark).to_pylist()), dtype=np.uint8).reshape(table.num_rows, ROWS * BANDS)
+        sig = np.frombuffer(b"".join(table.column("sig" + mark).to_pylist()), dtype=np.uint8).reshape(table.num_rows, plan.values)
         lists = table.column("shingles" + mark).combine_chunks()
         offsets = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.to_numpy().view(np.uint64)
@@ -229,54 +270,59 @@ def _verified(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame
     return both.filter(inter * 100 >= (F.size("su") + F.size("sv") - inter) * threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = WORDS_PER_SHINGLE) -> DataFrame:
     """One row per document: id, rk, n_shingles, component_id, kept.
 
-    Documents are linked when the Jaccard similarity of their shingle sets (three words, A-Z lower-cased) is at least
+    Documents are linked when the Jaccard similarity of their shingle sets (`width` words, A-Z lower-cased) is at least
     threshold / 100; component_id is the smallest id among all that are reachable over links, and `kept` marks one row
     of every component. A document of fewer words is one shingle; one without words is linked with nothing and kept.
     Documents with equal sets are one class throughout and meet as one representative. Rows that share an id are told
     apart by rk, in the order of their text; the first is kept. A null id comes after all others; its component_id is
-    null unless a document with an id is reachable. An empty table gives no rows.
+    null unless a document with an id is reachable. An empty table gives no rows. Other columns aren't read. A text of any
+    length counts with all its shingles.
 
-    Candidates share a band of their signatures. First every document meets the least and the greatest one of its buckets.
+    Candidates share a band of their signatures; bands and pruning follow the threshold. First every document meets the least and the greatest one of its buckets.
     Then, in buckets whose members aren't yet in one component, those outside the bucket's largest component (strays) meet
-    all others, block by block. A pair is left out only if both are in one component already. Links hold on full sets."""
+    all others, block by block; of components of one size the one with the largest label counts as the largest. A pair is left out only if both are in one component already. Links hold on full sets.
+    Classes, buckets and components of very many documents are joined where their rows are."""
+    plan = Plan.of(width, threshold)
     rows = keyed(docs, id_col, text_col)
     rows = rows.withColumn("nid", F.when(F.col("rk") == 0, F.col("rid")).otherwise(F.xxhash64("rid", "rk")))
-    base = cut(map_arrow(rows.select("rid", "rk", "nid", "text"), _describe, "rid long, rk int, nid long, n long, f1 long, f2 long, bands array<long>"))
+    base = cut(map_arrow(rows.select("rid", "rk", "nid", "text"), _describe(plan), "rid long, rk int, nid long, n long, f1 long, f2 long, bands array<long>"))
     some = base.filter("n > 0")
-    classes = some.groupBy("f1", "f2", "n").agg(F.min("nid").alias("rep"))
+    n_docs = base.count()
+    classes = cut(some.groupBy("f1", "f2", "n").agg(F.min("nid").alias("rep"), F.count(F.lit(1)).alias("size")))
     reps = some.join(classes.select(F.col("rep").alias("nid")), "nid", "left_semi")
     bands = cut(reps.select("nid", F.explode("bands").alias("band")))
-    shared = bands.groupBy("band").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = cut(bands.join(shared, "band"))
+    shared = cut(bands.groupBy("band").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    n_bands = classes.count() * plan.bands
+    buckets = cut(join_hot(bands, shared, ["band"], n_bands, "size"))
     ids = buckets.select("nid").distinct()
-    members = cut(map_arrow(rows.select("nid", "text").join(ids, "nid", "left_semi"), _members, "nid long, sig binary, shingles array<long>"))
+    members = cut(map_arrow(rows.select("nid", "text").join(ids, "nid", "left_semi"), _members(plan), "nid long, sig binary, shingles array<long>"))
 
     ends = buckets.groupBy("nid").agg(F.min("hub").alias("hub"), F.max("last").alias("last"))
     stars = ends.select("nid", F.explode(F.array("hub", "last")).alias("end")).filter("nid <> end").select(F.least("nid", "end").alias("u"), F.greatest("nid", "end").alias("v")).distinct()
     sig = members.select("nid", "sig")
     pairs = stars.join(sig.select(F.col("nid").alias("v"), F.col("sig").alias("sig_v")), "v").join(sig.select(F.col("nid").alias("u"), F.col("sig").alias("sig_u")), "u")
-    links = cut(_verified(map_arrow(pairs.select("u", "v", "sig_u", "sig_v"), _prune, "u long, v long"), members, threshold))
+    links = cut(_verified(map_arrow(pairs.select("u", "v", "sig_u", "sig_v"), _prune(plan), "u long, v long"), members, threshold))
     labels = components(links)
 
-    named = buckets.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    named = cut(buckets.select("band", "nid", "size").join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid")))
     sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).filter("labels > 1")
-    met = cut(named.join(open_, "band").select("band", "nid", "label", "main", F.pmod(F.xxhash64("nid"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")))
+    open_ = cut(sizes.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("_k")).filter("labels > 1"))
+    met = cut(join_hot(named, open_, ["band"], n_bands, "_k").select("band", "nid", "label", "main", F.pmod(F.xxhash64("nid"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")))
     stray = met.filter("label <> main")
     tasks = stray.select("band", F.col("block").alias("i")).distinct().join(met.select("band", F.col("block").alias("j")).distinct(), "band")
     left = stray.withColumnRenamed("block", "i").join(tasks, ["band", "i"]).join(members, "nid").select("band", "i", "j", "nid", "label", "sig", "shingles")
     right = met.withColumnRenamed("block", "j").join(tasks, ["band", "j"]).join(members, "nid").select("band", "i", "j", "nid", "label", "sig", "shingles")
     right = right.toDF(*(f"{c}_" for c in right.columns))
-    more = left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_")).applyInArrow(_strays(threshold), "a long, b long")
+    more = left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_")).applyInArrow(_strays(plan), "a long, b long")
     labels = components(links.unionByName(more))
 
-    named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("label"))
-    out = base.join(named, ["f1", "f2", "n"], "left").withColumn("label", F.coalesce("label", "nid"))
-    heads = out.groupBy("label").agg(F.min(F.struct("rid", "rk")).alias("head"))
-    out = out.join(heads, "label")
+    named = cut(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("label"), "size"))
+    out = cut(join_hot(base.select("rid", "rk", "nid", "n", "f1", "f2"), named, ["f1", "f2", "n"], n_docs, "size", "left").select("rid", "rk", "n", F.coalesce("label", "nid").alias("label")))
+    heads = cut(out.groupBy("label").agg(F.min(F.struct("rid", "rk")).alias("head"), F.count(F.lit(1)).alias("size")))
+    out = join_hot(out, heads, ["label"], n_docs, "size")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(
         real("rid").alias(id_col),
