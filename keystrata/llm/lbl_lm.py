@@ -10,26 +10,32 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from keystrata.llm.common import LOWER_BYTES, cut, map_arrow
+from keystrata.llm.common import LOWER_BYTES, carry, cut, map_arrow, named, names_beside, numbered
 
-#: Words with a row of their own, with the end and the first class; and numbers in a row.
+#: Words with a row of their own, with the end and the first class, at least; and numbers in a row.
 VOCABULARY, WIDTH = 2048, 24
+#: Those words are this many times the cube root of the distinct training words, where that is more.
+NAMED = 12
 #: Classes of all other words: this many times the cube root of the distinct training words. The normalisers, a number for
 #: every two symbols, then grow by less than the words do.
 CLASSES = 4
 #: Bytes at a word's end that tell its class.
 ENDING = 3
 #: Noise words that every position of a step is told from, and positions of a step.
-NOISE, STEP = 32, 4096
-RATE = 0.08
+NOISE, STEP = 32, 512
+RATE = 0.4
+#: Training documents are dealt to shards of about so many tokens, by a hash. In each round all shards train from one model,
+#: alone, and their models are averaged.
+SHARD_TOKENS, ROUNDS = 1 << 20, 2
 #: Words whose counts are broadcast, at most; the counts of all others are joined.
 FREQUENT = 150_000
 #: Distinct words that a task adds up before it lets them go.
@@ -187,6 +193,7 @@ class Trainer:
         self.seen = 0
 
     def update(self, k: int, ids: np.ndarray, grad: np.ndarray) -> None:
+        ids = ids.astype(np.uint16) if len(self.noise) < 1 << 16 else ids  # sorted by digits then
         order = np.argsort(ids, kind="stable")
         s = ids[order]
         starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -223,86 +230,132 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return v, u
 
 
-def train(training: DataFrame, symbols: Symbols, unigram: np.ndarray) -> Model:
-    """One pass over all rows of `text`. Every task trains from the same start on what it reads; the models are averaged
-    with their numbers of tokens as weights, FAN_IN at a time, so that no task or driver holds many of them."""
-    start = Model.start(unigram)
-    sc = training.sparkSession.sparkContext
-    cast = sc.broadcast((start.arrays(), symbols, unigram))
-    blocks = 16
+def sharded(training: DataFrame, symbols: Symbols, shards: int, key: list[str]) -> DataFrame:
+    """shard, k, ids: the symbols of every row of `text`, in an order that follows from the rows alone. Written to the checkpoint folder."""
+    cast = training.sparkSession.sparkContext.broadcast(symbols)
+    kind = np.uint16 if len(symbols) < 1 << 16 else np.uint32
 
     def work(batches):
-        arrays, ids_of, noise = cast.value
-        pid = TaskContext.get().partitionId()
-        t = Trainer(Model(*arrays), noise, 1000 + pid)
-        rest = [np.zeros(0, dtype=np.int64)] * 3
-
-        def feed(w, v, u, last: bool):
-            nonlocal rest
-            w, v, u = (np.concatenate(x) for x in zip(rest, (w, v, u), strict=True))
-            n = len(w) if last else len(w) // STEP * STEP
-            for i in range(0, n, STEP):
-                t.step(w[i : i + STEP], v[i : i + STEP], u[i : i + STEP])
-            rest = [w[n:], v[n:], u[n:]]
-
+        ids_of = cast.value
         for b in batches:
-            lists = [tokens_of(x) for x in b.column("text").to_pylist()]
-            sizes = np.array([len(x) for x in lists], dtype=np.int64)
-            if len(sizes):
-                ids = np.fromiter((ids_of[w] for x in lists for w in x), dtype=np.int64, count=int(sizes.sum()))
-                feed(ids, *contexts(ids, np.cumsum(sizes) - sizes), False)
-        feed(*[np.zeros(0, dtype=np.int64)] * 3, True)
-        if t.seen:
-            flat = np.concatenate([a.ravel() for a in t.m.arrays()]).astype(np.float32) * np.float32(t.seen)
-            parts = np.array_split(flat, blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([pid] * blocks, pa.int64()), pa.array(range(blocks), pa.int32()), pa.array([float(t.seen)] * blocks, pa.float64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["part", "block", "weight", "data"],
-            )
-
-    def add(table: pa.Table) -> pa.Table:
-        data = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in table.column("data").to_pylist())
-        weight = sum(table.column("weight").to_pylist())
-        part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py()
-        return pa.table({"part": pa.array([part // FAN_IN], pa.int64()), "block": pa.array([block], pa.int32()), "weight": pa.array([weight], pa.float64()), "data": pa.array([data.astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "part long, block int, weight double, data binary"
-    models = map_arrow(training.select("text"), work, schema)
-    parts = training.rdd.getNumPartitions()
-    while True:
-        models = models.groupBy((F.col("part") / FAN_IN).cast("long").alias("_g"), "block").applyInArrow(lambda t: add(t), schema)
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
+            ids = [np.fromiter(map(ids_of.__getitem__, tokens_of(x)), dtype=kind).tobytes() for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("k"), pa.array(ids, pa.binary())], names=["shard", "k", "ids"])
+
+    k = F.xxhash64(*key)
+    given = training.select(F.pmod(k, F.lit(shards)).cast("int").alias("shard"), k.alias("k"), "text")
+    return cut(map_arrow(given, work, "shard int, k long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "k"))
+
+
+def trained(batches: Iterator[pa.RecordBatch], start: Model, noise: np.ndarray, seed: int) -> Iterator[tuple[int, Trainer]]:
+    """Every shard of a task, with what it makes of the model."""
+    kind = np.uint16 if len(noise) < 1 << 16 else np.uint32
+    shard, t = None, None
+    rest = [np.zeros(0, dtype=np.int64)] * 3
+
+    def feed(w: np.ndarray, v: np.ndarray, u: np.ndarray, last: bool = False) -> None:
+        nonlocal rest
+        w, v, u = (np.concatenate(x) for x in zip(rest, (w, v, u), strict=True))
+        n = len(w) if last else len(w) // STEP * STEP
+        for i in range(0, n, STEP):
+            t.step(w[i : i + STEP], v[i : i + STEP], u[i : i + STEP])
+        rest = [w[n:], v[n:], u[n:]]
+
+    nothing = [np.zeros(0, dtype=np.int64)] * 3
+    for b in batches:
+        of = b.column("shard").to_numpy()
+        lists = [np.frombuffer(x, dtype=kind) for x in b.column("ids").to_pylist()]
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if x == y:
+                continue
+            if of[x] != shard:
+                if t is not None:
+                    feed(*nothing, last=True)
+                    yield shard, t
+                shard, t = int(of[x]), Trainer(start, noise, 1000 * seed + int(of[x]))
+            sizes = np.array([len(i) for i in lists[x:y]], dtype=np.int64)
+            ids = np.concatenate(lists[x:y]).astype(np.int64)
+            feed(ids, *contexts(ids, np.cumsum(sizes) - sizes))
+    if t is not None:
+        feed(*nothing, last=True)
+        yield shard, t
+
+
+#: A model travels in so many parts, which are added up apart from each other.
+PARTS = 16
+_MODELS = "part long, block int, weight double, data binary"
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One part of several models, added up in the order of the models."""
+    order = np.argsort(table.column("part").to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    data = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in table.column("data").to_pylist())
+    part, block, weight = table.column("part")[0].as_py(), table.column("block")[0].as_py(), sum(table.column("weight").to_pylist())
+    return pa.table({"part": pa.array([part // FAN_IN], pa.int64()), "block": pa.array([block], pa.int32()), "weight": pa.array([weight], pa.float64()), "data": pa.array([data.astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(training: DataFrame, symbols: Symbols, unigram: np.ndarray, n_tokens: int, key: list[str], rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """Rounds over all rows of `text`. In a round every shard trains from the same model; the results are averaged with their
+    numbers of tokens as weights, FAN_IN at a time, so that no task or driver holds many of them. Shards, their order and
+    their random numbers follow from the rows' key columns, not from where the rows are read."""
+    sc = training.sparkSession.sparkContext
+    shards = max(1, -(-n_tokens // shard_tokens))
+    coded = sharded(training, symbols, shards, key)
+    model = Model.start(unigram)
+    for r in range(rounds):
+        cast = sc.broadcast((model.arrays(), unigram, r))
+
+        def work(batches, cast=cast):
+            arrays, noise, seed = cast.value
+            for shard, t in trained(batches, Model(*arrays), noise, seed):
+                flat = np.concatenate([a.ravel() for a in t.m.arrays()]).astype(np.float32) * np.float32(t.seen)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([float(t.seen)] * PARTS, pa.float64()), pa.array([p.tobytes() for p in np.array_split(flat, PARTS)], pa.binary())],
+                    names=["part", "block", "weight", "data"],
+                )
+
+        models, parts = map_arrow(coded, work, _MODELS), shards
+        while True:
+            models = models.groupBy((F.col("part") / FAN_IN).cast("long").alias("_g"), "block").applyInArrow(lambda t: _added(t), _MODELS)
+            parts = -(-parts // FAN_IN)
+            if parts <= 1:
+                break
+        rows = sorted(models.collect(), key=lambda x: x["block"])
+        if not rows:
             break
-    rows = sorted(models.collect(), key=lambda r: r["block"])
-    if not rows:
-        return start
-    flat = np.concatenate([np.frombuffer(r["data"], dtype=np.float32) / r["weight"] for r in rows]).astype(np.float32)
-    out, at = [], 0
-    for a in start.arrays():
-        out.append(flat[at : at + a.size].reshape(a.shape))
-        at += a.size
-    return Model(*out)
+        flat = np.concatenate([np.frombuffer(x["data"], dtype=np.float32) / x["weight"] for x in rows]).astype(np.float32)
+        out, at = [], 0
+        for a in model.arrays():
+            out.append(flat[at : at + a.size].reshape(a.shape))
+            at += a.size
+        model = Model(*out)
+    return model
 
 
 _tables: dict[str, tuple] = {}
 
 
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), vocabulary: int = VOCABULARY, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, `keep` columns, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words without ASCII white space, with A-Z lower-cased, then one end. base_score is the sum over tokens of
     log10((c + 1) / (N + V + 1)), with the token's count c, all N and the distinct V training tokens; n_known counts tokens
     with c > 0; score is the model's log10 probability of the text. A null or empty text is one end, in training too. With
-    no training rows N and V are 0 and score is base_score. Rows are told apart by their place in the input, so repeated
-    ids and rows stay; null ids too.
+    no training rows N and V are 0 and score is base_score. An empty table of documents gives no rows. Of words with equal
+    counts the one that sorts first gets a row of its own. Repeated ids and rows stay, told apart as `numbered` does;
+    null ids too. Texts count whole, scored in pieces where they are long. Other columns aren't read; a kept one that is named like a result gets _in appended.
+    Scores don't depend on how the rows are dealt to tasks, but for the order in which they are added up.
 
     Counts of at most `frequent` words go to the executors; all others are joined by word, which none of them can skew."""
-    counts = cut(word_counts(training.select(F.col(text_col).alias("text"))))
+    key = [c for c in (id_col,) if c in training.columns]
+    training = training.select(*(named(c).alias(f"k{i}") for i, c in enumerate(key)), named(text_col).alias("text"))
+    key = training.columns
+    counts = cut(word_counts(training))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     head = frequent_words(counts, frequent)
-    named = [w for w, _ in head if w != END][: vocabulary - 2]
-    words = [b"", END, *named]
+    rows_of_own = max(vocabulary, round(NAMED * v ** (1 / 3)))
+    words = [b"", END, *[w for w, _ in head if w != END][: rows_of_own - 2]]
     have = dict(head)
     symbols = Symbols(words, class_count(v))
     tokens, types = class_totals(counts, symbols)
@@ -310,13 +363,14 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     log_shared = np.where(symbols.is_class(), np.log10(tokens + types + 1), 0.0)
     tokens[END_ID] = have.get(END, 0)
     unigram = (tokens + 1) / (tokens + 1).sum()
-    model = train(training.select(F.col(text_col).alias("text")), symbols, unigram) if n else Model.start(unigram)
+    model = train(training, symbols, unigram, n, key, rounds) if n else Model.start(unigram)
     order = [(w, c, symbols[w]) for w, c in head]
     log_base = float(np.log10(n + v + 1))
     cast = docs.sparkSession.sparkContext.broadcast((model.arrays(), model.log_z(), order, symbols, log_shared))
 
-    given = docs.select(F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"), F.col(id_col), *keep)
-    fields = given.schema.fields[2:]
+    carried = [id_col, *(c for c in dict.fromkeys(keep) if c != id_col)]
+    given, fields = carry(docs, text_col, carried)
+    given = numbered(given, "_k0", "_text").select("_text", "rid", "rk", *(f.name for f in fields))
 
     def load():
         if run not in _tables:
@@ -336,7 +390,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         get, none = known.get, len(known)
         end_known = END in known
         for b in batches:
-            texts, row = b.column("_text").to_pylist(), b.column("_row").to_numpy()
+            texts, rid, rk = b.column("_text").to_pylist(), b.column("rid").to_numpy(), b.column("rk").to_numpy()
             lists = [tokens_of(t) for t in texts]
             sizes = np.array([len(x) for x in lists], dtype=np.int64)
             starts = np.cumsum(sizes) - sizes
@@ -359,14 +413,14 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 tallies[k] = tallies.get(k, 0) + 1
             r_doc = np.fromiter((d for d, _ in tallies), dtype=np.int64, count=len(tallies))
             k, m = len(texts), len(tallies)
-            own = [pa.concat_arrays([b.column(i), pa.nulls(m, b.column(i).type)]) for i in range(2, b.num_columns)]
-            places = np.concatenate((row, row[r_doc])) if m else row
-            # A document's own row joins with nothing: its word has a space.
-            word = pa.array([b" %d" % x for x in row.tolist()] + [w for _, w in tallies], pa.binary())
+            own = [pa.concat_arrays([b.column(i), pa.nulls(m, b.column(i).type)]) for i in range(3, b.num_columns)]
+            # A document's own row joins with nothing: its word has spaces.
+            word = pa.array([b" %d %d" % x for x in zip(rid.tolist(), rk.tolist(), strict=True)] + [w for _, w in tallies], pa.binary())
             end_rare = np.array([0] * k + [w == END for _, w in tallies], dtype=bool)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(places),
+                    pa.array(np.concatenate((rid, rid[r_doc]))),
+                    pa.array(np.concatenate((rk, rk[r_doc]))),
                     word,
                     pa.array([0] * k + list(tallies.values()), pa.int64()),
                     pa.array(end_rare),
@@ -376,14 +430,14 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                     pa.array(np.concatenate((add(logs + np.where(shared, log_c[at], 0.0)), np.zeros(m)))),
                     *own,
                 ],
-                names=["_row", "_word", "_tf", "_end", "_n", "_known", "_log_c", "_model", *(f.name for f in fields)],
+                names=["rid", "rk", "_word", "_tf", "_end", "_n", "_known", "_log_c", "_model", *(f.name for f in fields)],
             )
 
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
-    parts = map_arrow(given, work, f"_row long, _word binary, _tf long, _end boolean, _n long, _known long, _log_c double, _model double{kept}")
+    made = StructType.fromDDL("rid long, rk int, _word binary, _tf long, _end boolean, _n long, _known long, _log_c double, _model double")
+    parts = map_arrow(given, work, StructType([*made.fields, *fields]))
     joined = parts.join(counts.select(F.col("word").alias("_word"), "c"), "_word", "left")
     log_tf = F.col("_tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    sums = joined.groupBy("_row").agg(
+    sums = joined.groupBy("rid", "rk").agg(
         F.sum("_n").alias("n_tokens"),
         F.sum(F.col("_known") + F.when(F.col("c") > 0, F.col("_tf")).otherwise(0)).alias("n_known"),
         F.sum(F.col("_log_c") + log_tf).alias("_log_c"),
@@ -392,4 +446,6 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     )
     base = F.col("_log_c") - F.col("n_tokens") * log_base
     model_score = F.col("_model") if n else base
-    return sums.select(*(f.name for f in fields), "n_tokens", "n_known", F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), model_score.alias("score"))
+    own = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    ids = (F.col(f.name).alias(x) for f, x in zip(fields, names_beside(carried, own), strict=True))
+    return sums.select(*ids, "n_tokens", "n_known", F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), model_score.alias("score"))
