@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from keystrata.llm import decontaminate, html_text, langid, lbl_lm, licenses, neardup, quality_crf, queries, spm, suffix_dedup, token_hist
+from keystrata.llm import common, decontaminate, html_text, langid, lbl_lm, licenses, neardup, quality_crf, queries, spm, suffix_dedup, token_hist
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,12 +72,12 @@ def removed(rows, length=100):
     return out
 
 
-def classes(rows):
+def classes(rows, width=3, percent=85):
     """Component of every document by comparing all pairs."""
     sets = {}
     for i, text in rows:
         w = words(text)
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
     parent = {i: i for i in sets}
 
     def find(x):
@@ -88,7 +89,7 @@ def classes(rows):
     for n, a in enumerate(order):
         for b in order[n + 1 :]:
             inter = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * inter >= 85 * (len(sets[a]) + len(sets[b]) - inter):
+            if sets[a] and sets[b] and 100 * inter >= percent * (len(sets[a]) + len(sets[b]) - inter):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -125,14 +126,14 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_removal_of_odd_rows(spark, odd):
-    rows = suffix_dedup.remove_repeats(odd.drop("rk", "rid")).collect()
+    rows = suffix_dedup.remove_repeats(odd).collect()
     assert len(rows) == len(ODD)
     by = {(r.doc_id, r.rk): r for r in rows}
     assert by[1, 0].n_removed < 700
     assert by[6, 0].n_removed == by[6, 0].n_bytes == 510
     assert by[1, 1].n_removed == 510
     assert by[2, 0].kept is None
-    assert suffix_dedup.remove_repeats(odd.limit(0).drop("rk", "rid")).count() == 0
+    assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(("block", "hot"), [(48 << 20, 4096), (3000, 4096), (48 << 20, 2), (3000, 2), (3000, 7)])
@@ -150,15 +151,15 @@ def test_removal_by_brute_force(spark, block, hot):
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
-    rows = neardup.near_duplicates(odd.drop("rk", "rid")).collect()
+    rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
     kept = [r for r in rows if r.component_id == 1]
     assert sorted((r.doc_id, r.kept) for r in kept) == [(1, False), (1, False), (1, True), (6, False)] or sorted((r.doc_id, r.kept) for r in kept) == [(1, False), (1, True), (1, True), (6, False)]
     assert {r.doc_id for r in rows if r.n_shingles == 0} == {2, 3, 4, None}
-    assert neardup.near_duplicates(odd.limit(0).drop("rk", "rid")).count() == 0
+    assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_near_duplicates_in_a_hot_group(spark):
+def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
     """Copies of one text with a few words changed, of which most pairs are not similar enough, and exact copies."""
     rng = random.Random(3)
     base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
@@ -169,11 +170,17 @@ def test_near_duplicates_in_a_hot_group(spark):
             w[rng.randrange(len(w))] = f"n{rng.randint(0, 10**6)}"
         rows.append((i, " ".join(w)))
     rows += [(i, rows[i % 7][1]) for i in range(150, 250)] + [(i, f"only {i}") for i in range(250, 260)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((3, 85), (5, 80), (2, 60)):
+        found = neardup.near_duplicates(df, threshold=percent, width=width)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == classes(rows, width, percent)
+    # The same where every class, bucket and component with more than three rows counts as hot.
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    found = neardup.near_duplicates(df)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == classes(rows)
 
 
-def test_decontamination_of_odd_rows(spark, odd):
+def test_decontamination_of_odd_rows(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(1, "beta gamma alpha"), (2, None), (None, "no id"), (3, ""), (1, "beta gamma alpha"), (4, "日本")], "item_id long, text string")
     rows = decontaminate.find_contamination(odd, bench).collect()
     assert len(rows) == len(ODD)
@@ -181,8 +188,11 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert hit[6] == (90, 87, ["1"])
     assert 7 not in hit
     assert hit[None] == (3, 2, [])
-    small = decontaminate.find_contamination(odd, bench, automaton_bytes=1).collect()
-    assert sorted(map(repr, small)) == sorted(map(repr, rows))
+    monkeypatch.setattr(decontaminate, "SCAN_BYTES", 1)
+    for bound in (1, 20):  # several automata, for every batch and for all at once
+        small = decontaminate.find_contamination(odd, bench, automaton_bytes=bound).collect()
+        assert sorted(map(repr, small)) == sorted(map(repr, rows))
+        monkeypatch.undo()
     assert decontaminate.find_contamination(odd, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.find_contamination(odd.limit(0), bench).count() == 0
 
@@ -299,6 +309,119 @@ def test_histogram(spark, odd, docs):
     assert {r.n_tokens: r.n_docs for r in queries.op9_token_histogram(spark, SF).collect()} == want
 
 
+OPERATORS = {
+    "quality": lambda spark, d, keep: quality_crf.quality(d, spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int"), keep=keep),
+    "decontaminate": lambda spark, d, keep: decontaminate.find_contamination(d, spark.createDataFrame([(1, "beta gamma alpha")], "item_id long, text string"), keep=keep),
+    "sentencepiece": lambda spark, d, keep: spm.encode_decode(d, MODEL, keep=keep),
+    "licenses": lambda spark, d, keep: licenses.scan_licenses(d, keep=keep),
+    "languages": lambda spark, d, keep: langid.identify(d, langid.learn(d), keep=keep),
+    "counts": lambda spark, d, keep: token_hist.token_counts(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep),
+    "scores": lambda spark, d, keep: lbl_lm.score(d, d, keep=keep),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_kept_columns_of_clashing_names(spark, odd, name):
+    """Kept columns named like results, like helpers and like the id all come back, under names of their own."""
+    own = [c for c in OPERATORS[name](spark, odd, ()).columns if c != "doc_id"]
+    d = odd.select("doc_id", "text", "lang", F.lit("mine").alias(own[0]), F.lit("too").alias(f"{own[0]}_in"), F.lit("t").alias("_text"), F.lit("k").alias("_k0"), F.lit("r").alias("rid"), F.lit("d").alias("a.b`c"))
+    out = OPERATORS[name](spark, d, (own[0], f"{own[0]}_in", "_text", "_k0", "rid", "a.b`c", "doc_id"))
+    assert out.columns == ["doc_id", f"{own[0]}_in", f"{own[0]}_in_in", "_text", "_k0", "rid", "a.b`c", *own]
+    rows = out.collect()
+    assert len(rows) == len(ODD)
+    assert all(tuple(r[1:7]) == ("mine", "too", "t", "k", "r", "d") for r in rows)
+
+
+def test_numbers_of_rows_in_bulk(spark):
+    """Ids that are null, or equal, for most rows: numbers follow the texts, whatever the tasks."""
+    rng = random.Random(4)
+    rows = [(None if i % 3 else i % 2, rng.choice([None, "", "the ", "the same beginning of them all "]) and rng.choice("abc") * rng.randint(0, 3) + f"{rng.randint(0, 40)}") for i in range(500)]
+    rows = [(i, t if rng.random() > 0.1 else None) for i, t in rows]
+    got = common.numbered(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    by = {}
+    for i, t in rows:
+        by.setdefault(common.NO_ID if i is None else i, []).append(t)
+    want = sorted((i, k, t) for i, texts in by.items() for k, t in enumerate(sorted(texts, key=lambda x: (x is not None, x or ""))) if t is not None)
+    assert sorted((r.rid, r.rk, r.text) for r in got if r.text is not None) == want
+    assert len({(r.rid, r.rk) for r in got}) == len(rows)
+
+
+def test_bulk_null_ids(spark):
+    rows = [(None if i % 3 else i, f"text {i % 50} " + "of many words " * 20) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    near = neardup.near_duplicates(d).collect()
+    assert len(near) == 300
+    assert sum(r.kept for r in near) == 50
+    assert Counter(r.component_id for r in near if r.component_id is not None).total() == 300
+    left = suffix_dedup.remove_repeats(d).collect()
+    assert len(left) == 300
+    assert len({(r.doc_id, r.rk) for r in left}) == 300
+    assert lbl_lm.score(d, d).count() == 300
+
+
+def test_pipeline_works_every_document_out_once(spark, tmp_path, monkeypatch):
+    """Each stage's own pass over its rows runs once, whatever the later ones do with what it returns."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = quality_crf.lines_of
+
+    def counted(text):
+        seen.add(1)
+        return plain(text)
+
+    monkeypatch.setattr(quality_crf, "lines_of", counted)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF)
+    n_labelled = seen.value
+    out.count()
+    assert 0 < n_labelled <= 1500 + docs.count()
+    assert seen.value == n_labelled
+
+
+def test_scores_are_those_of_the_model(spark, monkeypatch):
+    """Every token's probability from the model's numbers, summed up over all symbols for each pair of contexts."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "dd", "eee", f"r{rng.randint(0, 30)}x"]) for _ in range(rng.randint(0, 20))) for _ in range(120)]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = [*texts[:40], "a a never seen r1x", "", "zz"]
+    monkeypatch.setattr(lbl_lm, "NAMED", 0)
+    got = {r.doc_id: r for r in lbl_lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), training, vocabulary=6).collect()}
+    c = Counter(w for t in texts for w in [*t.encode().split(), lbl_lm.END])
+    order = sorted((w for w in c if w != lbl_lm.END), key=lambda w: (-c[w], w))
+    symbols = lbl_lm.Symbols([b"", lbl_lm.END, *order[:4]], lbl_lm.class_count(len(c)))
+    tokens, types = np.zeros(len(symbols)), np.zeros(len(symbols))
+    for w, n in c.items():
+        tokens[symbols[w]] += n
+        types[symbols[w]] += w != lbl_lm.END
+    unigram = (tokens + 1) / (tokens + 1).sum()
+    m = lbl_lm.train(training, symbols, unigram, sum(c.values()), ["doc_id", "text"])
+    is_class = symbols.is_class()
+    for i, t in enumerate(asked):
+        before, total = [lbl_lm.END_ID, lbl_lm.END_ID], 0.0
+        for w in [*t.encode().split(), lbl_lm.END]:
+            s = symbols[w]
+            value = (m.a1[before[-1]] + m.a2[before[-2]]).astype(float) @ m.r.T.astype(float) + m.b
+            total += (value[s] - np.logaddexp.reduce(value)) / math.log(10)
+            if is_class[s]:
+                total += math.log10((c[w] + 1) / (tokens[s] + types[s] + 1))
+            before.append(s)
+        assert abs(got[i].score - total) < 1e-4 * abs(total) + 1e-4
+
+
+def test_scores_do_not_follow_the_tasks(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    a, b = ({r.doc_id: r.score for r in lbl_lm.score(df.repartition(n), df.repartition(n), vocabulary=64).collect()} for n in (4, 16))
+    assert a.keys() == b.keys()
+    assert all(abs(a[i] - b[i]) <= 1e-9 * abs(a[i]) for i in a)
+
+
+def test_scores_of_held_out_documents_beat_the_base(spark):
+    """By a twentieth of a decimal logarithm a token at least."""
+    sf = "/root/testdata/sf0.01"
+    rows = [r for r in queries.op10_language_model(spark, sf).collect() if r.held_out]
+    n = sum(r.n_tokens for r in rows)
+    assert sum(r.score for r in rows) / n > sum(r.base_score for r in rows) / n + 0.05
+
+
 @pytest.mark.parametrize("frequent", [150_000, 3])
 def test_scores_by_brute_force(spark, docs, frequent):
     df = spark.read.parquet(f"{SF}/documents.parquet")
@@ -349,7 +472,7 @@ def test_query_equals_sql(spark, name):
 def test_pipeline_by_brute_force(spark, docs):
     kept = {r.doc_id for r in queries.op1_quality_crf(spark, SF).filter("kept").collect()}
     rows = [(i, t) for i, t, _ in docs if i in kept]
-    comp = classes(rows)
+    comp = classes(rows, 5, 80)
     rows = [(i, t) for i, t in rows if comp[i][1] == i]
     seen, left = set(), []
     for i, t in sorted(rows):

@@ -1,5 +1,6 @@
 """The text operators' parts without Spark, against brute force."""
 
+import itertools
 import math
 import pickle
 import random
@@ -273,7 +274,6 @@ def test_base_measures(text):
     assert quality_crf.base_measures(text) == brute_base(text)
 
 
-def test_viterbi_is_the_best_path():
     import itertools
 
     rng = np.random.default_rng(4)
@@ -289,6 +289,16 @@ def test_viterbi_is_the_best_path():
     assert f.viterbi([]) == []
 
 
+def test_long_labelled_documents_are_fitted_whole():
+    """Lines of a document of a thousand lines teach the field, the last ones too."""
+    good = "\n".join("This is a sentence of plain words, and it ends as one." for _ in range(400))
+    bad = "\n".join("Short text here, and it is fine." for _ in range(300)) + "\n" + "\n".join("## >> $$ click $$ << ##" for _ in range(700))
+    f = quality_crf.fit_lines([(good, 1), (bad, 0)])
+    _, rows = quality_crf.lines_of("## >> $$ click $$ << ##\nThis is a sentence of plain words, and it ends as one.")
+    lean = quality_crf.features(rows) @ (f.weights[:, 1] - f.weights[:, 0])
+    assert lean[0] < 0 < lean[1]
+
+
 def test_field_gradient():
     rng = np.random.default_rng(5)
     n = quality_crf.N_FEATURES
@@ -335,6 +345,36 @@ def test_mixture_proportions():
     assert langid.LanguageModel.of_counts([]).mixtures(["abc"]) == [None]
 
 
+def test_set_of_languages_by_trying_all():
+    """Greedy steps from the best language reach the best of all sets."""
+    rng = np.random.default_rng(3)
+    m = langid.LanguageModel(["a", "b", "c", "d"], np.zeros((1, 4), dtype=np.float32))
+    like, starts = [], []
+    for i in range(60):
+        starts.append(len(like))
+        own = rng.choice(4, size=rng.integers(1, 5), replace=False)
+        for _ in range(int(rng.integers(1, 60))):
+            row = rng.normal(-9, 2, 4)
+            row[rng.choice(own)] += 8
+            like.append(row)
+    like, starts = np.array(like), np.array(starts)
+    got = m.infer(like, starts)
+    ends = np.append(starts[1:], len(like))
+    for (s, e), mix_ in zip(zip(starts, ends, strict=True), got, strict=True):
+        p = np.exp(like[s:e])
+        best = -np.inf
+        for k in range(1, 5):
+            for c in itertools.combinations(range(4), k):
+                x = np.full(k, 1 / k)
+                for _ in range(300):
+                    j = p[:, c] * x
+                    x = (j / j.sum(axis=1, keepdims=True)).mean(axis=0)
+                best = max(best, np.log(p[:, c] @ x).sum() - langid.PENALTY * (k - 1) * np.log(e - s + 1))
+        chosen = ["abcd".index(x) for x in mix_]
+        x = np.array(list(mix_.values()))
+        assert np.log(p[:, chosen] @ x).sum() - langid.PENALTY * (len(chosen) - 1) * np.log(e - s + 1) > best - 0.05
+
+
 def test_mixture_of_more_than_three_languages():
     rng = random.Random(8)
     letters = ["abcd", "efgh", "ijkl", "mnop", "qrst"]
