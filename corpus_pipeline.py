@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each over all rows that the one before kept."""
+"""From raw documents to token ids: five stages, each over all rows that the one before kept.
+
+Stages take the columns of documents; others are dropped. Rows with a null or empty text, or of fewer than 50 words, go in
+the first stage; given to a later one they stay, near-duplicates of nothing and without repeats, hits or tokens. Repeated
+rows, and rows with null ids, are rows of their own: of copies the first in the order of ids, then texts, stays. An empty
+table stays empty. A text of any length is worked on whole. Ties are those of the operators that the stages call."""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import decontaminate, neardup, quality_crf, spm, suffix_dedup
-from keystrata.llm.common import numbered
+from keystrata.llm.common import cut, numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,9 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.filter("kept").select(*COLUMNS)
 
 
+#: Words of a shingle, and percents of similarity from which documents are linked.
+WIDTH, THRESHOLD = 5, 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near-duplicates: that of the smallest id."""
-    first = neardup.near_duplicates(docs).filter("kept").select(F.coalesce("doc_id", F.lit(neardup.NO_ID)).alias("rid"), "rk")
+    first = neardup.near_duplicates(docs, threshold=THRESHOLD, width=WIDTH).filter("kept").select(F.coalesce("doc_id", F.lit(neardup.NO_ID)).alias("rid"), "rk")
     return numbered(docs).join(first, ["rid", "rk"], "left_semi").select(*COLUMNS)
 
 
@@ -58,7 +67,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage returns is written to the checkpoint folder, so that it is worked out once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
