@@ -9,11 +9,14 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from keystrata.llm.common import map_arrow
+from keystrata.llm.common import cut, map_arrow, named
 
 #: A subtree goes if it stands on this many pages of its host whose main texts differ.
 MANY_PAGES = 10
+#: Where a page has no article or main element, an element with this share of its text is no aside, whatever its names say.
+MOST = 0.6
 #: Inside an article or main element, pages differ if the longest blocks beside the subtree, at most this many, differ.
 BESIDE = 2
 
@@ -35,6 +38,12 @@ ASIDE_WORDS = frozenset(
     "login search searchbox skip tags contentinfo complementary".split()
 )
 HEADER_WORDS = frozenset("header topbar banner masthead".split())
+# Words that also say what a text is about: they don't count on the elements of running text.
+VAGUE_WORDS = frozenset("share sharing notice notification alert related social tags search login signup promotion banner subscription menu".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption address".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
+# With one of these a name tells of what is beside an element, or of a page as a whole, not of the element.
+HOLDER_WORDS = frozenset("with without has have no layout".split())
 MAIN_WORDS = frozenset("main".split())
 # Parts of a list, table or section, that say nothing alone: in an article they go with the whole or stay.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th thead tbody tfoot caption figcaption summary legend option optgroup".split())
@@ -52,18 +61,21 @@ HOST = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "holds_main", "tag", "words")
+    __slots__ = ("children", "hidden", "holds_main", "most", "tag", "words")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.children = tag, []
         self.words: frozenset[str] = frozenset()
-        self.hidden = self.holds_main = False
+        self.hidden = self.holds_main = self.most = False
         if attributes and not attributes.isspace():
             words: set[str] = set()
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role"):
-                    words.update(w.lower() for w in WORD.findall(value))
+                    for token in value.split():
+                        pieces = {w.lower() for w in WORD.findall(token)}
+                        if not pieces & HOLDER_WORDS:
+                            words |= pieces
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
                     self.hidden = True
             self.words = frozenset(words)
@@ -127,13 +139,35 @@ def is_main(n: Node) -> bool:
 
 
 def unwanted(n: Node, in_main: bool) -> bool:
+    if n.tag == "form" and (n.holds_main or n.most):
+        return False
     if n.tag in NEVER or n.hidden and n.tag not in ("html", "body"):
         return True
     if n.holds_main or n.tag in ("html", "body"):
         return False
     if not in_main and (n.tag == "header" or n.words & HEADER_WORDS):
         return True
-    return bool(n.words & ASIDE_WORDS) and not (is_main(n) and not in_main)
+    telling = n.words & ASIDE_WORDS
+    if n.tag in TEXT_TAGS:
+        telling -= VAGUE_WORDS
+    if not telling or is_main(n) and not in_main:
+        return False
+    return not n.most or bool(telling & COMMENT_WORDS)
+
+
+def mark_most(root: Node) -> None:
+    """Sets most on the elements that hold at least MOST of the page's text outside scripts and the like."""
+    total: dict[int, int] = {}
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo.extend(c for c in n.children if not isinstance(c, str) and c.tag not in RAW)
+    for n in reversed(order):
+        total[id(n)] = sum(len(c) - c.count(" ") if isinstance(c, str) else total.get(id(c), 0) for c in n.children)
+    least = MOST * total[id(root)]
+    for n in order:
+        n.most = total[id(n)] >= least > 0
 
 
 def mark_main(root: Node) -> bool:
@@ -150,7 +184,7 @@ def mark_main(root: Node) -> bool:
         if is_main(c) and c.tag not in NEVER:
             for a, _ in path:
                 a.holds_main = True
-        elif c.tag not in NEVER:
+        elif c.tag not in NEVER or c.tag == "form":
             path.append((c, 0))
     return root.holds_main
 
@@ -168,6 +202,8 @@ def examine(page: str | None, host: str, inside: bool = False) -> tuple[list[tup
         return [], set()
     root = tree(page)
     has_main = mark_main(root)
+    if not has_main:
+        mark_most(root)
     blocks: list[tuple[str, list[int]]] = []
     every: set[int] = set()
     parts: list[str] = []
@@ -268,33 +304,42 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     references are decoded; white space inside a block is one space; blocks follow each other in page order, one a line.
     Then element subtrees that stand on at least `many_pages` pages of their host with different main texts are deleted
     (copies of a page count once). Inside article and main, headings, list items and table cells go only with what holds
-    them, and pages differ by their longest blocks beside the subtree. A null or empty page has the empty text; a null
-    url is a host of its own name. Repeated rows stay repeated.
+    them, and pages differ by their longest blocks beside the subtree; of blocks of one length the one that sorts first counts as the longer. A null or empty page has the empty text; a null
+    url is a host of its own name. Repeated rows stay repeated. An empty table gives no rows; other columns aren't read. A page of any length is read whole, in time in
+    proportion to its elements times their depth.
+
+    Names tell less than structure: one that speaks of what an element has beside it (with-sidebar) counts for nothing, vague
+    ones nothing on a paragraph or the like; a form that holds the article is no form, and where a page has neither article nor main, an
+    element with most of the text is no aside, but for comments.
 
-    Pages are parsed twice, once for digests of subtrees only, so that neither markup nor text is kept in between."""
+    Pages are parsed twice: once for the digests of subtrees, which are written to the checkpoint folder, then for the blocks."""
+    key = F.xxhash64(named(id_col), named(url_col), named(html_col))
 
-    def count(batches):
+    def digests(batches):
         for b in batches:
-            found: list[tuple[int, int]] = []
-            for url, page in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True):
-                found += contents(*examine(page, host_of(url), inside=True))
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["mark", "content"])
+            rows: list[tuple[int, int, int | None, bool]] = []
+            for k, url, page in zip(b.column("_key").to_pylist(), b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True):
+                blocks, every = examine(page, host_of(url), inside=True)
+                own = {m for _, marks in blocks for m in marks}
+                counted = contents(blocks, every)
+                rows += [(k, m, c, m in own) for m, c in counted]
+                rows += [(k, m, None, True) for m in sorted(own - {m for m, _ in counted})]
+            kinds = {"_key": pa.int64(), "mark": pa.int64(), "content": pa.int64(), "own": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     def extract(batches):
         for b in batches:
-            rows = [examine(page, host_of(url), inside=True)[0] for url, page in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True)]
+            rows = [examine(page, host_of(url), inside=True)[0] for url, page in zip(b.column("_u").to_pylist(), b.column("_html").to_pylist(), strict=True)]
             kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))
             blocks = pa.array([[{"text": t, "marks": m} for t, m in r] for r in rows], kind)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), blocks], names=[*b.schema.names[2:], "blocks"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), blocks], names=[*b.schema.names[1:], "blocks"])
 
-    given = pages.select(F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    recurring = map_arrow(given, count, "mark long, content long").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= many_pages).select("mark")
+    found = cut(map_arrow(pages.select(key.alias("_key"), named(url_col).alias("_url"), named(html_col).alias("_html")), digests, "_key long, mark long, content long, own boolean"))
+    recurring = found.select("mark", "content").filter("content is not null").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= many_pages).select("mark")
+    gone = found.filter("own").select("_key", "mark").join(recurring, "mark", "left_semi").groupBy("_key").agg(F.collect_set("mark").alias("gone"))
 
-    rows = pages.select(F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)).alias("_key"), F.col(id_col).alias("_id"), F.col(url_col).alias("_u"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    parsed = map_arrow(rows, extract, f"_key long, _id {kind}, _u string, blocks array<struct<text: string, marks: array<long>>>")
-    marked = parsed.select("_key", F.explode(F.array_distinct(F.flatten(F.col("blocks.marks")))).alias("mark"))
-    gone = marked.join(recurring, "mark", "left_semi").groupBy("_key").agg(F.collect_set("mark").alias("gone"))
+    rows = pages.select(named(html_col).alias("_html"), key.alias("_key"), named(id_col).alias("_id"), named(url_col).alias("_u"))
+    parsed = map_arrow(rows, extract, StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields[1:]), *StructType.fromDDL("blocks array<struct<text: string, marks: array<long>>>").fields]))
     left = F.filter("blocks", lambda x: F.coalesce(~F.arrays_overlap(x["marks"], F.col("gone")), F.lit(True)))
     out = parsed.join(gone, "_key", "left").withColumn("left", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(left))
     text = F.array_join(F.transform("left", lambda x: x["text"]), "\n")

@@ -212,6 +212,19 @@ def test_pages_of_odd_rows(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_long_pages(spark):
+    """A page of a megabyte keeps all its paragraphs; deletion by recurrence decides what stays of the others."""
+    big = "<body><article>" + "".join(f"<p>Paragraph {i} &amp; more</p>" for i in range(30_000)) + "</article></body>"
+    box = "<article><p>The text of page {0} is this</p><div><p>Read our paper</p></div></article>"
+    rows = [(0, "http://a.b/", big)] + [(i, "http://a.b/", box.format(i)) for i in range(1, 15)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(df).collect()}
+    assert got[0].text == "\n".join(f"Paragraph {i} & more" for i in range(30_000))
+    assert (got[3].text, got[3].n_deleted) == ("The text of page 3 is this", 1)
+    off = {r.page_id: r for r in html_text.main_text(df, many_pages=1000).collect()}
+    assert (off[3].text, off[3].n_deleted) == ("The text of page 3 is this\nRead our paper", 0)
+
+
 def test_copies_of_a_page_count_once(spark):
     page = "<body><p>What it says</p><p>And more of it</p></body>"
     rows = [(i, "http://a.b/x", page) for i in range(30)]

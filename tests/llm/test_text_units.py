@@ -209,6 +209,24 @@ def test_page():
     assert all(not m for _, m in blocks)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><form><article><p>a</p></article><input></form></body>", ["a"]),
+        ("<body><form id=f><div><p>the text of it all</p></div><button>go</button></form></body>", ["the text of it all"]),
+        ('<body><div class="page with-sidebar"><div class="post"><p>a text</p></div><div class="sidebar">s</div></div></body>', ["a text"]),
+        ('<article><p>a</p><p class="market-share">b</p><p class="notice">c</p><div class="notice">d</div><p class="advert">e</p></article>', ["a", "b", "c"]),
+        ('<body><div class="sidebar-left"><p>the only text of this page</p></div><nav>n</nav></body>', ["the only text of this page"]),
+        ('<body><div class="comments"><p>many long comments of readers</p></div><p>a</p></body>', ["a"]),
+        ('<body><div class="no-comments"><p>a</p></div></body>', ["a"]),
+        ('<article><p>a</p><form><p>b</p></form></article>', ["a"]),
+        ('<body><form role="search"><input>s</form><p>more text than in the form</p></body>', ["more text than in the form"]),
+    ],
+)
+def test_what_names_of_elements_say(page, want):
+    assert [t for t, _ in html_text.examine(page, "h")[0]] == want
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "</p></p>", "a<b", "<p " + "x" * 5000, "<div>" * 3000 + "x"])
 def test_broken_pages(page):
     blocks, _ = html_text.examine(page, "h")
