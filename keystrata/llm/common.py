@@ -7,7 +7,9 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -30,7 +32,7 @@ def prepare(spark: SparkSession) -> None:
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
     ):
         with contextlib.suppress(Exception):
-            now = spark.conf.get(key, "")
+            now = spark.conf.get(key)
             if not (now.isdigit() and 0 < int(now) <= value):
                 spark.conf.set(key, str(value))
 
@@ -40,6 +42,16 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose first column, a text, has about `most` bytes, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def named(column: str) -> Column:
     """A top-level column of this very name, whatever characters are in it."""
     return F.col("`" + column.replace("`", "``") + "`")
