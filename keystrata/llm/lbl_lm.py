@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from keystrata.llm.common import LOWER_BYTES, carry, cut, map_arrow, named, names_beside, numbered
+from keystrata.llm.common import LOWER_BYTES, carry, cut, map_arrow, named, names_beside, numbered, slices
 
 #: Words with a row of their own, with the end and the first class, at least; and numbers in a row.
 VOCABULARY, WIDTH = 2048, 24
@@ -33,8 +33,8 @@ ENDING = 3
 #: Noise words that every position of a step is told from, and positions of a step.
 NOISE, STEP = 32, 512
 RATE = 0.4
-#: Training documents are dealt to shards of about so many tokens, by a hash. In each round all shards train from one model,
-#: alone, and their models are averaged.
+#: Training documents are dealt to shards of about so many tokens, by a hash, and to rounds. In each round all shards train from
+#: one model, alone, on their documents of the round, and their models are averaged.
 SHARD_TOKENS, ROUNDS = 1 << 20, 2
 #: Words whose counts are broadcast, at most; the counts of all others are joined.
 FREQUENT = 150_000
@@ -44,8 +44,9 @@ HELD = 400_000
 FAN_IN = 64
 #: The first class and the end. Further classes come after the words.
 CLASS_ID, END_ID = 0, 1
-#: Tokens scored, and rows of normalisers made, at once.
+#: Tokens scored, and rows of normalisers made, at once; and text of which the tokens are held.
 PIECE, ROWS = 1 << 16, 256
+SCORED_BYTES = 2 << 20
 #: The end of a text as a token: no word, since words have no white space.
 END = b"\n"
 
@@ -198,24 +199,40 @@ class Trainer:
         s = ids[order]
         starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         rows, total = s[starts], np.add.reduceat(grad[order], starts, axis=0)
-        acc = self.sums[k]
-        acc[rows] += total * total
-        self.m.arrays()[k][rows] += RATE * total / np.sqrt(acc[rows])
+        acc = self.sums[k][rows]
+        acc += total * total
+        self.sums[k][rows] = acc
+        total *= np.float32(RATE)
+        total /= np.sqrt(acc, out=acc)
+        self.m.arrays()[k][rows] += total
 
     def step(self, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> None:
         m = self.m
         x = np.minimum(np.searchsorted(self.noise, self.rng.random(NOISE)), len(self.noise) - 1)
         h = m.a1[v] + m.a2[u]
         rw, rx = m.r[w], m.r[x]
-        data = 1 / (1 + np.exp(np.clip((h * rw).sum(axis=1) + m.b[w] - self.log_kn[w], -30, 30)))
-        noise = -1 / (1 + np.exp(-np.clip(h @ rx.T + m.b[x] - self.log_kn[x], -30, 30)))
-        dh = data[:, None] * rw + noise @ rx
+        data = np.einsum("ij,ij->i", h, rw) + (m.b[w] - self.log_kn[w])
+        noise = h @ rx.T
+        noise += m.b[x] - self.log_kn[x]
+        for z in (data, noise):
+            np.clip(z, -30, 30, out=z)
+        np.exp(data, out=data)
+        data += 1
+        np.reciprocal(data, out=data)
+        np.negative(noise, out=noise)
+        np.exp(noise, out=noise)
+        noise += 1
+        np.divide(np.float32(-1), noise, out=noise)
         scale = np.float32(1 / len(w))
+        data *= scale
+        noise *= scale
+        dh = noise @ rx
+        dh += data[:, None] * rw
         both = np.concatenate((w, x))
-        self.update(2, both, np.concatenate((data[:, None] * h, noise.T @ h)) * scale)
-        self.update(3, both, np.concatenate((data, noise.sum(axis=0))) * scale)
-        self.update(0, v, dh * scale)
-        self.update(1, u, dh * scale)
+        self.update(2, both, np.concatenate((data[:, None] * h, noise.T @ h)))
+        self.update(3, both, np.concatenate((data, noise.sum(axis=0))))
+        self.update(0, v, dh)
+        self.update(1, u, dh)
         self.seen += len(w)
 
 
@@ -230,8 +247,9 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return v, u
 
 
-def sharded(training: DataFrame, symbols: Symbols, shards: int, key: list[str]) -> DataFrame:
-    """shard, k, ids: the symbols of every row of `text`, in an order that follows from the rows alone. Written to the checkpoint folder."""
+def sharded(training: DataFrame, symbols: Symbols, shards: int, rounds: int, key: list[str]) -> DataFrame:
+    """shard, round, k, ids: the symbols of every row of `text`, in an order that follows from the rows alone. Written to the
+    checkpoint folder."""
     cast = training.sparkSession.sparkContext.broadcast(symbols)
     kind = np.uint16 if len(symbols) < 1 << 16 else np.uint32
 
@@ -239,11 +257,11 @@ def sharded(training: DataFrame, symbols: Symbols, shards: int, key: list[str])
         ids_of = cast.value
         for b in batches:
             ids = [np.fromiter(map(ids_of.__getitem__, tokens_of(x)), dtype=kind).tobytes() for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("k"), pa.array(ids, pa.binary())], names=["shard", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("round"), b.column("k"), pa.array(ids, pa.binary())], names=["shard", "round", "k", "ids"])
 
     k = F.xxhash64(*key)
-    given = training.select(F.pmod(k, F.lit(shards)).cast("int").alias("shard"), k.alias("k"), "text")
-    return cut(map_arrow(given, work, "shard int, k long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "k"))
+    given = training.select(F.pmod(k, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(k), F.lit(rounds)).cast("int").alias("round"), k.alias("k"), "text")
+    return cut(map_arrow(given, work, "shard int, round int, k long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "k"))
 
 
 def trained(batches: Iterator[pa.RecordBatch], start: Model, noise: np.ndarray, seed: int) -> Iterator[tuple[int, Trainer]]:
@@ -296,12 +314,12 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def train(training: DataFrame, symbols: Symbols, unigram: np.ndarray, n_tokens: int, key: list[str], rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> Model:
-    """Rounds over all rows of `text`. In a round every shard trains from the same model; the results are averaged with their
+    """One pass over all rows of `text`, in rounds. In a round every shard trains from the same model; the results are averaged with their
     numbers of tokens as weights, FAN_IN at a time, so that no task or driver holds many of them. Shards, their order and
     their random numbers follow from the rows' key columns, not from where the rows are read."""
     sc = training.sparkSession.sparkContext
     shards = max(1, -(-n_tokens // shard_tokens))
-    coded = sharded(training, symbols, shards, key)
+    coded = sharded(training, symbols, shards, rounds, key)
     model = Model.start(unigram)
     for r in range(rounds):
         cast = sc.broadcast((model.arrays(), unigram, r))
@@ -315,7 +333,7 @@ def train(training: DataFrame, symbols: Symbols, unigram: np.ndarray, n_tokens:
                     names=["part", "block", "weight", "data"],
                 )
 
-        models, parts = map_arrow(coded, work, _MODELS), shards
+        models, parts = map_arrow(coded.filter(F.col("round") == r).select("shard", "ids"), work, _MODELS), shards
         while True:
             models = models.groupBy((F.col("part") / FAN_IN).cast("long").alias("_g"), "block").applyInArrow(lambda t: _added(t), _MODELS)
             parts = -(-parts // FAN_IN)
@@ -323,7 +341,7 @@ def train(training: DataFrame, symbols: Symbols, unigram: np.ndarray, n_tokens:
                 break
         rows = sorted(models.collect(), key=lambda x: x["block"])
         if not rows:
-            break
+            continue
         flat = np.concatenate([np.frombuffer(x["data"], dtype=np.float32) / x["weight"] for x in rows]).astype(np.float32)
         out, at = [], 0
         for a in model.arrays():
@@ -389,7 +407,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         is_class = symbols.is_class()
         get, none = known.get, len(known)
         end_known = END in known
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, SCORED_BYTES)):
             texts, rid, rk = b.column("_text").to_pylist(), b.column("rid").to_numpy(), b.column("rk").to_numpy()
             lists = [tokens_of(t) for t in texts]
             sizes = np.array([len(x) for x in lists], dtype=np.int64)
