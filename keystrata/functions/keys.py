@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from keystrata.model import MAX_PK, MAX_SK, Entity, Field, Template
 
@@ -32,7 +35,35 @@ def fmt(c: Column, f: Field, lower: bool = False) -> Column:
         return fmt_time(c)
     if f.type == "bool":
         return c.cast("string")
-    return F.lower(c) if lower else c
+    return lowered(c) if lower else c
+
+
+def _composed(x: str | None) -> str | None:
+    return x if x is None or x.isascii() else unicodedata.normalize("NFC", x)
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Unicode's composed form (NFC), which has no built-in function. ASCII texts are returned as they are."""
+    return text.map(_composed)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def composed_elements(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: None if xs is None else [_composed(x) for x in xs])
+
+
+def lowered(c: Column) -> Column:
+    """Text as keys hold it that don't tell cases apart: composed, then lower-cased."""
+    return F.lower(composed(c))
+
+
+def lowered_elements(c: Column) -> Column:
+    return F.transform(composed_elements(c), lambda x: F.lower(x))
+
+
+def lowered_value(x: Any) -> Any:
+    return _composed(x).lower() if isinstance(x, str) else x
 
 
 def render(t: Template, e: Entity, element: tuple[str, Column] | None = None) -> Column:
@@ -77,7 +108,9 @@ def bounds(e: Entity, t: Template, name: str, low: Any = None, high: Any = None)
     """A key range as one on the native field. Both ends count; for text the upper end also admits what begins with it."""
     f = e.field(name)
     part = next(p for p in t.parts if p.field == name)
-    c = F.lower(F.col(name)) if part.lower else F.col(name)
+    c = lowered(F.col(name)) if part.lower else F.col(name)
+    if part.lower:
+        low, high = lowered_value(low), lowered_value(high)
     cond = F.lit(True)
     if low is not None:
         cond = cond & (c >= literal(low, f))
@@ -118,11 +151,10 @@ def lengths_ok(pk: Column, sk: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes."""
-    digits = F.hex(text.cast("binary"))
-    places = F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1)), F.lit(2))
-    step = lambda h, i: (h.bitwiseXOR(F.conv(F.substring(digits, i, 2), 16, 10).cast("bigint")) * 16777619).bitwiseAND(0xFFFFFFFF)
-    folded = F.aggregate(places, F.lit(2166136261).cast("bigint"), step)
-    return F.when(F.length(digits) == 0, F.lit(2166136261).cast("bigint")).otherwise(folded)
+    # A character for every byte; as an element of an array, so that the key is rendered once and not for every byte.
+    letters = F.filter(F.split(F.decode(text.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
+    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * 16777619).bitwiseAND(0xFFFFFFFF)
+    return F.transform(F.array(letters), lambda x: F.aggregate(x, F.lit(2166136261).cast("bigint"), step))[0]
 
 
 def shard_of(pk: Column, sk: Column, shards: int) -> Column:

@@ -52,7 +52,7 @@ def own_keys(e: Entity) -> Size:
 
 
 def fields_size(fields: list[Field]) -> Size:
-    return add((0, 0), *(attribute(f.name, f.sizes) for f in fields))
+    return add((0, 0), *(attribute(f.attribute, f.sizes) for f in fields))
 
 
 def item_size(e: Entity) -> Size:
@@ -241,3 +241,17 @@ def pages_to_read(n: Column, page: int) -> Column:
 
 def scan_units(size: Column, consistent: bool = False) -> Column:
     return F.ceil(size / float(READ_UNIT)) * (1.0 if consistent else 0.5)
+
+
+def estimated_elements(size: Column) -> Column:
+    """How many elements a set of so many bytes is taken to have."""
+    return F.greatest(F.lit(1), F.ceil(size / float(ELEMENT))).cast("bigint")
+
+
+def held_elements(name: str) -> Column:
+    return F.size(F.array_distinct(name)).cast("bigint")
+
+
+def capped_read_units(units: Column, held: Column, item_bytes: int) -> Column:
+    """Units of a read that can't cost more than reading all that its partition holds."""
+    return F.least(units, observed_read_units(held * item_bytes))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.functions.keys import item_key, present, render, shard_key, shard_of
+from keystrata.functions.keys import item_key, lowered_elements, present, render, shard_key, shard_of
 from keystrata.functions.preds import holds
 from keystrata.model import Counter, Entity
 
@@ -19,7 +19,7 @@ def _exploded(rows: DataFrame, e: Entity, names: list[str], lower: bool = False)
     name = _element_of(e, *names)
     if not name:
         return rows, None
-    values = F.transform(name, lambda x: F.lower(x)) if lower else F.col(name)
+    values = lowered_elements(F.col(name)) if lower else F.col(name)
     return rows.withColumn("_element", F.explode(F.array_distinct(values))).filter("_element <> ''"), (name, F.col("_element"))
 
 
@@ -136,3 +136,15 @@ def all_derived(rows: DataFrame, e: Entity) -> DataFrame:
             part = part.select("PK", "SK", F.lit(kind).alias("kind"), F.lit(x.name).alias("name"))
             out = part if out is None else out.unionByName(part)
     return out
+
+
+def same_items(a: DataFrame, b: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """key and `same`: whether both sides' items agree in all fields, nulls included; an item of one side only differs."""
+    x = a.select(*key, F.struct(*fields).alias("_a"))
+    y = b.select(*key, F.struct(*fields).alias("_b"))
+    return x.join(y, key, "full").select(*key, F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
+
+
+def distinct_keys(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Keys once each, in key order where they are read."""
+    return rows.select(*names).dropDuplicates().sortWithinPartitions(*names)

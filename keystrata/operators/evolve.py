@@ -23,7 +23,7 @@ def shape(e: Entity) -> dict[str, Any]:
     return {
         "entity": e.name,
         "version": e.version,
-        "fields": {f.name: {"type": f.type, "values": sorted(f.values), "required": f.required} for f in e.fields},
+        "fields": {f.name: {"type": f.type, "attr": f.attribute, "values": sorted(f.values), "required": f.required} for f in e.fields},
         "pk": e.pk.raw,
         "sk": e.sk.raw,
         "ttl": e.ttl,
@@ -41,25 +41,42 @@ def fingerprint(x: Any) -> str:
 def shape_rows(s: dict[str, Any]) -> list[tuple[str, str, str]]:
     """part, name and definition of a shape, flat."""
     out = [("key", k, s[k]) for k in ("pk", "sk")] + [("ttl", "ttl", s["ttl"])]
-    for part in ("fields", "indexes", "uniques", "counters"):
+    for part in ("fields", "indexes", "uniques"):
         out += [(part, n, json.dumps(d, sort_keys=True)) for n, d in s[part].items()]
+    for n, c in s["counters"].items():
+        out += [("counters", f"{n}.{v}", json.dumps([c["pk"], c["sk"], c["shards"], d])) for v, d in c["values"].items()]
     return out
 
 
-#: What stored items survive: everything else needs a new generation.
-COMPATIBLE = {("fields", "added"), ("indexes", "removed"), ("uniques", "removed"), ("counters", "removed"), ("fields", "removed")}
-
-
 def classify(old: DataFrame, new: DataFrame) -> DataFrame:
-    """part, name, change, compatible: by name over both shapes' rows (part, name, definition)."""
+    """part, name, change, compatible: by name over both shapes' rows (part, name, definition).
+
+    Compatible is what stored items survive, with versions before and after it at work side by side: a new field that may be
+    missing, one that is gone or may be missing now, an enum with more values. Everything else needs a new generation:
+    keys, expiry, another type or attribute, a field that must be there now, and any derived item that comes, changes or
+    goes, since items have none of it or one version stops keeping it up."""
     both = old.withColumnRenamed("definition", "was").join(new.withColumnRenamed("definition", "now"), ["part", "name"], "full")
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
-    fits = F.lit(False)
-    for part, kind in sorted(COMPATIBLE):
-        fits = fits | ((F.col("part") == part) & (F.col("change") == kind))
-    widened = (F.col("part") == "fields") & (F.col("change") == "changed") & (F.get_json_object("was", "$.type") == F.get_json_object("now", "$.type")) & (F.get_json_object("now", "$.required") == "false")
-    added = both.withColumn("change", change).filter("change is not null")
-    return added.select("part", "name", "change", (fits | widened).alias("compatible"))
+    of = lambda side, name: F.get_json_object(side, f"$.{name}")
+    must = F.coalesce(of("now", "required") == "true", F.lit(False))
+    lost = F.size(F.array_except(F.from_json(of("was", "values"), "array<string>"), F.from_json(of("now", "values"), "array<string>"))) > 0
+    kept = (of("was", "type") == of("now", "type")) & of("was", "attr").eqNullSafe(of("now", "attr"))
+    stays = kept & ~lost & (~must | (of("was", "required") == "true"))
+    fits = (F.col("part") == "fields") & F.when(F.col("change") == "added", ~must).when(F.col("change") == "changed", stays).otherwise(F.lit(True))
+    return both.withColumn("change", change).filter("change is not null").select("part", "name", "change", fits.alias("compatible"))
+
+
+def compatible(part: str, was: str | None, now: str | None) -> bool:
+    """As `classify` judges a change from one definition to another; None is none."""
+    if part != "fields":
+        return False
+    if now is None:
+        return True
+    b = json.loads(now)
+    if was is None:
+        return not b["required"]
+    a = json.loads(was)
+    return a["type"] == b["type"] and a.get("attr") == b.get("attr") and (a["required"] or not b["required"]) and set(a["values"]) <= set(b["values"])
 
 
 def reused_attributes(history: DataFrame) -> DataFrame:
@@ -68,6 +85,11 @@ def reused_attributes(history: DataFrame) -> DataFrame:
     return history.join(later, ["entity", "generation", "attribute"]).filter("version < version_b and type <> type_b").select("entity", "generation", "attribute", "version", "version_b", "type", "type_b")
 
 
+def attribute_history(versions: list[dict[str, Any]], generations: list[int]) -> list[tuple[str, int, int, str, str]]:
+    """entity, generation, version, attribute and type of every field of an entity's shapes, for `reused_attributes`."""
+    return [(s["entity"], g, s["version"], f["attr"], f["type"]) for s, g in zip(versions, generations, strict=True) for f in s["fields"].values()]
+
+
 def next_version(locked: dict[str, Any] | None, e: Entity) -> tuple[str, list[str]]:
     """unchanged, new_version or new_generation, with what has to be done about it."""
     now = shape(e)
@@ -77,20 +99,21 @@ def next_version(locked: dict[str, Any] | None, e: Entity) -> tuple[str, list[st
         return "unchanged", []
     notes = []
     old, new = ({(p, n): d for p, n, d in shape_rows(s)} for s in (locked, now))
-    needs = False
     for k in sorted(old.keys() | new.keys()):
-        kind = "added" if k not in old else "removed" if k not in new else "changed"
-        if k in old and k in new and old[k] == new[k]:
+        if old.get(k) == new.get(k):
             continue
-        fits = (k[0], kind) in COMPATIBLE
-        if k[0] == "fields" and kind == "changed":
-            a, b = json.loads(old[k]), json.loads(new[k])
-            fits = a["type"] == b["type"] and not b["required"]
-        needs |= not fits
-        notes.append(f"{k[0]} {k[1]} {kind}" + ("" if fits else ": needs a new generation"))
-    if not needs and e.version <= locked["version"]:
+        kind = "added" if k not in old else "removed" if k not in new else "changed"
+        notes.append(f"{k[0]} {k[1]} {kind}" + ("" if compatible(k[0], old.get(k), new.get(k)) else ": needs a new generation"))
+    state = needed(old, new)
+    if state == "new_version" and e.version <= locked["version"]:
         notes.append(f"raise the version above {locked['version']}")
-    return "new_generation" if needs else "new_version", notes
+    return state, notes
+
+
+def needed(old: dict[tuple[str, str], str], new: dict[tuple[str, str], str]) -> str:
+    """new_generation if stored items don't survive some change between two shapes' rows, else new_version."""
+    differ = (k for k in old.keys() | new.keys() if old.get(k) != new.get(k))
+    return "new_version" if all(compatible(k[0], old.get(k), new.get(k)) for k in differ) else "new_generation"
 
 
 def conversion_gaps(old: Entity, new: Entity) -> list[str]:
@@ -185,6 +208,19 @@ def conflict_key(pk: str, sk: str) -> str:
     return text if len(text.encode()) <= MAX_SK else hashlib.sha256(text.encode()).hexdigest()
 
 
+def report(source: DataFrame, copied: DataFrame) -> DataFrame:
+    """One row: how many of the source's rows are copied at their revision (same) and how many are still to be (copied)."""
+    there = copied.select("src_pk", "src_sk", "src_rev").distinct().withColumn("_x", F.lit(True))
+    both = source.join(there, ["src_pk", "src_sk", "src_rev"], "left")
+    return both.agg(F.count_if(F.col("_x").isNull()).alias("copied"), F.count_if(F.col("_x").isNotNull()).alias("same"))
+
+
+def with_copies(source: DataFrame, copied: DataFrame) -> DataFrame:
+    """The source's rows with `has_copy`, by where copies say that they come from."""
+    there = copied.select("src_pk", "src_sk").distinct().withColumn("_x", F.lit(True))
+    return source.join(there, ["src_pk", "src_sk"], "left").withColumn("has_copy", F.col("_x").isNotNull()).drop("_x")
+
+
 def catch_up(read_source: Callable[[], DataFrame], copied: DataFrame, old: Entity, new: Entity, save: Callable[[DataFrame], DataFrame], convert: Convert | None = None, max_passes: int = 3) -> tuple[DataFrame, list[dict[str, int]]]:
     """A bulk pass and at most max_passes more, until one changes nothing. save stores the target and returns it as stored."""
     report = []

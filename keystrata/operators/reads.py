@@ -8,18 +8,23 @@ import hmac
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions.keys import bounds, fields_equal, item_key, present, render
+from keystrata.functions.keys import bounds, fields_equal, item_key, literal, lowered, lowered_elements, lowered_value, present, render
 from keystrata.functions.preds import holds, live
 from keystrata.model import Access, Entity
 
 
 def items(rows: DataFrame, e: Entity) -> DataFrame:
-    """The entity's rows as items of the table: rendered key and type beside the native fields."""
+    """The entity's rows as items of the table: rendered key and type beside the fields, under their attributes' names."""
     pk, sk = item_key(e)
-    return rows.select(pk, sk, F.lit(e.name).alias("_t"), *(f.name for f in e.fields))
+    return rows.select(pk, sk, F.lit(e.name).alias("_t"), *(F.col(f.name).alias(f.attribute) for f in e.fields))
+
+
+def fields_of(items_: DataFrame, e: Entity) -> DataFrame:
+    """The entity's own items with their fields under the fields' names; attributes that it doesn't know are left out."""
+    return items_.filter(F.col("_t") == e.name).select(*(F.col(f.attribute).alias(f.name) for f in e.fields))
 
 
 def get(rows: DataFrame, e: Entity, key: dict[str, Any], now: int | None = None) -> DataFrame:
@@ -63,7 +68,7 @@ def query(rows: DataFrame, e: Entity, access: Access, partition: dict[str, Any],
     order = [n for n in sk.fields if n not in partition] if sk else []
     order += [n for n in e.key_fields if n not in order and n not in partition]
     lower = {p.field for p in sk.parts if p.lower} if sk else set()
-    columns = [F.lower(n) if n in lower else F.col(n) for n in order]
+    columns = [lowered(F.col(n)) if n in lower else F.col(n) for n in order]
     if after is not None:
         cond = cond & beyond(e, order, lower, after, access.order == "desc")
     limit = min(size or access.page, access.max_page)
@@ -78,12 +83,10 @@ def query(rows: DataFrame, e: Entity, access: Access, partition: dict[str, Any],
 
 def beyond(e: Entity, order: list[str], lower: set[str], after: dict[str, Any], desc: bool):
     """Rows after a place in an order: (a, b) > (x, y) as a > x or a = x and b > y."""
-    from keystrata.functions.keys import literal
-
     cond, same = F.lit(False), F.lit(True)
     for n in order:
-        c, v = (F.lower(n) if n in lower else F.col(n)), literal(after[n], e.field(n))
-        v = F.lower(v) if n in lower else v
+        c = lowered(F.col(n)) if n in lower else F.col(n)
+        v = literal(lowered_value(after[n]) if n in lower else after[n], e.field(n))
         cond = cond | (same & ((c < v) if desc else (c > v)))
         same = same & (c == v)
     return cond
@@ -96,7 +99,7 @@ def index_view(rows: DataFrame, e: Entity, name: str) -> DataFrame:
     columns = e.projection(ix)
     if sets:
         part = next(p for t in (ix.pk, ix.sk) if t for p in t.parts if p.field == sets[0])
-        values = F.transform(sets[0], lambda x: F.lower(x)) if part.lower else F.col(sets[0])
+        values = lowered_elements(F.col(sets[0])) if part.lower else F.col(sets[0])
         rows = rows.withColumn("_element", F.explode(F.array_distinct(values)))
         element = (sets[0], F.col("_element"))
         return rows.filter(present(e, ix.pk, ix.sk, element=element) & holds(e, ix.where)).select("_element", *columns)
@@ -124,20 +127,35 @@ def scan(rows: DataFrame, e: Entity, now: int | None = None) -> DataFrame:
     return rows if now is None else rows.filter(live(e.ttl, F.lit(now)))
 
 
-def scan_page(everything: DataFrame, kind: str, start: int, size: int) -> DataFrame:
-    """One page of a scan of the whole table, then its rows of one kind: a page may be empty and yet not the last.
+def scan_page(everything: DataFrame, kind: str, after: tuple[str, str] | None, size: int) -> DataFrame:
+    """One page of a scan of the whole table in key order, then its rows of one kind: a page may be empty and yet not the last.
+
+    after: PK and SK of the last row of the page before. Every task hands over its first `size` rows beyond it."""
+    rest = everything if after is None else everything.filter((F.col("PK") > after[0]) | ((F.col("PK") == after[0]) & (F.col("SK") > after[1])))
+    return rest.orderBy("PK", "SK").limit(size).filter(F.col("_t") == kind)
+
+
+def page_end(everything: DataFrame, after: tuple[str, str] | None, size: int) -> tuple[str, str] | None:
+    """PK and SK of the last row of a page; None if nothing is left."""
+    rest = everything if after is None else everything.filter((F.col("PK") > after[0]) | ((F.col("PK") == after[0]) & (F.col("SK") > after[1])))
+    end = rest.select("PK", "SK").orderBy("PK", "SK").limit(size).agg(F.max(F.struct("PK", "SK")).alias("k")).first()["k"]
+    return None if end is None else (end["PK"], end["SK"])
+
+
+def segment_of(pk: Column, segments: int) -> Column:
+    """The segment of a scan that an item belongs to, by its partition key's digest."""
+    return (F.conv(F.substring(F.sha2(pk, 256), 1, 8), 16, 10).cast("bigint") % segments).cast("int")
+
 
-    Ranks are taken inside key ranges and offset by the ranges' sizes, so no task sees the whole table."""
-    ranked = rank_by_key(everything)
-    return ranked.filter((F.col("rank") > start) & (F.col("rank") <= start + size) & (F.col("_t") == kind)).drop("rank")
+def scan_segments(rows: DataFrame, e: Entity, segments: int, done: tuple[int, ...] = ()) -> DataFrame:
+    """The rows with their segment, but for segments that an earlier run has finished."""
+    out = rows.withColumn("segment", segment_of(render(e.pk, e), segments))
+    return out.filter(~F.col("segment").isin(list(done))) if done else out
 
 
-def rank_by_key(everything: DataFrame) -> DataFrame:
-    parts = everything.withColumn("_b", F.substring(F.sha2(F.concat("PK", F.lit("\0"), "SK"), 256), 1, 2))
-    sizes = parts.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offset = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    w = Window.partitionBy("_b").orderBy("PK", "SK")
-    return parts.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offset), "_b").withColumn("rank", F.col("_r") + F.col("_o")).drop("_b", "_r", "_o")
+def get_many(rows: DataFrame, e: Entity, keys: DataFrame) -> DataFrame:
+    """Items that exist of the keys asked for, once each, in no order."""
+    return rows.join(keys.select(*e.key_fields), e.key_fields, "left_semi")
 
 
 def scope(design: str, access: Access, partition: dict[str, Any], low: Any = None, high: Any = None) -> str:
@@ -169,7 +187,7 @@ def decode_cursor(text: str, scope_: str, keys: tuple[bytes, ...] = ()) -> dict[
         body = json.loads(raw)
     except ValueError as err:
         raise CursorError("the cursor can't be read") from err
-    if body.get("s") != scope_:
+    if not isinstance(body, dict) or body.get("s") != scope_:
         raise CursorError("the cursor belongs to another read")
     return body["k"]
 

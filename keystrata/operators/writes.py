@@ -5,8 +5,10 @@ write would have found it: not found, version, precondition, requirement, limit.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from keystrata.functions.keys import literal, separators_ok
 from keystrata.functions.preds import holds, live
@@ -204,26 +206,32 @@ def admit(commands: DataFrame, key: list[str], order: list[str], delta: str, mos
     """Which commands a bounded counter lets in, one key's commands after the other in the given order: a rejected one
     leaves the value as it is. Adds `admitted` and `value` (after it).
 
-    A fold over the key's ordered commands; only their order columns and deltas are gathered, and keys run in parallel.
-    When all deltas of a key are one equal amount, the verdict is a rank and `admit_equal` needs no fold."""
-    seq = F.sort_array(F.collect_list(F.struct(*order, F.col(delta).cast("bigint").alias("_d"))))
-    first = (start if start is not None else F.lit(0)).cast("bigint")
-    kind = "array<boolean>"
-
-    def step(acc, x):
-        to = acc["v"] + x["_d"]
-        ok = F.lit(True)
-        if most is not None:
-            ok = ok & ((x["_d"] <= 0) | (to <= most))
-        if least is not None:
-            ok = ok & ((x["_d"] >= 0) | (to >= least))
-        return F.struct(F.when(ok, to).otherwise(acc["v"]).alias("v"), F.concat(acc["a"], F.array(ok)).alias("a"), F.concat(acc["s"], F.array(F.when(ok, to).otherwise(acc["v"]))).alias("s"))
-
-    begin = F.struct(first.alias("v"), F.array().cast(kind).alias("a"), F.array().cast("array<bigint>").alias("s"))
-    grouped = commands.groupBy(*key).agg(seq.alias("_q"))
-    folded = grouped.withColumn("_f", F.aggregate("_q", begin, step))
-    flat = folded.select(*key, F.explode(F.arrays_zip(F.col("_q"), F.col("_f.a").alias("a"), F.col("_f.s").alias("s"))).alias("z"))
-    return flat.select(*key, *(F.col(f"z._q.{o}").alias(o) for o in order), F.col("z._q._d").alias(delta), F.col("z.a").alias("admitted"), F.col("z.s").alias("value"))
+    Commands are sorted by key and order; a task reads them as they come and holds one value at a time, however many a
+    key has. start: the value before, as a column that is equal for all of a key's commands. When all deltas of a key are
+    one equal amount, the verdict is a rank and `admit_equal` needs no fold."""
+    first = (start if start is not None else F.lit(0)).cast("bigint").alias("_s")
+    given = commands.select(*key, *order, F.col(delta).cast("bigint").alias(delta), first)
+    fields = [StructField(f.name, f.dataType) for f in given.schema.fields[:-1]]
+    n_keys = len(key)
+
+    def fold(batches):
+        now, value = None, 0
+        for b in batches:
+            admitted, values = [], []
+            deltas, starts = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            for k, x, begin in zip(zip(*(b.column(i).to_pylist() for i in range(n_keys)), strict=True), deltas, starts, strict=True):
+                if k != now:
+                    now, value = k, begin or 0
+                to = value + (x or 0)
+                ok = (most is None or x is None or x <= 0 or to <= most) and (least is None or x is None or x >= 0 or to >= least)
+                value = to if ok else value
+                admitted.append(ok)
+                values.append(value)
+            columns = [b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(admitted, pa.bool_()), pa.array(values, pa.int64())], names=[*b.schema.names[:-1], "admitted", "value"])
+
+    in_order = given.repartition(*key).sortWithinPartitions(*key, *order)
+    return in_order.mapInArrow(fold, StructType([*fields, StructField("admitted", BooleanType()), StructField("value", LongType())]))
 
 
 def admit_equal(commands: DataFrame, key: list[str], order: list[str], amount: int, most: int) -> DataFrame:
@@ -233,6 +241,31 @@ def admit_equal(commands: DataFrame, key: list[str], order: list[str], amount: i
     return commands.withColumn("admitted", rank <= most // amount)
 
 
+def absence(commands: DataFrame, target: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """The commands with `met`: no row of the target has the key, theirs -> ours, that a command names."""
+    there = target.select(*(F.col(theirs).alias(ours) for theirs, ours in mapping.items())).distinct().withColumn("_there", F.lit(True))
+    return commands.join(there, list(mapping.values()), "left").withColumn("met", F.col("_there").isNull()).drop("_there")
+
+
+def overlay(stored: Column, written: Column) -> Column:
+    """An item's attributes, a map, after a write: those that the schema doesn't know, or the write doesn't name, stay."""
+    kept = F.map_filter(F.coalesce(stored, F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(written), k))
+    return F.map_concat(kept, written)
+
+
+def stamps(writes_: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """What items carry after their writes: when the first one made them, and when the last one changed them."""
+    return writes_.groupBy(*keys).agg(F.min(at).alias("_created"), F.max(at).alias("_updated"))
+
+
+def batched(commands: DataFrame, keys: list[str], order: list[str], outcome: str = "outcome") -> DataFrame:
+    """Outcomes of a batch by item: commands tried, those done, and the first failure in order, if any. What fails, fails
+    alone; the rest of the batch is done."""
+    place = F.struct(*order)
+    failed = F.when(F.col(outcome) != OK, F.struct(place.alias("p"), F.col(outcome).alias("o")))
+    return commands.groupBy(*keys).agg(F.count(F.lit(1)).alias("tried"), F.count_if(F.col(outcome) == OK).alias("done"), F.min(failed)["o"].alias("failure"))
+
+
 def outcome_of_all(checks: list[tuple[str, str]]) -> Column:
     """A command applies wholly or not at all: the first of its failed checks (column, outcome), or ok."""
     return _first(*((~F.col(c), name) for c, name in checks))
