@@ -78,23 +78,23 @@ def parse_template(raw: str) -> Template:
     parts: list[Part] = []
     at = 0
     if not raw:
-        raise ValueError("empty key template")
+        raise ValueError("a key template needs text or a field")
     for m in re.finditer(r"\{([^{}\s|]*)(?:\|([^{}]*))?\}", raw):
         literal = raw[at : m.start()]
         if not m[1]:
-            raise ValueError(f"key template {raw!r}: empty placeholder")
+            raise ValueError(f"key template {raw!r}: braces without a field in them")
         if m[2] not in (None, "lower"):
-            raise ValueError(f"key template {raw!r}: unknown transform {m[2]!r} (known: lower)")
+            raise ValueError(f"key template {raw!r}: {m[2]!r} isn't a change that a key knows, only lower is")
         if literal:
             parts.append(Part(literal=literal))
         elif parts and parts[-1].field:
-            raise ValueError(f"key template {raw!r}: placeholders must be separated by literal text")
+            raise ValueError(f"key template {raw!r}: two fields side by side can't be told apart, put text between them")
         parts.append(Part(field=m[1], lower=m[2] == "lower"))
         at = m.end()
     if raw[at:]:
         parts.append(Part(literal=raw[at:]))
     if any(c in p.literal for p in parts for c in "{}"):
-        raise ValueError(f"key template {raw!r}: unbalanced braces")
+        raise ValueError(f"key template {raw!r}: a brace is left open")
     return Template(raw, tuple(parts))
 
 
@@ -126,6 +126,12 @@ class Field:
     ref: str = ""
     copy_of: str = ""
     snapshot_of: str = ""
+    attr: str = ""
+
+    @property
+    def attribute(self) -> str:
+        """The name under which items hold the field."""
+        return self.attr or self.name
 
     @property
     def sizes(self) -> tuple[int, int]:
@@ -445,7 +451,13 @@ class Reader:
                 self.fault(where, f"size {raw['size']!r} isn't p50 or p50/p99")
             else:
                 size = (int(m[1]), int(m[2] or m[1]))
-        return Field(name, kind, tuple(raw.get("values") or ()), bool(raw.get("required")), size, raw.get("ref", ""), raw.get("copy_of", ""), raw.get("snapshot_of", ""))
+        return Field(name, kind, tuple(raw.get("values") or ()), bool(raw.get("required")), size, raw.get("ref", ""), raw.get("copy_of", ""), raw.get("snapshot_of", ""), self.attribute(where, raw.get("attr") or ""))
+
+    def attribute(self, where: str, attr: Any) -> str:
+        if not isinstance(attr, str) or attr in RESERVED or attr.startswith("_"):
+            self.fault(where, f"attr {attr!r} can't be an attribute's name")
+            return ""
+        return attr
 
     def read_index(self, where: str, name: str, raw: Any, fields: dict[str, Field], immediate: bool) -> Index:
         raw = self.known(where, "index", raw)
@@ -681,6 +693,14 @@ def parse_design(text: str) -> Design:
     return read_design(raw)
 
 
+def load_text(text: str, name: str) -> Design:
+    """A design from text; faults name where it is from."""
+    try:
+        return parse_design(text)
+    except DesignError as err:
+        raise DesignError([f"{name}: {err}"]) from err
+
+
 def load_design(path: str) -> Design:
     with open(path, encoding="utf-8") as f:
         return parse_design(f.read())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.keys import present, render
 from keystrata.functions.preds import holds
-from keystrata.model import Design, Entity, Index, Pred
+from keystrata.model import Counter, Design, Entity, Index, Pred
 from keystrata.operators import cost
 
 # Thresholds of the findings, and their severities in order.
@@ -193,27 +193,63 @@ def findings(design: Design) -> list[Finding]:
                     if f.sizes[1] >= LARGE_FIELD and f.name not in changed and w.rate:
                         add("large-field", "warning", f"{e.name}.{f.name}", w.name)
         for c in e.counters:
-            rate = sum(w.rate for w in e.writes if c.name in {t.name for t in cost.touches(design, e, w)}) * design.peak / c.shards
-            if not c.pk.fields and not c.sk.fields:
-                if rate * 2 * cost.write_units(cost.counter_size(c, e)[0]) > HOT_COUNTER:
-                    add("hot-counter", "error", f"{e.name}.{c.name}", f"{rate:g}/s")
-                elif rate > CONTENTION:
-                    add("counter-contention", "warning", f"{e.name}.{c.name}", f"{rate:g}/s")
-                elif rate >= CONTENTION_NOTE:
-                    add("counter-contention", "note", f"{e.name}.{c.name}", f"{rate:g}/s")
+            share = busiest_share(design, e, c, numbers)
+            if share is None:
+                continue
+            rate = share * sum(w.rate for w in e.writes if c.name in {t.name for t in cost.touches(design, e, w)}) * design.peak / c.shards
+            if rate * 2 * cost.write_units(cost.counter_size(c, e)[0]) > HOT_COUNTER:
+                add("hot-counter", "error", f"{e.name}.{c.name}", f"{rate:g}/s")
+            elif rate > CONTENTION:
+                add("counter-contention", "warning", f"{e.name}.{c.name}", f"{rate:g}/s")
+            elif rate >= CONTENTION_NOTE:
+                add("counter-contention", "note", f"{e.name}.{c.name}", f"{rate:g}/s")
         for a in e.access:
             if a.kind == "scan":
                 add("scan", "note", f"{e.name}.{a.name}", a.reason)
-            if not a.freshness:
-                add("freshness-unstated", "note", f"{e.name}.{a.name}")
-        if numbers.get(e.name) is None:
-            add("volume-missing", "note", e.name)
     for name, users in gsi_users.items():
         if len(users) > 1:
             add("shared-gsi", "note", name, ", ".join(users))
     return sorted(out, key=lambda f: RANKS[f.severity])
 
 
+def busiest_share(design: Design, e: Entity, c: Counter, numbers: dict[str, float | None]) -> float | None:
+    """The share of an entity's writes that goes to the counter's busiest key: all where the key is constant, by the declared
+    volumes where it is a parent's, evenly over the values of enums and bools; None where nothing tells."""
+    names = list(dict.fromkeys(c.pk.fields + c.sk.fields))
+    share = 1.0
+    parent = next((p for p in design.entities if p.name == e.volume.per), None)
+    for n in names:
+        f = e.field(n)
+        if f.type in ("enum", "bool"):
+            share /= max(1, len(f.values) if f.type == "enum" else 2)
+        elif parent is not None and (n in parent.key_fields or f.ref == parent.name) and e.volume.max and numbers.get(e.name):
+            share *= min(1.0, e.volume.max / numbers[e.name])
+        else:
+            return None
+    return share
+
+
+def partition_sizes(design: Design) -> list[tuple[str, str, float]]:
+    """Owner, space with partition-key template, and bytes of the largest partition, where the declared volumes tell them.
+
+    An entity's own partition holds one item if it is the only one there, or its parent's most; a constant key holds all."""
+    found: dict[str, list[tuple[float, str]]] = {}
+    numbers = cost.counts(design)
+    for e in design.entities:
+        spaces = [("table", e.pk, e.singleton, cost.item_size(e)[0], 1.0)]
+        spaces += [("table" if i.strategy == "copy" else i.name, i.pk, False, cost.entry_size(i, e)[0], i.matches) for i in e.indexes]
+        for space, pk, alone, size, matches in spaces:
+            if alone:
+                n = 1.0
+            elif not pk.fields:
+                n = numbers.get(e.name)
+            else:
+                n = e.volume.max if e.volume.per else None
+            if n is not None:
+                found.setdefault(f"{space} {pk.raw}", []).append((n * matches * size, e.name))
+    return [(max(parts)[1], key, sum(x for x, _ in parts)) for key, parts in found.items()]
+
+
 def declared_lifecycle(e: Entity, state: str) -> list[tuple[str, str]]:
     """Transitions that the writes can make; "" is before creation."""
     f = e.field(state)
@@ -261,10 +297,10 @@ def apply_acceptances(found: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def parse_size(text: str) -> int:
     """Bytes of sizes like 64KB, in binary units."""
-    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(B|KB|MB|GB)?\s*", text, re.IGNORECASE)
+    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(B|KB|MB|GB|TB)?\s*", text, re.IGNORECASE)
     if not m:
         raise ValueError(f"{text!r} isn't a size")
-    return int(float(m[1]) * 1024 ** ("B", "KB", "MB", "GB").index((m[2] or "B").upper()))
+    return int(float(m[1]) * 1024 ** ("B", "KB", "MB", "GB", "TB").index((m[2] or "B").upper()))
 
 
 def families(design: Design) -> list[tuple[str, str, str]]:

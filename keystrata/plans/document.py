@@ -45,6 +45,10 @@ def snapshot(design: Design) -> dict[str, Any]:
             for e in design.entities
         },
         "relations": relations(design),
+        "partitions": [list(f) for f in analysis.families(design)],
+        "largest_partitions": [list(p) for p in analysis.partition_sizes(design)],
+        "lifecycles": {f"{e.name}.{f.name}": analysis.declared_lifecycle(e, f.name) for e in design.entities for f in e.fields if f.type == "enum" and e.writes},
+        "guarantees": [g for e in design.entities for g in analysis.guarantees(e)],
         "findings": [[f.rule, f.severity, f.subject, f.text] for f in analysis.findings(design)],
     }
 
@@ -64,6 +68,11 @@ def markdown(design: Design) -> str:
         out += [f"- reads {n}: {r[0]:g}/{r[1]:g} read units" for n, r in x["reads"].items()]
         out += [f"- writes {n}: {w['wru'][0]:g}/{w['wru'][1]:g} write units, {plural(w['items'], 'item')}, {w['shape'].replace('_', ' ')}" for n, w in x["writes"].items()]
         out += [f"- {g}" for g in analysis.guarantees(e)]
+    out += ["", "## Partitions", ""] + [f"- {space} `{pk}`: {family}" for space, pk, family in s["partitions"]]
+    out += [f"- largest `{key}`: {human(size)} ({owner})" for owner, key, size in s["largest_partitions"]]
+    for name, steps in s["lifecycles"].items():
+        if any(a for a, _ in steps):
+            out += ["", f"## States of {name}", "", "```mermaid", "stateDiagram-v2", *(f"  {a or '[*]'} --> {b}" for a, b in steps), "```"]
     out += ["", "## Findings", ""] + [f"- {sev}: {rule} {subject} {text}".rstrip() for rule, sev, subject, text in s["findings"]]
     return "\n".join(out) + "\n"
 
