@@ -81,12 +81,12 @@ def test_delta_applied_to_before_gives_after(spark):
     assert left == {tuple(r) for r in derive.counter_items(after, e, c).collect()}
 
 
-def test_ten_borrowers_one_winner(spark):
-    tool = Entity("Tool", (Field("tool", "int"), Field("status", "enum", ("free", "out"))), parse_template("T#{tool}"), parse_template("TOOL"))
-    tools = spark.createDataFrame([(1, "free")], "tool long, status string")
-    borrow = spark.createDataFrame([(i, 1) for i in range(10)], "seq long, tool long")
-    met = writes.requirement(borrow, tools, tool, Require("Tool", (("tool", "tool"),), (Pred("status", ("free",)),)))
-    once = writes.admit(met.filter("met").withColumn("d", F.lit(1)), ["tool"], ["seq"], "d", most=1)
+def test_ten_commands_one_winner(spark):
+    part = Entity("Part", (Field("part", "int"), Field("state", "enum", ("free", "out"))), parse_template("P#{part}"), parse_template("PART"))
+    parts = spark.createDataFrame([(1, "free")], "part long, state string")
+    take = spark.createDataFrame([(i, 1) for i in range(10)], "seq long, part long")
+    met = writes.requirement(take, parts, part, Require("Part", (("part", "part"),), (Pred("state", ("free",)),)))
+    once = writes.admit(met.filter("met").withColumn("d", F.lit(1)), ["part"], ["seq"], "d", most=1)
     assert [r.seq for r in once.filter("admitted").collect()] == [0]
 
 

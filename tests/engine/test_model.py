@@ -8,22 +8,22 @@ from keystrata.model import DesignError, Field, Pred, implies, may_overlap, nest
 from keystrata.operators import analysis, cost, evolve, reads, writes
 from keystrata.sources.catalog import design, entity
 
-THING = """
+NATION = """
 entities:
-  Thing:
+  Nation:
     fields:
-      tenantId: string
-      thingId: string
+      region: string
+      nation: string
       name: string
       count: int
       status: {type: enum, values: [a, b]}
       at: time
       tags: string_set
-    key: {pk: "T#{tenantId}", sk: "THING#{thingId}"}
+    key: {pk: "T#{region}", sk: "NATION#{nation}"}
 """
 
 
-def refused(extra: str, base: str = THING) -> str:
+def refused(extra: str, base: str = NATION) -> str:
     with pytest.raises(DesignError) as e:
         parse_design(base + extra)
     return str(e.value)
@@ -31,7 +31,7 @@ def refused(extra: str, base: str = THING) -> str:
 
 @pytest.mark.parametrize(
     ("raw", "message"),
-    [("", "empty key"), ("{a}{b}", "separated by literal"), ("A#{", "braces"), ("A}", "braces"), ("{}", "empty placeholder"), ("{a|upper}", "unknown transform")],
+    [("", "needs text"), ("{a}{b}", "side by side"), ("A#{", "left open"), ("A}", "left open"), ("{}", "without a field"), ("{a|upper}", "only lower is")],
 )
 def test_bad_templates(raw, message):
     with pytest.raises(ValueError, match=message):
@@ -39,12 +39,12 @@ def test_bad_templates(raw, message):
 
 
 def test_template_parts():
-    t = parse_template("LIB#{lib}#T#{name|lower}")
-    assert t.fields == ["lib", "name"]
-    assert t.prefix == "LIB#"
+    t = parse_template("CLERK#{clerk}#ON#{day|lower}")
+    assert t.fields == ["clerk", "day"]
+    assert t.prefix == "CLERK#"
     assert not t.constant
-    assert t.literals() == ["LIB#", "#T#", ""]
-    assert t.first_field() == "lib"
+    assert t.literals() == ["CLERK#", "#ON#", ""]
+    assert t.first_field() == "clerk"
 
 
 def test_overlap():
@@ -74,11 +74,11 @@ def test_overlap():
         ("    counters: {C: {pk: X, sk: Y, values: {v: {}}}}\n", "one of count and sum"),
         ("    counters: {C: {pk: X, sk: Y, shards: 101, values: {v: count}}}\n", "shards must be"),
         ("    counters: {C: {pk: X, sk: Y, shards: 2, values: {v: {count: true, limit: 3}}}}\n", "can't be bounded"),
-        ("    writes: {U: {update: [thingId]}}\n", "part of the key"),
+        ("    writes: {U: {update: [nation]}}\n", "part of the key"),
         ("    writes: {U: {update: [name, name]}}\n", "repeated field"),
         ("    writes: {U: {set: {status: c}, when: {status: z}}}\n", "isn't one of"),
         ("    writes: {U: {set: {status: a}, requires: {Nope: {key: {}}}}}\n", "unknown entity"),
-        ("    volume: {per: Thing, typical: 2}\n", "refers to itself"),
+        ("    volume: {per: Nation, typical: 2}\n", "refers to itself"),
         ("    ttl: name\n", "must name a time field"),
     ],
 )
@@ -98,13 +98,13 @@ def test_repeated_yaml_key():
 
 
 def test_indistinguishable_families():
-    other = "  Other:\n    fields: {a: string, b: string}\n    key: {pk: 'T#{a}', sk: 'THING#{b}'}\n"
+    other = "  Other:\n    fields: {a: string, b: string}\n    key: {pk: 'T#{a}', sk: 'NATION#{b}'}\n"
     assert "keys could be equal" in refused(other)
 
 
 def test_earlier_grammar():
-    d = parse_design(THING + "    estimate: {items: 12}\n")
-    assert d.entity("Thing").volume.total == 12
+    d = parse_design(NATION + "    estimate: {items: 12}\n")
+    assert d.entity("Nation").volume.total == 12
 
 
 def test_implication():
@@ -122,21 +122,21 @@ def test_index_is_a_copy_when_read_at_once():
 
 
 def test_sizes_by_hand():
-    """The library item of the worked example, by the documented formulas."""
+    """An item with an index, by the documented formulas."""
     d = parse_design("""
 entities:
-  Library:
+  Company:
     fields:
-      libraryId: string
+      companyId: string
       name: {type: string, size: 20/80, required: true}
-      slug: {type: string, size: 12/40}
-      openedAt: time
-    key: {pk: "LIB#{libraryId}", sk: LIBRARY}
+      code: {type: string, size: 12/40}
+      openDate: time
+    key: {pk: "COM#{companyId}", sk: COMPANY}
     indexes:
-      All: {pk: LIBRARIES, sk: "{name|lower}#{libraryId}", project: [slug, openedAt]}
+      All: {pk: COMPANIES, sk: "{name|lower}#{companyId}", project: [code, openDate]}
     volume: 2000
 """)
-    assert cost.item_size(d.entity("Library")) == (298, 585)
+    assert cost.item_size(d.entity("Company")) == (298, 585)
     assert cost.write_units(1025) == 2
     assert cost.read_units(4097) == 1.0
     assert cost.read_units(10, True) == 1.0

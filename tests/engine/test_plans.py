@@ -8,33 +8,33 @@ from keystrata.plans import document, planner
 from keystrata.sources.catalog import design, entity
 
 SCHEMA = """
-table: {name: tools, generation: 1}
+table: {name: shipping, generation: 1}
 entities:
-  Tool:
+  Line:
     fields:
-      lib: string
-      tool: string
-      status: {type: enum, values: [available, onLoan, retired]}
-    key: {pk: "L#{lib}#T#{tool}", sk: TOOL}
+      orderkey: int
+      number: int
+      flag: {type: enum, values: [N, A, R]}
+    key: {pk: "O#{orderkey}#L#{number}", sk: LINE}
     counters:
-      Counts:
-        pk: "L#{lib}"
-        sk: COUNTS
-        values: {available: {count: true, where: {status: available}}, retired: {count: true, where: {status: retired}}}
+      Flags:
+        pk: "O#{orderkey}"
+        sk: FLAGS
+        values: {none: {count: true, where: {flag: N}}, returned: {count: true, where: {flag: R}}}
     writes:
-      Add: {create: true, set: {status: available}}
-      Retire: {set: {status: retired}, when: {status: available}}
-      Set: {update: [status]}
+      Ship: {create: true, set: {flag: N}}
+      Return: {set: {flag: R}, when: {flag: N}}
+      Mark: {update: [flag]}
 """
 
 
 def test_write_without_a_read_when_the_change_is_known(tmp_path):
     from keystrata.model import parse_design
 
-    e = parse_design(SCHEMA).entity("Tool")
-    assert planner.write_shape(e, e.write("Retire")) == "read_free"
-    assert planner.write_shape(e, e.write("Set")) == "read_first"
-    assert planner.write_shape(e, e.write("Add")) == "put"
+    e = parse_design(SCHEMA).entity("Line")
+    assert planner.write_shape(e, e.write("Return")) == "read_free"
+    assert planner.write_shape(e, e.write("Mark")) == "read_first"
+    assert planner.write_shape(e, e.write("Ship")) == "put"
 
 
 def test_members():
