@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from keystrata.functions import keys as K
 from keystrata.functions.preds import holds, live
 from keystrata.model import Counter, Entity, Field, Index, Pred, Require, Unique, Value, Write, parse_template
-from keystrata.operators import analysis, cost, derive, evolve, reads, writes
+from keystrata.operators import analysis, cost, derive, evolve, migrate, reads, writes
 from keystrata.plans import document, planner
-from keystrata.sources.catalog import design, entity, rows, table
+from keystrata.sources.catalog import SCHEMA, design, entity, rows, table
 from keystrata.sources.store import physical
 from keystrata.streaming import maintain
 
@@ -40,6 +40,27 @@ UNION ALL SELECT 'CONV#' || {NUMBER.format('conv_id')}, 'TURN#' || {NUMBER.forma
 FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295)"
 
 
+def _raw() -> str:
+    """The example store's schema, as it is written, as tables: what SQL works answers out of."""
+    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool | int | float) else "'" + str(x).replace("'", "''") + "'"
+    table_ = lambda name, columns, rows_: f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows_)})"
+    es, fs, us, ws, rs = [], [], [], [], []
+    for i, (name, e) in enumerate(SCHEMA["entities"].items()):
+        v = e.get("volume", {})
+        v = v if isinstance(v, dict) else {"total": v}
+        es.append((i, name, e["key"]["pk"], e["key"]["sk"], e.get("ttl"), v.get("total"), v.get("per"), v.get("typical")))
+        for f, x in e["fields"].items():
+            x = {"type": x} if isinstance(x, str) else x
+            fs.append((name, f, x["type"], bool(x.get("required")), x.get("ref")))
+        us += [(name, u, f) for u, x in e.get("unique", {}).items() for f in x["fields"]]
+        for w, x in e.get("writes", {}).items():
+            x = {x: True} if isinstance(x, str) else x
+            ws.append((name, w, "create" if "create" in x else "delete" if "delete" in x else "update"))
+            rs += [(name, w, target) for target in x.get("requires", {})]
+    parts = (("e", "i, entity, pk, sk, ttl, total, per, typical", es), ("f", "entity, field, type, required, ref", fs), ("u", "entity, name, field", us), ("w", "entity, write, kind", ws), ("r", "entity, write, target", rs))
+    return "WITH RECURSIVE " + ",\n".join(table_(*x) for x in parts)
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -120,7 +141,7 @@ def k6_key_collisions(spark, d):
     return analysis.key_collisions(all_items(spark, d)).select(F.col("kinds").cast("int").alias("PK_kinds"))
 
 
-@query("SELECT * FROM (VALUES ('Customer', 'C#{c_custkey}', 'CUSTOMER', true), ('Event', 'U#{user_id}', 'EV#{ts}#{event_id}', false), ('Line', 'O#{l_orderkey}', 'LINE#{l_linenumber}#{l_partkey}#{l_suppkey}', false), ('Order', 'C#{o_custkey}', 'ORDER#{o_orderdate}#{o_orderkey}', false), ('Part', 'P#{p_partkey}', 'PART', true), ('Supplier', 'S#{s_suppkey}', 'SUPPLIER', true), ('Turn', 'CONV#{conv_id}', 'TURN#{turn}', false)) t(entity, pk, sk, singleton)")
+@query(_raw() + "SELECT entity, pk, sk, len(list_filter(regexp_extract_all(sk, '[{]([a-z_]+)', 1), lambda x: NOT list_contains(regexp_extract_all(pk, '[{]([a-z_]+)', 1), x))) = 0 AS singleton FROM e")
 def k1_templates(spark, d):
     return spark.createDataFrame([(e.name, e.pk.raw, e.sk.raw, e.singleton) for e in design().entities], "entity string, pk string, sk string, singleton boolean")
 
@@ -680,6 +701,35 @@ def w27_duplicates(spark, d):
     return again.filter("refused > 0").select(*keys, "n")
 
 
+@query("""SELECT 'Orders' AS entity, o_custkey, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'Counts', o_custkey, count(*) FROM orders GROUP BY 2""")
+def w22_atomic_commit(spark, d):
+    """Orders and their counters, each in a snapshot of its own, moved on by transactions that commit both or neither: first the
+    orders that are closed, then the others. A transaction that read an older state is refused."""
+    from keystrata.sources.store import CommitConflict, Store, scratch, transact
+
+    store = Store(spark, scratch(spark, "w22"))
+    o = rows(spark, d, "Order").select("o_custkey", "o_orderkey", "o_orderstatus")
+    store.commit_all({"Orders": o.limit(0), "Counts": o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).limit(0)}, {"Orders": None, "Counts": None})
+    early = store.versions("Orders", "Counts")
+
+    def place(which: str):
+        def work(now):
+            fresh = o.filter(which)
+            moved = now["Counts"].unionByName(fresh.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
+            return {"Orders": now["Orders"].unionByName(fresh), "Counts": moved.groupBy("o_custkey").agg(F.sum("n").alias("n"))}
+
+        return work
+
+    for which in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"):
+        transact(store, ["Orders", "Counts"], place(which), writes.waits([1.0] * writes.RETRIES))
+    try:
+        store.commit_all({"Orders": o.limit(0), "Counts": store.read("Counts").limit(0)}, early)
+    except CommitConflict:
+        pass
+    n = store.read("Orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.lit("Orders").alias("entity"), "o_custkey", "n").unionByName(store.read("Counts").select(F.lit("Counts").alias("entity"), "o_custkey", "n"))
+
+
 # --- cost and analysis ------------------------------------------------------------------------------------------------
 
 SIZE = "CAST(4 + 23 + strlen('TURN#') + 19 + (2 + 4 + 2 + 2) + 7 + 76 + 7 + strlen(conv_id::VARCHAR) + 4 + strlen(turn::VARCHAR) + 4 + strlen(role) + 4 + strlen(text) AS BIGINT)"
@@ -754,7 +804,7 @@ def l5_largest(spark, d):
     return analysis.largest_partitions(table(spark, d, "orders"), ["o_custkey"], 10)
 
 
-@query("SELECT * FROM (VALUES ('Customer', 15000.0), ('Order', 150000.0), ('Part', 20000.0), ('Supplier', 1000.0), ('Line', 600000.0), ('Event', NULL), ('Turn', NULL)) t(entity, items)".replace(".0)", ".0::DOUBLE)"))
+@query(_raw() + ", n AS (SELECT entity, CAST(total AS DOUBLE) AS items FROM e WHERE per IS NULL UNION ALL SELECT e.entity, n.items * e.typical FROM e JOIN n ON e.per = n.entity) SELECT entity, items FROM n")
 def z15_counts(spark, d):
     return spark.createDataFrame(list(cost.counts(design()).items()), "entity string, items double")
 
@@ -972,6 +1022,69 @@ def m13_list_to_set(spark, d):
     return evolve.converted(docs, old, e).select("doc_id", F.size("tags").cast("bigint").alias("n"))
 
 
+def _named_parts():
+    """Parts in a new generation that needs a type, and of which names are claimed."""
+    old = entity("Part")
+    return old, replace(old, version=2, fields=tuple(replace(f, required=f.name == "p_type") for f in old.fields))
+
+
+@query("""WITH p AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r, p_type FROM part)
+SELECT 'P#' || printf('%019d', p_partkey) AS src_pk, CASE WHEN p_type IS NULL OR p_type = '' THEN 'required' ELSE 'claim_taken' END AS conflict FROM p WHERE r > 1 OR p_type IS NULL OR p_type = ''""")
+def m4_conflict_kinds(spark, d):
+    """Why parts can't be copied: of those with one name only the first can."""
+    old, new = _named_parts()
+    source = evolve.converted(rows(spark, d, "Part"), old, new)
+    return migrate.conflicts(source, source.limit(0), new).select("src_pk", "conflict")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name FROM customer), s AS (SELECT a.k, b.c_name AS c_name FROM c a JOIN c b ON b.k = CASE WHEN a.k % 2 = 1 THEN a.k + 1 ELSE a.k - 1 END)
+SELECT old.k AS c_custkey FROM c old JOIN s mine ON mine.k = old.k JOIN s other ON other.c_name = old.c_name AND other.k <> old.k WHERE mine.c_name <> old.c_name""")
+def m5_displaced(spark, d):
+    """Customers of odd and even keys have swapped names since they were copied: copies hold names that others claim."""
+    e = entity("Customer")
+    now = rows(spark, d, "Customer")
+    partner = now.select(F.expr("case when c_custkey % 2 = 1 then c_custkey + 1 else c_custkey - 1 end").alias("c_custkey"), F.col("c_name").alias("_name"))
+    swapped = now.join(partner, "c_custkey").withColumn("c_name", F.col("_name")).select(*now.columns)
+    copied, source = evolve.converted(now, e, e), evolve.converted(swapped, e, e)
+    gone = migrate.displaced(source, copied, e)
+    return copied.join(gone, ["src_pk", "src_sk"], "left_semi").select("c_custkey")
+
+
+def _migration(spark, d, name: str, progress: str | None = None):
+    """Suppliers on their way to a shorter key, with copies as Parquet folders beside the checkpoints."""
+    from keystrata.sources.store import scratch
+
+    old = entity("Supplier")
+    new = replace(old, version=2, sk=parse_template("S"))
+    folder, n = scratch(spark, name), [0]
+    evolve.converted(rows(spark, d, "Supplier"), old, new).limit(0).write.parquet(f"{folder}/0")
+
+    def save(df: DataFrame) -> None:
+        df.write.parquet(f"{folder}/{n[0] + 1}")
+        n[0] += 1
+
+    load = lambda: spark.read.parquet(f"{folder}/{n[0]}")
+    return migrate.Migration(old, new, lambda: rows(spark, d, "Supplier"), load, save, lambda _: None, progress, segments=4), load
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE ('0x' || substr(sha256('S#' || printf('%019d', s_suppkey)), 1, 8))::UBIGINT % 4 IN (1, 2)")
+def m10_resume(spark, d):
+    """A run that goes on from a checkpoint, which has one segment of four done, and stops after two more."""
+    run, load = _migration(spark, d, "m10", migrate.Progress(4, done=[0]).text())
+    run.bulk(most_segments=2)
+    return load().select("s_suppkey", "s_name")
+
+
+@query("SELECT s_suppkey, s_name, true AS finished FROM supplier")
+def m8_finish(spark, d):
+    """All segments, passes until nothing changes, and the last one."""
+    run, load = _migration(spark, d, "m8")
+    run.bulk()
+    run.catch_up()
+    run.finish()
+    return load().select("s_suppkey", "s_name", F.lit(run.progress.finished).alias("finished"))
+
+
 # --- streaming --------------------------------------------------------------------------------------------------------
 
 
@@ -983,7 +1096,7 @@ def _stream(spark, d):
 def st1_stream_counter(spark, d):
     from keystrata.sources.store import scratch
 
-    return maintain.run_to_end(maintain.counter_stream(_stream(spark, d), ["user_id", "event_type"]), scratch(spark, "st1"))
+    return maintain.fold_counts(_stream(spark, d), ["user_id", "event_type"], scratch(spark, "st1"))
 
 
 @query(f"SELECT user_id, count(*) AS events FROM events WHERE floor(epoch(ts))::BIGINT + 604800 > {NOW} GROUP BY 1")
@@ -991,7 +1104,16 @@ def st3_ttl(spark, d):
     from keystrata.sources.store import scratch
 
     ev = _stream(spark, d).withColumn("expires", F.unix_timestamp(F.col("ts").cast("timestamp")) + 604800)
-    return maintain.run_to_end(maintain.counter_stream(maintain.without_expired(ev, "expires", NOW), ["user_id"]), scratch(spark, "st3"))
+    return maintain.fold_counts(maintain.without_expired(ev, "expires", NOW), ["user_id"], scratch(spark, "st3"))
+
+
+@query(f"SELECT user_id, event_type, count(*) AS counted, count(*) FILTER (floor(epoch(ts))::BIGINT + 604800 > {NOW} - 172800) AS kept FROM events GROUP BY ALL")
+def st3_sweep(spark, d):
+    """Rows go two days after they expired; the counters that they fed stay as they were."""
+    e, ev = entity("Event"), rows(spark, d, "Event")
+    counted = derive.counters_by_field(ev, e, e.counter("Types")).withColumnRenamed("events", "counted")
+    left = derive.counters_by_field(maintain.swept(ev, "expires", NOW, 172_800), e, e.counter("Types")).withColumnRenamed("events", "kept")
+    return counted.join(left, ["user_id", "event_type"], "left").select("user_id", "event_type", "counted", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -1017,43 +1139,53 @@ def p7_index_membership(spark, d):
     return spark.createDataFrame([(w.name, *planner.members(e, e.index("Open"), w)) for w in e.writes], "write string, before boolean, after boolean")
 
 
-@query("SELECT * FROM (VALUES ('F', 'F'), ('not F', 'O,P,'), ('F or O', 'F,O')) t(pred, allowed)")
+@query("""WITH v(i, v) AS (VALUES (0, 'F'), (1, 'O'), (2, 'P'), (3, '')), p(pred, given, negate) AS (VALUES ('F', ['F'], false), ('not F', ['F'], true), ('F or O', ['F', 'O'], false))
+SELECT pred, string_agg(v, ',' ORDER BY i) AS allowed FROM p, v WHERE list_contains(given, v) <> negate GROUP BY pred""")
 def p5_allowed_values(spark, d):
     f = entity("Order").field("o_orderstatus")
     preds = {"F": Pred("o_orderstatus", ("F",)), "not F": Pred("o_orderstatus", ("F",), True), "F or O": Pred("o_orderstatus", ("F", "O"))}
     return spark.createDataFrame([(n, planner.allowed_values(f, p)) for n, p in preds.items()], "pred string, allowed string")
 
 
-@query("SELECT * FROM (VALUES ('Order', 'Customer', 'c_custkey', 'o_custkey'), ('Line', 'Part', 'p_partkey', 'l_partkey'), ('Line', 'Supplier', 's_suppkey', 'l_suppkey')) t(entity, target, theirs, ours)")
+@query(_raw() + """, k AS (SELECT entity, unnest(list_distinct(regexp_extract_all(pk || sk, '[{]([a-z_]+)', 1))) AS theirs FROM e),
+m AS (SELECT a.entity, k.entity AS target, k.theirs, coalesce(max(own.field), max(ref.field)) AS ours FROM e a JOIN k ON k.entity <> a.entity LEFT JOIN f own ON own.entity = a.entity AND own.field = k.theirs LEFT JOIN f ref ON ref.entity = a.entity AND ref.ref = k.entity GROUP BY ALL)
+SELECT * FROM m WHERE (entity, target) NOT IN (SELECT (entity, target) FROM m WHERE ours IS NULL)""")
 def j7_key_mapping(spark, d):
     out = [(e.name, t.name, a, b) for e in design().entities for t in design().entities if e is not t for a, b in planner.key_mapping(design(), e, t).items()]
     return spark.createDataFrame(out, "entity string, target string, theirs string, ours string")
 
 
-@query("SELECT * FROM (VALUES ('Line', 'Order', 'volume'), ('Line', 'Part', 'ref'), ('Line', 'Supplier', 'ref'), ('Order', 'Customer', 'ref'), ('Order', 'Customer', 'requires'), ('Order', 'Customer', 'volume')) t(entity, target, kind)")
+@query(_raw() + " SELECT entity, ref AS target, 'ref' AS kind FROM f WHERE ref IS NOT NULL UNION SELECT entity, target, 'requires' FROM r UNION SELECT entity, per, 'volume' FROM e WHERE per IS NOT NULL")
 def z16_relations(spark, d):
     return spark.createDataFrame(planner.relations(design()), "entity string, target string, kind string")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS overlapping FROM range(0, 21)")
+@query(_raw() + """, t AS (SELECT i, regexp_extract(pk, '^[^{]*') AS ph, regexp_extract(pk, '[^}]*$') AS pt, contains(pk, '{') AS pv, pk, regexp_extract(sk, '^[^{]*') AS sh, regexp_extract(sk, '[^}]*$') AS st, contains(sk, '{') AS sv, sk FROM e),
+o AS (SELECT CASE WHEN a.pv AND b.pv THEN left(a.ph, least(len(a.ph), len(b.ph))) = left(b.ph, least(len(a.ph), len(b.ph))) AND right(a.pt, least(len(a.pt), len(b.pt))) = right(b.pt, least(len(a.pt), len(b.pt))) ELSE a.pk = b.pk END
+ AND CASE WHEN a.sv AND b.sv THEN left(a.sh, least(len(a.sh), len(b.sh))) = left(b.sh, least(len(a.sh), len(b.sh))) AND right(a.st, least(len(a.st), len(b.st))) = right(b.st, least(len(a.st), len(b.st)))
+  WHEN a.sv THEN starts_with(b.sk, a.sh) AND ends_with(b.sk, a.st) WHEN b.sv THEN starts_with(a.sk, b.sh) AND ends_with(a.sk, b.st) ELSE a.sk = b.sk END AS equal FROM t a JOIN t b ON a.i < b.i)
+SELECT count(*) AS pairs, count(*) FILTER (equal) AS overlapping FROM o""")
 def k4_k5_overlaps(spark, d):
     pairs = spark.createDataFrame(planner.overlaps(design()), "a string, b string, equal boolean, prefix boolean")
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("equal").alias("overlapping"))
 
 
-@query("SELECT * FROM (VALUES ('Customer', 'bounded'), ('Order', 'bounded'), ('Part', 'grows'), ('Supplier', 'fixed'), ('Line', 'fixed'), ('Event', 'bounded'), ('Turn', 'fixed')) t(entity, growth)")
+@query(_raw() + " SELECT e.entity, CASE WHEN ttl IS NOT NULL OR bool_or(kind = 'delete') THEN 'bounded' WHEN bool_or(kind = 'create') THEN 'grows' ELSE 'fixed' END AS growth FROM e LEFT JOIN w USING (entity) GROUP BY e.entity, ttl")
 def z21_growth(spark, d):
     return spark.createDataFrame([(e.name, analysis.growth(e)) for e in design().entities], "entity string, growth string")
 
 
-@query("SELECT * FROM (VALUES ('Customer: c_name is unique'), ('Customer: c_name is never empty'), ('Order.Place needs a Customer'), ('Part: p_name is unique')) t(guarantee)")
+@query(_raw() + " SELECT entity || ': ' || string_agg(field, ', ') || ' is unique' AS guarantee FROM u GROUP BY entity, name UNION ALL SELECT entity || ': ' || field || ' is never empty' FROM f WHERE required UNION ALL SELECT entity || '.' || write || ' needs a ' || target FROM r")
 def z28_guarantees(spark, d):
     return spark.createDataFrame([(g,) for e in design().entities for g in analysis.guarantees(e)], "guarantee string")
 
 
-@query("SELECT 200.0::DOUBLE AS typical, 1000.0::DOUBLE AS most")
+STEPS = [(10.0, 50.0), (20.0, 60.0), (3.0, 4.0)]
+
+
+@query(f"WITH s(t, m) AS (VALUES {', '.join(map(str, STEPS))}) SELECT CAST(product(t) AS DOUBLE) AS typical, CAST(max((SELECT product(t) FROM s) / t * m) AS DOUBLE) AS most FROM s")
 def z18_chained_skew(spark, d):
-    return spark.createDataFrame([planner.chained_skew([(10.0, 50.0), (20.0, 60.0)])], "typical double, most double")
+    return spark.createDataFrame([planner.chained_skew(STEPS)], "typical double, most double")
 
 
 @query("SELECT o_custkey, least(5.0, greatest(1, ceil(count(*) * 571 / 4096.0)) * 0.5)::DOUBLE AS rru FROM orders GROUP BY 1")
@@ -1119,11 +1251,21 @@ def j8_source_of_copies(spark, d):
 
 @query("SELECT window_start, event_type, count(*) AS events FROM (SELECT date_trunc('day', ts) AS window_start, event_type FROM events) GROUP BY ALL")
 def st2_materialised_view(spark, d):
-    """An index that lags: daily counts as the last committed micro-batch has them."""
-    counted = maintain.counter_stream(_stream(spark, d).withColumn("window_start", F.date_trunc("day", "ts").cast("timestamp_ntz")), ["window_start", "event_type"])
+    """An index that lags: daily counts as the last micro-batch has them."""
+    from keystrata.sources.store import scratch
+
+    days = _stream(spark, d).withColumn("window_start", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return maintain.fold_counts(days, ["window_start", "event_type"], scratch(spark, "st2"))
+
+
+@query("SELECT * FROM (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
+def st2_finished_windows(spark, d):
+    """Daily counts once the watermark, two hours behind the latest event, has passed their day."""
     from keystrata.sources.store import scratch
 
-    return maintain.run_to_end(counted, scratch(spark, "st2"))
+    counts = maintain.windowed_counts(_stream(spark, d), "ts", ["event_type"], "1 day", "2 hours")
+    done = maintain.run_to_end(counts, scratch(spark, "st2w"), "append")
+    return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
 
 
 @query(_shape_sql("SELECT x.c AS name, CASE WHEN count(d.c) = 0 THEN 'unchanged' WHEN bool_and(d.compatible) THEN 'new_version' ELSE 'new_generation' END AS state FROM (SELECT DISTINCT c FROM s) x LEFT JOIN d USING (c) GROUP BY x.c"))
@@ -1137,7 +1279,8 @@ def g5_apply_versions(spark, d):
     return spark.createDataFrame(out, "name string, state string")
 
 
-@query("SELECT * FROM (VALUES ('s_code'), ('s_nationkey')) t(field)")
+@query(_raw() + """, new AS (SELECT field, CASE WHEN field = 's_nationkey' THEN 'string' ELSE type END AS type, required FROM f WHERE entity = 'Supplier' UNION ALL VALUES ('s_code', 'string', true), ('s_note', 'string', false))
+SELECT new.field FROM new LEFT JOIN f ON f.entity = 'Supplier' AND f.field = new.field WHERE f.field IS NULL AND new.required OR f.type <> new.type""")
 def g6_conversion_gaps(spark, d):
     e = entity("Supplier")
     fields = tuple(replace(f, type="string") if f.name == "s_nationkey" else f for f in e.fields)
