@@ -108,15 +108,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Keys that are broadcast for being hot, at most; and the rows of a hot key, at least.
-HOT_KEYS, HOT_ROWS = 100_000, 1000
+#: Keys that are broadcast for being hot, at most; the rows of a hot key, at least; and how many times that even a key that had
+#: all rows could have without being much for a task.
+HOT_KEYS, HOT_ROWS, FEW = 100_000, 1000, 50
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], n_rows: int, count: str, how: str = "inner") -> DataFrame:
     """left joined to right, which has one row for a key and in `count` how many of left's n_rows rows have it.
 
-    Keys with HOT_ROWS rows and no less than a HOT_KEYS-th of all are broadcast, of which there can't be more than HOT_KEYS, so that
+    Up to FEW times HOT_ROWS rows are joined as they are. Beyond, keys with HOT_ROWS rows and no less than a HOT_KEYS-th of all are broadcast, of which there can't be more than HOT_KEYS, so that
     their rows stay where they are; all others meet by a shuffle. Both sides are read more than once and should be written."""
+    if n_rows <= HOT_ROWS * FEW:
+        return left.join(right, on, how)
     hot = max(HOT_ROWS, -(-n_rows // HOT_KEYS))
     big = right.filter(F.col(count) >= hot)
     if not big.limit(1).count():

@@ -176,6 +176,7 @@ def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == classes(rows, width, percent)
     # The same where every class, bucket and component with more than three rows counts as hot.
     monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "FEW", 0)
     found = neardup.near_duplicates(df)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == classes(rows)
 
@@ -221,6 +222,8 @@ def test_long_pages(spark):
     got = {r.page_id: r for r in html_text.main_text(df).collect()}
     assert got[0].text == "\n".join(f"Paragraph {i} & more" for i in range(30_000))
     assert (got[3].text, got[3].n_deleted) == ("The text of page 3 is this", 1)
+    joined = {r.page_id: r for r in html_text.main_text(df, marks_sent=0).collect()}
+    assert joined == got
     off = {r.page_id: r for r in html_text.main_text(df, many_pages=1000).collect()}
     assert (off[3].text, off[3].n_deleted) == ("The text of page 3 is this\nRead our paper", 0)
 
@@ -292,6 +295,13 @@ def test_languages_of_odd_rows(spark, odd):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_languages_that_are_alike(spark):
+    """Of two languages learned from one text the one that sorts first is told, with the whole of it."""
+    model = langid.learn(spark.createDataFrame([("aa", "one two three four"), ("zz", "one two three four")], "lang string, text string"))
+    got = langid.identify(spark.createDataFrame([(1, "one three"), (1, "one three")], "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("aa", 1.0)] * 2
+
+
 def test_language_query_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
