@@ -247,6 +247,8 @@ def test_page_without_article():
         ("GPL-2.0 WITH Classpath-exception-2.0 OR (MIT AND Apache-2.0)", ({"gpl-2.0", "mit", "apache-2.0"}, True)),
         ("(GPL-2.0 OR MIT) AND GPL-3.0", ({"gpl-2.0", "mit", "gpl-3.0"}, False)),
         ("MIT This file is", ({"mit"}, True)),
+        ("DocumentRef-a:LicenseRef-b AND MIT.", ({"documentref-a:licenseref-b", "mit"}, False)),
+        ("MIT/X11 OR GPL-2.0+ */", ({"mit/x11", "gpl-2.0+"}, False)),
     ],
 )
 def test_license_expressions(text, want):
