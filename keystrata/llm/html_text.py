@@ -6,17 +6,20 @@ import hashlib
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from keystrata.llm.common import cut, map_arrow, named
+from keystrata.llm.common import cut, evened, map_arrow, named
 
 #: A subtree goes if it stands on this many pages of its host whose main texts differ.
 MANY_PAGES = 10
 #: Where a page has no article or main element, an element with this share of its text is no aside, whatever its names say.
 MOST = 0.6
+#: Digests of recurring subtrees that are sent to the executors, at most; eight bytes each.
+MARKS_SENT = 1 << 20
 #: Inside an article or main element, pages differ if the longest blocks beside the subtree, at most this many, differ.
 BESIDE = 2
 
@@ -296,7 +299,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many_pages: int = MANY_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many_pages: int = MANY_PAGES, marks_sent: int = MARKS_SENT) -> DataFrame:
     """One row per page: id, url, text, n_chars, n_deleted (blocks deleted as site template).
 
     The text is that of the article or main element, else of the body, without menus, headers, footers, sidebars, notices,
@@ -312,35 +315,59 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ones nothing on a paragraph or the like; a form that holds the article is no form, and where a page has neither article nor main, an
     element with most of the text is no aside, but for comments.
 
-    Pages are parsed twice: once for the digests of subtrees, which are written to the checkpoint folder, then for the blocks."""
-    key = F.xxhash64(named(id_col), named(url_col), named(html_col))
+    Pages are parsed twice: once for the digests of subtrees, then for the blocks. The digests that recur go to the executors where
+    they are at most `marks_sent`, which nothing else is shuffled for then; beyond that they are joined to the pages'."""
+    where = [named(url_col).alias("_url"), named(html_col).alias("_html")]
 
     def digests(batches):
         for b in batches:
-            rows: list[tuple[int, int, int | None, bool]] = []
-            for k, url, page in zip(b.column("_key").to_pylist(), b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True):
-                blocks, every = examine(page, host_of(url), inside=True)
-                own = {m for _, marks in blocks for m in marks}
-                counted = contents(blocks, every)
-                rows += [(k, m, c, m in own) for m, c in counted]
-                rows += [(k, m, None, True) for m in sorted(own - {m for m, _ in counted})]
-            kinds = {"_key": pa.int64(), "mark": pa.int64(), "content": pa.int64(), "own": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
-
-    def extract(batches):
+            found: list[tuple[int, int]] = []
+            for url, page in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True):
+                found += contents(*examine(page, host_of(url), inside=True))
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["mark", "content"])
+
+    counted = map_arrow(evened(pages.select(*where)), digests, "mark long, content long").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    recurring = cut(counted.filter(F.col("n") >= many_pages).select("mark"))
+    n_recurring = recurring.count()
+    rows = evened(pages.select(*where, named(id_col).alias("_id"), named(url_col).alias("_u")))
+    own = [StructField(f.name, f.dataType) for f in rows.schema.fields[2:]]
+    out_of = [F.col("_id").alias(id_col), F.col("_u").alias(url_col), "text", "n_chars", "n_deleted"]
+
+    if n_recurring <= marks_sent:
+        gone = pages.sparkSession.sparkContext.broadcast(np.sort(np.array([r["mark"] for r in recurring.collect()], dtype=np.int64)))
+
+        def extract(batches):
+            marks = gone.value
+            for b in batches:
+                texts, dropped = [], []
+                for url, page in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True):
+                    blocks = examine(page, host_of(url), inside=True)[0]
+                    sizes = [len(m) for _, m in blocks]
+                    flat = np.array([m for _, own_marks in blocks for m in own_marks], dtype=np.int64)
+                    hit = np.zeros(len(flat), dtype=bool)
+                    if len(marks) and len(flat):
+                        hit = marks[np.minimum(np.searchsorted(marks, flat), len(marks) - 1)] == flat
+                    ends = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)]
+                    bad = np.diff(ends) > 0
+                    texts.append("\n".join(t for (t, _), x in zip(blocks, bad.tolist(), strict=True) if not x))
+                    dropped.append(int(bad.sum()))
+                made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(dropped, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), *made], names=[*b.schema.names[2:], "text", "n_chars", "n_deleted"])
+
+        return map_arrow(rows, extract, StructType([*own, *StructType.fromDDL("text string, n_chars long, n_deleted int").fields])).select(*out_of)
+
+    def blocks_of(batches):
         for b in batches:
-            rows = [examine(page, host_of(url), inside=True)[0] for url, page in zip(b.column("_u").to_pylist(), b.column("_html").to_pylist(), strict=True)]
+            found = [examine(page, host_of(url), inside=True)[0] for url, page in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True)]
             kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))
-            blocks = pa.array([[{"text": t, "marks": m} for t, m in r] for r in rows], kind)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), blocks], names=[*b.schema.names[1:], "blocks"])
+            blocks = pa.array([[{"text": t, "marks": m} for t, m in r] for r in found], kind)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), blocks], names=[*b.schema.names[2:], "blocks"])
 
-    found = cut(map_arrow(pages.select(key.alias("_key"), named(url_col).alias("_url"), named(html_col).alias("_html")), digests, "_key long, mark long, content long, own boolean"))
-    recurring = found.select("mark", "content").filter("content is not null").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= many_pages).select("mark")
-    gone = found.filter("own").select("_key", "mark").join(recurring, "mark", "left_semi").groupBy("_key").agg(F.collect_set("mark").alias("gone"))
-
-    rows = pages.select(named(html_col).alias("_html"), key.alias("_key"), named(id_col).alias("_id"), named(url_col).alias("_u"))
-    parsed = map_arrow(rows, extract, StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields[1:]), *StructType.fromDDL("blocks array<struct<text: string, marks: array<long>>>").fields]))
+    keyed = rows.withColumn("_key", F.xxhash64("_id", "_url", "_html"))
+    parsed = map_arrow(keyed, blocks_of, StructType([*own, StructField("_key", LongType()), *StructType.fromDDL("blocks array<struct<text: string, marks: array<long>>>").fields]))
+    marked = parsed.select("_key", F.explode(F.array_distinct(F.flatten(F.col("blocks.marks")))).alias("mark"))
+    gone = marked.join(recurring, "mark", "left_semi").groupBy("_key").agg(F.collect_set("mark").alias("gone"))
     left = F.filter("blocks", lambda x: F.coalesce(~F.arrays_overlap(x["marks"], F.col("gone")), F.lit(True)))
     out = parsed.join(gone, "_key", "left").withColumn("left", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(left))
-    text = F.array_join(F.transform("left", lambda x: x["text"]), "\n")
-    return out.select(F.col("_id").alias(id_col), F.col("_u").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), (F.size("blocks") - F.size("left")).alias("n_deleted"))
+    out = out.withColumns({"text": F.array_join(F.transform("left", lambda x: x["text"]), "\n"), "n_deleted": F.size("blocks") - F.size("left")})
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*out_of)
