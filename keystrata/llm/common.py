@@ -67,6 +67,19 @@ def names_beside(carried: list[str], own: list[str]) -> list[str]:
     return out
 
 
+#: A task that reads this many times its share of the rows is one too large.
+UNEVEN = 4
+
+
+def evened(rows: DataFrame) -> DataFrame:
+    """The rows, dealt to as many tasks as run at once if one task would read most of them: a file's row group can't be split, and
+    what is made of a text takes longer than to move it. Only row counts are read to find out; rows that are spread stay."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    per = rows.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    most, total = per.agg(F.max("n"), F.sum("n")).first()
+    return rows.repartition(tasks) if total and total > tasks and most * tasks > UNEVEN * total else rows
+
+
 def carry(docs: DataFrame, text_col: str, carried: list[str], *more: Column) -> tuple[DataFrame, list[StructField]]:
     """The text as _text, then `more`, then the carried columns as _k0, _k1 and so on, with the fields of those."""
     given = docs.select(named(text_col).alias("_text"), *more, *(named(c).alias(f"_k{i}") for i, c in enumerate(carried)))
@@ -76,11 +89,12 @@ def carry(docs: DataFrame, text_col: str, carried: list[str], *more: Column) ->
 def per_text(docs: DataFrame, work: Callable[[list[str | None]], list[pa.Array]], schema: str, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """The id and kept columns of every row, with what `work` makes of the texts of a batch: an array for each field of
     the schema. A kept column that is named like a result column (or the id) gets _in appended to its name. Rows stay where
-    they are read."""
+    they are read, but for `evened`."""
     result = StructType.fromDDL(schema)
     own = result.names
     carried = [id_col, *(c for c in dict.fromkeys(keep) if c != id_col)]
     given, fields = carry(docs, text_col, carried)
+    given = evened(given)
 
     def batches_of(batches):
         for b in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from keystrata.llm.common import WORD_BYTES, carry, map_arrow, named, names_beside
+from keystrata.llm.common import WORD_BYTES, carry, evened, map_arrow, named, names_beside
 
 WINDOW = 13
 #: Text of the items that go into one automaton, which takes about 130 times that in a worker. More items are more automata,
@@ -188,7 +188,7 @@ def find_contamination(
         if held:
             yield from done()
 
-    out = map_arrow(given, work, StructType([*fields, *result.fields]))
+    out = map_arrow(evened(given), work, StructType([*fields, *result.fields]))
     return out.select(*(F.col(f.name).alias(n) for f, n in zip(fields, names_beside(carried, result.names), strict=True)), *result.names)
 
 

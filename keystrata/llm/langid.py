@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import map_arrow, named, per_text
+from keystrata.llm.common import evened, map_arrow, named, per_text
 from keystrata.llm.rolling import mix
 
 #: Buckets of hashed n-grams: the model is this many counts for each language, whatever the corpus.
@@ -189,7 +189,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """From all rows whose text and language are known. The driver gets at most BUCKETS counts for each language."""
     known = docs.select(named(lang_col).alias("lang"), named(text_col).alias("text")).filter("lang is not null and text is not null")
-    return LanguageModel.of_counts([tuple(r) for r in gram_counts(known).collect()])
+    return LanguageModel.of_counts([tuple(r) for r in gram_counts(evened(known)).collect()])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from keystrata.llm.common import LOWER_BYTES, carry, cut, map_arrow, named, names_beside, numbered, slices
+from keystrata.llm.common import LOWER_BYTES, carry, cut, evened, map_arrow, named, names_beside, numbered, slices
 
 #: Words with a row of their own, with the end and the first class, at least; and numbers in a row.
 VOCABULARY, WIDTH = 2048, 24
@@ -369,6 +369,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     key = [c for c in (id_col,) if c in training.columns]
     training = training.select(*(named(c).alias(f"k{i}") for i, c in enumerate(key)), named(text_col).alias("text"))
     key = training.columns
+    training = evened(training)
     counts = cut(word_counts(training))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     head = frequent_words(counts, frequent)
@@ -388,7 +389,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
 
     carried = [id_col, *(c for c in dict.fromkeys(keep) if c != id_col)]
     given, fields = carry(docs, text_col, carried)
-    given = numbered(given, "_k0", "_text").select("_text", "rid", "rk", *(f.name for f in fields))
+    given = evened(numbered(given, "_k0", "_text")).select("_text", "rid", "rk", *(f.name for f in fields))
 
     def load():
         if run not in _tables:

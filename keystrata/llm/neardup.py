@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LOWER_BYTES, NO_ID, cut, join_hot, keyed, map_arrow
+from keystrata.llm.common import LOWER_BYTES, NO_ID, cut, evened, join_hot, keyed, map_arrow
 from keystrata.llm.rolling import mix, prefix_sums, range_hashes
 
 WORDS_PER_SHINGLE = 3
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all others, block by block; of components of one size the one with the largest label counts as the largest. A pair is left out only if both are in one component already. Links hold on full sets.
     Classes, buckets and components of very many documents are joined where their rows are."""
     plan = Plan.of(width, threshold)
-    rows = keyed(docs, id_col, text_col)
+    rows = evened(keyed(docs, id_col, text_col))
     rows = rows.withColumn("nid", F.when(F.col("rk") == 0, F.col("rid")).otherwise(F.xxhash64("rid", "rk")))
     base = cut(map_arrow(rows.select("rid", "rk", "nid", "text"), _describe(plan), "rid long, rk int, nid long, n long, f1 long, f2 long, bands array<long>"))
     some = base.filter("n > 0")

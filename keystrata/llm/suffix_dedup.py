@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import cut, input_bytes, keyed, map_arrow, original_id, text_bytes
+from keystrata.llm.common import cut, evened, input_bytes, keyed, map_arrow, original_id, text_bytes
 from keystrata.llm.rolling import BASE, BYTE_VALUES, mix, prefix_sums, range_hashes, window_hashes
 
 LENGTH = 100
@@ -568,7 +568,7 @@ def remove_repeats(
     are compared byte by byte. `hot` is the number of phrases from which on a trigger is dealt out by its surroundings;
     the result is the same for all values of it, of block_bytes and of bucket_input."""
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col).select("rid", "rk", "text")
+    rows = evened(keyed(docs, id_col, text_col).select("rid", "rk", "text"))
     scanned = input_bytes(docs, text_col)
     buckets = text_bytes(scanned, bucket_input, 48)
     found = cut(map_arrow(rows, _first_step(buckets, length, block_bytes), PLACES).groupBy("bucket").applyInArrow(_meet(max(hot, scanned // HOT_SHARE)), SPANS))
