@@ -44,7 +44,7 @@ def _raw() -> str:
     """The example store's schema, as it is written, as tables: what SQL works answers out of."""
     quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool | int | float) else "'" + str(x).replace("'", "''") + "'"
     table_ = lambda name, columns, rows_: f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows_)})"
-    es, fs, us, ws, rs = [], [], [], [], []
+    es, fs, us, ws, rs, ts = [], [], [], [], [], []
     for i, (name, e) in enumerate(SCHEMA["entities"].items()):
         v = e.get("volume", {})
         v = v if isinstance(v, dict) else {"total": v}
@@ -53,11 +53,13 @@ def _raw() -> str:
             x = {"type": x} if isinstance(x, str) else x
             fs.append((name, f, x["type"], bool(x.get("required")), x.get("ref")))
         us += [(name, u, f) for u, x in e.get("unique", {}).items() for f in x["fields"]]
+        ts += [(name, n, "table" if x.get("strategy") == "copy" else n, x["pk"]) for n, x in e.get("indexes", {}).items()]
+        ts += [(name, n, "table", x["pk"]) for n, x in e.get("counters", {}).items()]
         for w, x in e.get("writes", {}).items():
             x = {x: True} if isinstance(x, str) else x
             ws.append((name, w, "create" if "create" in x else "delete" if "delete" in x else "update"))
             rs += [(name, w, target) for target in x.get("requires", {})]
-    parts = (("e", "i, entity, pk, sk, ttl, total, per, typical", es), ("f", "entity, field, type, required, ref", fs), ("u", "entity, name, field", us), ("w", "entity, write, kind", ws), ("r", "entity, write, target", rs))
+    parts = (("e", "i, entity, pk, sk, ttl, total, per, typical", es), ("f", "entity, field, type, required, ref", fs), ("u", "entity, name, field", us), ("w", "entity, write, kind", ws), ("r", "entity, write, target", rs), ("t", "entity, name, space, pk", ts))
     return "WITH RECURSIVE " + ",\n".join(table_(*x) for x in parts)
 
 
@@ -821,7 +823,8 @@ def z29_alternative(spark, d):
     return analysis.alternatives(spark, design(), e, e.index("Open"))
 
 
-@query()
+@query(_raw() + """ SELECT 'table' AS space, pk, entity AS family FROM e UNION ALL SELECT space, pk, entity || '.' || name FROM t
+UNION ALL SELECT 'table', 'UNIQUE#' || entity || '.' || name || '#' || string_agg('{' || field || '}', '#'), entity || '.' || name FROM u GROUP BY entity, name""")
 def z19_families(spark, d):
     return spark.createDataFrame(analysis.families(design()), "space string, pk string, family string")
 
