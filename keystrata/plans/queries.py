@@ -1163,10 +1163,10 @@ def z16_relations(spark, d):
     return spark.createDataFrame(planner.relations(design()), "entity string, target string, kind string")
 
 
-@query(_raw() + """, t AS (SELECT i, regexp_extract(pk, '^[^{]*') AS ph, regexp_extract(pk, '[^}]*$') AS pt, contains(pk, '{') AS pv, pk, regexp_extract(sk, '^[^{]*') AS sh, regexp_extract(sk, '[^}]*$') AS st, contains(sk, '{') AS sv, sk FROM e),
+@query(_raw() + """, x AS (SELECT i, regexp_extract(pk, '^[^{]*') AS ph, regexp_extract(pk, '[^}]*$') AS pt, contains(pk, '{') AS pv, pk, regexp_extract(sk, '^[^{]*') AS sh, regexp_extract(sk, '[^}]*$') AS st, contains(sk, '{') AS sv, sk FROM e),
 o AS (SELECT CASE WHEN a.pv AND b.pv THEN left(a.ph, least(len(a.ph), len(b.ph))) = left(b.ph, least(len(a.ph), len(b.ph))) AND right(a.pt, least(len(a.pt), len(b.pt))) = right(b.pt, least(len(a.pt), len(b.pt))) ELSE a.pk = b.pk END
  AND CASE WHEN a.sv AND b.sv THEN left(a.sh, least(len(a.sh), len(b.sh))) = left(b.sh, least(len(a.sh), len(b.sh))) AND right(a.st, least(len(a.st), len(b.st))) = right(b.st, least(len(a.st), len(b.st)))
-  WHEN a.sv THEN starts_with(b.sk, a.sh) AND ends_with(b.sk, a.st) WHEN b.sv THEN starts_with(a.sk, b.sh) AND ends_with(a.sk, b.st) ELSE a.sk = b.sk END AS equal FROM t a JOIN t b ON a.i < b.i)
+  WHEN a.sv THEN starts_with(b.sk, a.sh) AND ends_with(b.sk, a.st) WHEN b.sv THEN starts_with(a.sk, b.sh) AND ends_with(a.sk, b.st) ELSE a.sk = b.sk END AS equal FROM x a JOIN x b ON a.i < b.i)
 SELECT count(*) AS pairs, count(*) FILTER (equal) AS overlapping FROM o""")
 def k4_k5_overlaps(spark, d):
     pairs = spark.createDataFrame(planner.overlaps(design()), "a string, b string, equal boolean, prefix boolean")
