@@ -42,9 +42,9 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose first column, a text, has about `most` bytes, or one row."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(batch: pa.RecordBatch, most: int, text: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch in which a column of texts has about `most` bytes, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))

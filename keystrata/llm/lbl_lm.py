@@ -408,7 +408,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         is_class = symbols.is_class()
         get, none = known.get, len(known)
         end_known = END in known
-        for b in (part for whole in batches for part in slices(whole, SCORED_BYTES)):
+        for b in (part for whole in batches for part in slices(whole, SCORED_BYTES, "_text")):
             texts, rid, rk = b.column("_text").to_pylist(), b.column("rid").to_numpy(), b.column("rk").to_numpy()
             lists = [tokens_of(t) for t in texts]
             sizes = np.array([len(x) for x in lists], dtype=np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LOWER_BYTES, NO_ID, cut, evened, join_hot, keyed, map_arrow
+from keystrata.llm.common import LOWER_BYTES, NO_ID, cut, evened, join_hot, keyed, map_arrow, slices
 from keystrata.llm.rolling import mix, prefix_sums, range_hashes
 
 WORDS_PER_SHINGLE = 3
@@ -20,8 +20,9 @@ NO_BAND, MOST_VALUES = 1 / 80_000, 160
 STEP = 24
 #: A pair is dropped when its similarity reaches the threshold with less than this posterior probability.
 MISS = 1e-6
-#: Members of a bucket that meet in one task.
+#: Members of a bucket that meet in one task; and text whose shingles are hashed at once.
 BLOCK = 1024
+TEXT_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -173,7 +174,7 @@ def _describe(plan: Plan):
     """rid, rk, nid, n, two fingerprints of the set, its band hashes."""
 
     def work(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, TEXT_BYTES, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), plan.width)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -194,7 +195,7 @@ def _members(plan: Plan):
     """nid, signature, shingles of the documents that share a band with another."""
 
     def work(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, TEXT_BYTES, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), plan.width)
             sig = signatures(sets, plan.values)
             yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array([r.tobytes() for r in (sig & 0xFF).astype(np.uint8)], pa.binary()), _list_of(sets)], names=["nid", "sig", "shingles"])
