@@ -68,7 +68,7 @@ def names_beside(carried: list[str], own: list[str]) -> list[str]:
 
 
 #: A task that reads this many times its share of the rows is one too large.
-UNEVEN = 4
+UNEVEN = 2
 
 
 def evened(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -369,6 +370,25 @@ def test_numbers_of_rows_in_bulk(spark):
     assert len({(r.rid, r.rk) for r in got}) == len(rows)
 
 
+def test_rows_of_one_task_are_dealt_anew(spark):
+    one = spark.range(1000).coalesce(1)
+    assert common.evened(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in common.evened(one).collect()) == list(range(1000))
+    for spread in (spark.range(0, 1000, 1, 7), spark.range(3).coalesce(1), spark.range(0).coalesce(1)):
+        assert common.evened(spread) is spread
+
+
+def test_slices_of_a_batch():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": ["aaaa", None, "bb", "c" * 50, "", "dd", "ee"]})
+    parts = list(common.slices(batch, 5, "t"))
+    assert [p.column("k").to_pylist() for p in parts] == [[0, 1], [2], [3], [4, 5, 6]]
+    assert list(common.slices(batch.slice(0, 0), 5, "t")) == []
+
+
+def test_names_beside():
+    assert common.names_beside(["id", "n", "n_in"], ["n"]) == ["id", "n_in", "n_in_in"]
+
+
 def test_bulk_null_ids(spark):
     rows = [(None if i % 3 else i, f"text {i % 50} " + "of many words " * 20) for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
