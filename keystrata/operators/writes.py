@@ -13,6 +13,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from keystrata.functions.keys import literal, separators_ok
 from keystrata.functions.preds import holds, live
 from keystrata.model import Entity, Require, Write
+from keystrata.operators.derive import counter_delta
 
 # Outcomes, and retry and transaction limits.
 OK, EXISTS, NOT_FOUND, VERSION, PRECONDITION, REQUIREMENT, LIMIT, MINIMUM, INVALID, DUPLICATE, UNCHANGED = (
@@ -266,6 +267,32 @@ def batched(commands: DataFrame, keys: list[str], order: list[str], outcome: str
     return commands.groupBy(*keys).agg(F.count(F.lit(1)).alias("tried"), F.count_if(F.col(outcome) == OK).alias("done"), F.min(failed)["o"].alias("failure"))
 
 
+class BatchError(RuntimeError):
+    """Commands of a batch that weren't done, as (key, outcome): the first by key, and how many there are in all."""
+
+    def __init__(self, failures: list[tuple], total: int):
+        super().__init__(f"{total} commands failed, {failures[0][0]} with {failures[0][1]} first")
+        self.failures, self.total = failures, total
+
+
+def batch_create(commands: DataFrame, snapshot: DataFrame, e: Entity, w: Write, now: int | None = None, order: str = "seq") -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """A batch of creates: the commands with their outcomes; the snapshot with the accepted ones in it; and what they add to each
+    counter, merged, so that a counter item is written once a batch and not once a command."""
+    done = create(commands, snapshot, e, w, now, order)
+    accepted = done.filter(F.col("outcome") == OK).select(*snapshot.columns)
+    after = snapshot.unionByName(accepted)
+    merged = {c.name: counter_delta(accepted.limit(0), accepted, e, c) for c in e.counters}
+    return done, after, merged
+
+
+def raise_failures(done: DataFrame, keys: list[str], most: int = 100) -> None:
+    """A BatchError if some command of a batch failed, with a report of the first `most` by key."""
+    failed = done.filter(~F.col("outcome").isin(OK, UNCHANGED))
+    first = failed.orderBy(*keys).limit(most).select(*keys, "outcome").collect()
+    if first:
+        raise BatchError([(tuple(r)[:-1], r["outcome"]) for r in first], failed.count() if len(first) == most else len(first))
+
+
 def outcome_of_all(checks: list[tuple[str, str]]) -> Column:
     """A command applies wholly or not at all: the first of its failed checks (column, outcome), or ok."""
     return _first(*((~F.col(c), name) for c, name in checks))

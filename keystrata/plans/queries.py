@@ -695,6 +695,15 @@ def w25_batch_outcome(spark, d):
     return writes.batched(done, new.key_fields, ["seq"])
 
 
+@query(f"SELECT {KEY.format('o_custkey')} AS PK, 'COUNTS' AS SK, count(*) AS orders, count(*) AS open, CAST(0 AS BIGINT) AS closed FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
+def w25_merged_counters(spark, d):
+    """All orders as one batch of commands to place them, where those that are filled are there already: what the others add to
+    their customers' counters, once for each."""
+    e, o = entity("Order"), rows(spark, d, "Order")
+    _, _, merged = writes.batch_create(o.withColumn("seq", F.col("o_orderkey")), o.filter("o_orderstatus = 'F'"), e, e.write("Place"))
+    return merged["CustomerOrders"]
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def w27_duplicates(spark, d):
     """Items that several commands of one batch touch."""

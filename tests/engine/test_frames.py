@@ -90,6 +90,21 @@ def test_ten_commands_one_winner(spark):
     assert [r.seq for r in once.filter("admitted").collect()] == [0]
 
 
+def test_a_batch_tells_what_failed(spark):
+    e = entity("Supplier")
+    s = rows(spark, SF, "Supplier")
+    done, after, merged = writes.batch_create(s.withColumn("seq", F.col("s_suppkey")), s.filter("s_suppkey between 1 and 3"), e, Write("Add", "create"))
+    assert merged == {}
+    assert after.exceptAll(s).count() == 0
+    with pytest.raises(writes.BatchError, match="3 commands failed") as err:
+        writes.raise_failures(done, ["s_suppkey"])
+    assert err.value.failures == [((k,), "exists") for k in (1, 2, 3)]
+    with pytest.raises(writes.BatchError) as err:
+        writes.raise_failures(done, ["s_suppkey"], most=2)
+    assert (len(err.value.failures), err.value.total) == (2, 3)
+    writes.raise_failures(done.filter("outcome = 'ok'"), ["s_suppkey"])
+
+
 def test_rejected_steps_leave_the_value(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("a", 3, 4), ("a", 4, -9), ("a", 5, -1)], "k string, seq long, d long")
     got = writes.admit(df, ["k"], ["seq"], "d", most=10, least=0).orderBy("seq").collect()
