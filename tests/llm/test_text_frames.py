@@ -1,6 +1,8 @@
 """The text operators on frames: odd rows, and the registered queries against SQL or brute force."""
 
 import hashlib
+import html.parser
+import itertools
 import math
 import random
 import re
@@ -119,6 +121,27 @@ def test_quality_query(spark, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_kept_by_all_labellings(spark, docs):
+    """Of every labelling of a document's lines the best one, by trying all; its content's share decides."""
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    f = quality_crf.fit_lines(quality_crf.training_sample(d, labels, "doc_id", "text", "quality", quality_crf.MAX_LABELLED))
+    texts, tried = {i: t for i, t, _ in docs}, 0
+    for r in queries.op1_quality_crf(spark, SF).collect():
+        places, rows = quality_crf.lines_of(texts[r.doc_id])
+        assert [i for i, x in enumerate(texts[r.doc_id].split("\n")) if x.strip()] == places
+        if not 0 < len(rows) <= 10:
+            continue
+        emit = quality_crf.features(rows) @ f.weights
+        value = lambda y, e=emit: f.first[y[0]] + sum(e[i][k] for i, k in enumerate(y)) + sum(f.move[a, b] for a, b in itertools.pairwise(y))
+        best = max(itertools.product((1, 0), repeat=len(rows)), key=value)
+        size = [sum(map(len, texts[r.doc_id].split("\n")[p].split())) for p in places]
+        share = sum(s for s, k in zip(size, best, strict=True) if k) / sum(size)
+        assert r.kept == (not r.base_failed and share >= quality_crf.CONTENT_SHARE)
+        assert r.content_lines == [p for p, k in zip(places, best, strict=True) if k]
+        tried += 1
+    assert tried > 50
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -229,6 +252,50 @@ def test_long_pages(spark):
     assert (off[3].text, off[3].n_deleted) == ("The text of page 3 is this\nRead our paper", 0)
 
 
+class Article(html.parser.HTMLParser):
+    """Blocks of the article elements of a page, in another way: events of the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.blocks, self.now = 0, 0, [], ""
+        self.feed(page)
+        self.close()
+
+    def flush(self):
+        text = " ".join(self.now.split())
+        self.blocks += [text] if text else []
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in html_text.NEVER
+        if tag in html_text.BLOCKS:
+            self.flush()
+        self.now += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.flush()
+        self.depth -= tag == "article"
+        self.skip -= tag in html_text.NEVER
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.now += data
+
+
+def test_page_query_by_another_parser(spark):
+    pages = {i: h for i, h in duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()}
+    rows = queries.op4_main_text(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        want = Article(pages[r.page_id]).blocks
+        got = r.text.split("\n") if r.text else []
+        assert r.n_chars == len(r.text)
+        assert len(want) - len(got) == r.n_deleted
+        assert got == want if not r.n_deleted else set(got) <= set(want)
+
+
 def test_copies_of_a_page_count_once(spark):
     page = "<body><p>What it says</p><p>And more of it</p></body>"
     rows = [(i, "http://a.b/x", page) for i in range(30)]
@@ -286,6 +353,35 @@ def test_license_query(spark, docs):
         assert 0 <= r.score <= 1
 
 
+def test_license_labels_by_brute_force(spark, docs):
+    """Labels and score of documents and of made-up notices, word by word and token by token."""
+    made = ["SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-3.0+\nx", "// spdx-license-identifier: BSD-3-Clause WITH Some-exception */\nunder the MIT license", "Copyright (c) A. All rights reserved. Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: AND\nlicence"]
+    texts = dict(enumerate(made, 10**6)) | {i: t for i, t, _ in docs}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    weights = {"base": 0.8, "phrase": 0.9, "notice": 0.3}
+    for r in licenses.scan_licenses(df).collect():
+        text = texts[r.doc_id] or ""
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)}))
+        line = " " + " ".join(w) + " "
+        labels, kinds = set(), set()
+        for kind, phrases in (("base", licenses.BASE), ("phrase", licenses.PHRASES), ("notice", dict.fromkeys(licenses.NOTICES))):
+            for p, label in phrases.items():
+                if f" {p} " in line:
+                    kinds.add(kind)
+                    labels |= {label} - {None}
+        tagged = False
+        for m in re.finditer(r"(?i)spdx-license-identifier[ \t]*:[ \t]*([^\n*]*)", text):
+            tokens = re.findall(r"[A-Za-z0-9][A-Za-z0-9.:/-]*\+?", m[1])
+            named = [t.lower() for t, before in zip(tokens, ["", *tokens], strict=False) if t.lower() not in licenses.PRIORITY and before.lower() != "with"]
+            tagged |= bool(named)
+            labels |= set(named)
+        doubt = 0.05 if tagged else 1.0
+        for kind in kinds:
+            doubt *= 1 - weights[kind]
+        assert r.labels == ",".join(sorted(labels))
+        assert abs(r.score - (1 - doubt)) < 1e-6
+
+
 def test_languages_of_odd_rows(spark, odd):
     model = langid.learn(odd)
     rows = langid.identify(odd, model).collect()
